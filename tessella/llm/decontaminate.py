@@ -247,7 +247,7 @@ def _merge(lists: Column) -> Column:
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All rows and columns of docs, with column ``out``: struct of n_words, removal spans [start, end) in words, items found."""
+    """All rows and columns of docs, with column ``out`` (instead of one of that name): struct of n_words, removal spans [start, end) in words, items found."""
     small_batches(docs.sparkSession)
     blocks = phrase_blocks(benchmark, block_words=block_words) or [[]]
     hits = []

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
@@ -151,8 +151,8 @@ def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     plan = mix(docs, doc_id, text, source).where("size > 0")
     # rows of one doc_id, source and size are alike to the mix: what it takes of them is shared by all of them
     plan = plan.groupBy("doc_id", "source", "size").agg(F.avg(F.col("taken") / F.col("size")).alias("part"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.floor(F.col("part") + 0.5).cast("int").alias("__times")).where("__times > 0")
+    id_, source_, size_, times, copy = (fresh(docs, c) for c in ("__id", "__source", "__size", "__times", "__copy"))
+    plan = plan.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_), F.floor(F.col("part") + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
     plan = cut(plan, "mix")
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (size_of(F.col(text)) == F.col("__size"))
-    rows = docs.join(plan, same)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & F.col(source).eqNullSafe(F.col(source_)) & (size_of(F.col(text)) == F.col(size_))
+    return docs.join(plan, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

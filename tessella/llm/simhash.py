@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, cut, small_batches
+from .common import ASCII_LOWER, cut, fresh, small_batches
 
 RADIUS = 2
 SHINGLE = 3
@@ -239,27 +239,35 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, fp (long), component_id. Fingerprints are made once and kept in the shared folder."""
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: doc_id, text_hash, fp (long), root (a fingerprint that names the component), component_id. Fingerprints are made once and kept in the shared folder."""
     small_batches(docs.sparkSession)
-    of = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_udf(F.col(text)).alias("fp")), "fingerprints")
+    of = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), fingerprint_udf(F.col(text)).alias("fp"))
+    of = cut(of, "fingerprints")
     reps = of.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = connected_components(links(reps.select("fp")))
     in_root = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     in_root = cut(in_root, "roots")
     least = in_root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = in_root.join(least, "root").select("fp", "component_id")
-    return of.join(classes, "fp").select("doc_id", "fp", "component_id")
+    named = in_root.join(least, "root").select("fp", "root", "component_id")
+    return of.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: doc_id, fp (long), component_id."""
+    return classes(docs, doc_id, text).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, once each, with all columns."""
-    classes = near_duplicates(docs, doc_id, text)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "__kept")
+    """One row of each component, with all columns: that of the smallest doc_id (rows without one last), then the smallest hash of the text."""
+    id_, hash_ = fresh(docs, "__kept"), fresh(docs, "__hash")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rows = classes(docs, doc_id, text).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    kept = rows.groupBy("root").agg(F.min(first).alias("x"), F.min_by("n", first).alias("n")).select(F.col("x.doc_id").alias(id_), F.col("x.text_hash").alias(hash_), "n")
     kept = cut(kept, "kept")
-    same = F.col(doc_id).eqNullSafe(F.col("__kept"))
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text)) == F.col(hash_))
     once = docs.join(kept.where("n = 1"), same, "left_semi")
-    again = docs.join(kept.where("n > 1"), same, "left_semi").dropDuplicates([doc_id])
+    again = docs.join(kept.where("n > 1"), same, "left_semi").dropDuplicates([doc_id, text])
     return once.unionByName(again)
 
 
