@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .relational import clean_keys
+from .relational import clean_keys, with_positions
 
 
 def value_counts(df: DataFrame, c: str, dropna: bool = True) -> DataFrame:
@@ -45,7 +45,7 @@ def duplicated(df: DataFrame, cols: Sequence[str], order_by: str, keep: str | bo
 def factorize(df: DataFrame, c: str, order_by: str, prior: DataFrame | None = None, out: str = "code") -> DataFrame:
     """Dense codes in the order in which values are first seen, missing ones -1; with prior (value, code) numbering continues.
 
-    Only distinct values are numbered in order.
+    Only distinct values are numbered, by ranges of their first place.
     """
     df = clean_keys(df, c)
     return lookup_code(df, dictionary(df, c, order_by, prior), c, "value", "code", out)
@@ -56,7 +56,7 @@ def dictionary(df: DataFrame, c: str, order_by: str, prior: DataFrame | None = N
     seen = clean_keys(df, c).where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.min(order_by).alias("__first"))
     if prior is not None:
         seen = seen.join(prior.select(F.col("value").alias("__v")), F.col("value") == F.col("__v"), "left_anti")
-    new = seen.select("value", (F.row_number().over(Window.orderBy("__first", "value")) - 1).cast("long").alias("code"))
+    new = with_positions(seen, ["__first", "value"], "code").select("value", F.col("code").cast("long").alias("code"))
     if prior is None:
         return new
     start = prior.agg((F.coalesce(F.max("code"), F.lit(-1)) + 1).alias("__start"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import shared_path
+
 
 def _list(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
@@ -154,11 +156,16 @@ def slice_rows(df: DataFrame, start: int, end: int, order_by: Sequence[str]) ->
 
 
 def with_positions(df: DataFrame, order_by: Sequence[str], out: str = "pos") -> DataFrame:
-    """Position of each row from 0. Rows are dealt by ranges and sorted; a row's number inside its partition plus the sizes of
-    the partitions before it. Both readings of the sorted rows must agree, so it needs an order without ties and a written or
-    deterministic input."""
-    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("__id", F.monotonically_increasing_id())
-    part, inside = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each partition
-    return ranged.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + inside).drop("__part", "__before", "__id")
+    """Position of each row from 0 in an order without ties.
+
+    Rows are dealt by ranges and sorted; a row's number is that inside its partition plus the sizes of the partitions before it.
+    The dealt rows are written once to the shared folder, for another run would draw other ranges.
+    """
+    id_ = F.monotonically_increasing_id()  # partition in the upper bits, row in the lower 33
+    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("__id", id_)
+    ranged = ranged.withColumns({"__part": F.shiftright("__id", 33), "__row": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id")
+    ranged.write.parquet(path := shared_path(df.sparkSession, "positions"))
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__part").alias("__of"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each partition
+    return ranged.join(F.broadcast(before), F.col("__part") == F.col("__of")).withColumn(out, F.col("__before") + F.col("__row")).drop("__part", "__of", "__row", "__before")

@@ -175,16 +175,8 @@ NATION_DSV = "n_nationkey int, n_name string, n_regionkey int"
 
 
 def _written(df: DataFrame, name: str) -> str:
-    """A folder of this query's own for files that it writes and reads back, in the folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for files that a query writes and reads back."""
+    return TAB.shared_path(df.sparkSession, name)
 
 
 @query("SELECT c_custkey, c_name, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END AS c_nationkey FROM customer")
@@ -251,6 +243,17 @@ def src9_parse_profile_points(spark: SparkSession, d: str) -> DataFrame:
     return p.select("name", "point", "timestamp", "cpu", "memory", F.try_element_at("network", F.lit("peerA"))["rx"].alias("rx_a"), F.try_element_at("network", F.lit("peerB"))["tx"].alias("tx_b"))
 
 
+@query(f"WITH {EVS} SELECT namespace, count(*) AS events, count(metricName) AS metrics FROM ev GROUP BY 1")
+def src10_read_events(spark: SparkSession, d: str) -> DataFrame:
+    """The event source as a stream over files: what is there is parsed and appended to a table, which is read when the stream has ended."""
+    rows = event_stream_rows(spark, d)
+    rows.write.text(f"{(base := _written(rows, 'events'))}/in")
+    ev = EV.parse_events(EV.read_events(spark, {"format": "text", "path": f"{base}/in"})).select("activationId", "namespace", "metricName")
+    EV.write_stream(ev, f"{base}/out", f"{base}/offsets").awaitTermination()
+    out = spark.read.schema(ev.schema).parquet(f"{base}/out")
+    return out.groupBy("namespace").agg(F.count("*").alias("events"), F.count("metricName").alias("metrics"))
+
+
 @query("SELECT doc_id::VARCHAR AS time, source AS stream, lang AS log FROM documents")
 def src11_read_container_log(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("time"), F.col("source").alias("stream"), F.col("lang").alias("log"))
@@ -438,9 +441,9 @@ def jn5_lookup_code(spark: SparkSession, d: str) -> DataFrame:
     return C.lookup_code(part.select("p_partkey", "p_brand"), C.dictionary(part.where("p_size < 10"), "p_brand", "p_partkey"), "p_brand").drop("p_brand")
 
 
-@query("SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+@query("SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1")
 def jn6_build_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return C.build_lookup(t(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", "o_orderkey")
+    return C.build_lookup(t(spark, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
 @query("SELECT s_suppkey, round(avg(s_acctbal) OVER (PARTITION BY s_nationkey), 4) AS group_avg FROM supplier")
@@ -1169,18 +1172,18 @@ def log3_pipeline_cdfs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _container_logs(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").where("event_id % 2 = 0")
-    return e.select(F.lpad(((F.col("event_id") / 4).cast("bigint")).cast("string"), 12, "0").alias("activationId"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("time"), F.lit("stdout").alias("stream"), F.col("props").alias("log"))
+    e = t(spark, d, "events")
+    return e.select(F.lpad(((F.col("event_id") / 2).cast("bigint")).cast("string"), 12, "0").alias("activationId"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("time"), F.lit("stdout").alias("stream"), F.col("props").alias("log"))
 
 
-@query(f"""WITH {ACTS}, l AS (SELECT lpad((event_id // 4)::VARCHAR, 12, '0') AS activationId, ts, props FROM events WHERE event_id % 2 = 0)
+@query(f"""WITH {ACTS}, l AS (SELECT lpad((event_id // 2)::VARCHAR, 12, '0') AS activationId, ts, props FROM events)
   SELECT strftime(date_trunc('millisecond', l.ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS time, rpad(strftime(date_trunc('millisecond', l.ts), '%Y-%m-%dT%H:%M:%S.%gZ'), 30, ' ') || ' stdout: ' || l.props AS line FROM l JOIN acts ON l.activationId = acts.activationId
   WHERE acts.activationId = '000000000010' AND (epoch_us(l.ts) // 1000) >= start - 864000000 AND ("end" = 0 OR (epoch_us(l.ts) // 1000) <= "end" + 864000000)""")
 def log4_activation_logs(spark: SparkSession, d: str) -> DataFrame:
     return REC.activation_logs(_container_logs(spark, d), event_docs(spark, d), "000000000010", 864_000_000)
 
 
-@query(f"""WITH {ACTS}, l AS (SELECT lpad((event_id // 4)::VARCHAR, 12, '0') AS activationId FROM events WHERE event_id % 2 = 0)
+@query(f"""WITH {ACTS}, l AS (SELECT lpad((event_id // 2)::VARCHAR, 12, '0') AS activationId FROM events)
   SELECT acts.activationId, 0 AS seq, namespace || '/' || name AS action FROM l JOIN acts ON l.activationId = acts.activationId UNION ALL SELECT activationId, 1, NULL FROM acts""")
 def log5_enrich_logs(spark: SparkSession, d: str) -> DataFrame:
     return REC.enrich_logs(_container_logs(spark, d), event_docs(spark, d)).select("activationId", "seq", F.get_json_object("line", "$.action").alias("action"))

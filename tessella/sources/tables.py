@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only where that is unset, as in local tests, a temporary folder is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_dsv(spark: SparkSession, path: str | list[str], schema: str | T.StructType, sep: str = "|", null: str = "-") -> DataFrame:
     """Headerless delimited files, one or many (names, folders or globs), each row ended by a separator. Empty and ``null`` fields are missing."""
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
