@@ -499,9 +499,9 @@ def agg1_group_sum(spark: SparkSession, d: str) -> DataFrame:
     return R.group_sum(t(spark, d, "lineitem").withColumn("p", money("l_extendedprice")), ["l_orderkey", "l_suppkey"], "p")
 
 
-@query("SELECT o_custkey, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+@query("SELECT o_custkey, avg(round(o_totalprice * 100)::BIGINT) AS mean FROM orders GROUP BY 1")
 def agg2_group_mean(spark: SparkSession, d: str) -> DataFrame:
-    return R.group_mean(t(spark, d, "orders"), "o_custkey", "o_totalprice").withColumn("mean", F.round("mean", 4))
+    return R.group_mean(t(spark, d, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint")), "o_custkey", "cents")
 
 
 @query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_distinct FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
@@ -660,13 +660,13 @@ def win2_counter_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {COUNTERS}, l AS (SELECT *, lag(counter) OVER w AS pc, lag(n) OVER w AS pn FROM counters WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
   s AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS window_start, sum(CASE WHEN pc IS NULL THEN 0 WHEN counter < pc THEN counter ELSE counter - pc END) AS a, sum(CASE WHEN pn IS NULL THEN 0 WHEN n < pn THEN n ELSE n - pn END) AS b FROM l GROUP BY 1, 2)
-  SELECT user_id, (epoch_us(window_start) // 1000) AS window_start, a::DOUBLE AS increase, round(a / 86400.0, 6) AS rate, round(CASE WHEN b <> 0 THEN a / b END, 6) AS mean FROM s""")
+  SELECT user_id, (epoch_us(window_start) // 1000) AS window_start, a::DOUBLE AS increase, a::DOUBLE / 86400 AS rate, CASE WHEN b <> 0 THEN a::DOUBLE / b::DOUBLE END AS mean FROM s""")
 def win3_increase(spark: SparkSession, d: str) -> DataFrame:
     rows = counter_rows(spark, d)
     grown = SE.increase(rows, "user_id", "ts", "counter", "1 day", ["event_id"])
     mean = SE.mean_from_counters(rows, "user_id", "ts", "counter", "n", "1 day", ["event_id"])
     out = grown.join(mean, ["user_id", "window_start"])
-    return out.select("user_id", F.unix_millis(F.col("window_start").cast("timestamp")).alias("window_start"), F.col("increase").cast("double").alias("increase"), F.round("rate", 6).alias("rate"), F.round("mean", 6).alias("mean"))
+    return out.select("user_id", F.unix_millis(F.col("window_start").cast("timestamp")).alias("window_start"), F.col("increase").cast("double").alias("increase"), "rate", "mean")
 
 
 _LAST = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
