@@ -122,13 +122,32 @@ def concat_tables(dfs: Sequence[DataFrame], ordinal: str = "part") -> DataFrame:
     return out
 
 
-def reject_outliers(df: DataFrame, c: str, m: float = 3, by: str | None = None) -> DataFrame:
-    """Rows with abs(x - median) < m * population standard deviation, of all rows or of the row's group.
+def medians(df: DataFrame, c: str, by: str | None = None, out: str = "median") -> DataFrame:
+    """Exact median of present values: one row, or one a group (column ``by``). Equal values are counted before they move; distinct ones
+    are summed by ranges, or by a window that spills, so no task holds them all."""
+    keys = [by] if by else []
+    counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("__n"))
+    if by:
+        w = Window.partitionBy(by)
+        run = counts.withColumn("__before", F.sum("__n").over(w.orderBy(c)) - F.col("__n")).withColumn("__all", F.sum("__n").over(w))
+    else:
+        run = running_totals(counts, [c], "__n", "__before")
+        run = run.crossJoin(F.broadcast(run.agg(F.sum("__n").alias("__all"))))  # one row
+    holds = lambda at: (F.col("__before") <= at) & (at < F.col("__before") + F.col("__n"))
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    two = run.where(holds(low) | holds(high)).groupBy(*keys).agg(F.max(F.when(holds(low), F.col(c))).alias("__l"), F.max(F.when(holds(high), F.col(c))).alias("__h"))
+    return two.select(*keys, ((F.col("__l") + F.col("__h")) / 2).alias(out))
+
 
-    The statistics are one row (or one a group), joined back; percentile counts equal values before it gathers them.
-    """
-    stats = df.groupBy(*([F.col(by).alias("__by")] if by else [])).agg(F.percentile(c, F.lit(0.5)).alias("__mid"), F.stddev_pop(c).alias("__std"))
-    joined = df.join(stats, F.col(by) == F.col("__by")) if by else df.crossJoin(F.broadcast(stats))  # one row
+def reject_outliers(df: DataFrame, c: str, m: float = 3, by: str | None = None) -> DataFrame:
+    """Rows with abs(x - median) < m * population standard deviation, of all rows or of the row's group."""
+    if by:
+        stats = df.groupBy(F.col(by).alias("__by")).agg(F.stddev_pop(c).alias("__std"))
+        stats = stats.join(medians(df, c, by, "__mid").withColumnRenamed(by, "__key"), F.col("__by") == F.col("__key")).drop("__key")
+        joined = df.join(stats, F.col(by) == F.col("__by"))
+    else:
+        stats = df.agg(F.stddev_pop(c).alias("__std")).crossJoin(F.broadcast(medians(df, c, out="__mid")))  # one row each
+        joined = df.crossJoin(F.broadcast(stats))
     return joined.where(F.abs(F.col(c) - F.col("__mid")) < m * F.col("__std")).select(*df.columns)
 
 
@@ -155,17 +174,28 @@ def slice_rows(df: DataFrame, start: int, end: int, order_by: Sequence[str]) ->
     return with_positions(df, order_by, "__pos").where((F.col("__pos") >= start) & (F.col("__pos") < end)).drop("__pos")
 
 
-def with_positions(df: DataFrame, order_by: Sequence[str], out: str = "pos") -> DataFrame:
-    """Position of each row from 0 in an order without ties.
-
-    Rows are dealt by ranges and sorted; a row's number is that inside its partition plus the sizes of the partitions before it.
-    The dealt rows are written once to the shared folder, for another run would draw other ranges.
-    """
+def _dealt(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Rows dealt by ranges and sorted, with their partition and place in it. They are written once to the shared folder, for another run would draw other ranges."""
     id_ = F.monotonically_increasing_id()  # partition in the upper bits, row in the lower 33
     ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("__id", id_)
     ranged = ranged.withColumns({"__part": F.shiftright("__id", 33), "__row": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id")
-    ranged.write.parquet(path := shared_path(df.sparkSession, "positions"))
-    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__part").alias("__of"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each partition
-    return ranged.join(F.broadcast(before), F.col("__part") == F.col("__of")).withColumn(out, F.col("__before") + F.col("__row")).drop("__part", "__of", "__row", "__before")
+    ranged.write.parquet(path := shared_path(df.sparkSession, "dealt"))
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
+def _shifted(ranged: DataFrame, size: Column, inside: Column, out: str) -> DataFrame:
+    """inside plus the sizes of the partitions before; a row a partition is broadcast."""
+    sizes = ranged.groupBy("__part").agg(size.alias("__size"))
+    before = sizes.select(F.col("__part").alias("__of"), (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__start"))
+    return ranged.join(F.broadcast(before), F.col("__part") == F.col("__of")).withColumn(out, F.col("__start") + inside).drop("__part", "__of", "__row", "__start")
+
+
+def with_positions(df: DataFrame, order_by: Sequence[str], out: str = "pos") -> DataFrame:
+    """Position of each row from 0 in an order without ties: its place inside its range plus the sizes of the ranges before."""
+    return _shifted(_dealt(df, order_by), F.count("*"), F.col("__row"), out)
+
+
+def running_totals(df: DataFrame, order_by: Sequence[str], weight: str, out: str) -> DataFrame:
+    """Sum of weight over the rows before each row, in an order without ties, by ranges as in with_positions()."""
+    w = Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _shifted(_dealt(df, order_by), F.sum(weight), F.sum(weight).over(w) - F.col(weight), out)

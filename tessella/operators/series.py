@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import running_totals
+
 
 def counter_rate(df: DataFrame, key: str, ts: str, c: str, order: Sequence[str] = (), out: str = "rate") -> DataFrame:
     """Percent of elapsed time that a cumulative counter advanced; 0 for the first sample and for no elapsed time."""
@@ -76,11 +78,14 @@ def overhead(df: DataFrame, total: str, units: str) -> DataFrame:
 
 
 def cdf(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
-    """Share of values at or below each distinct value, zeros included: counts first, then a running sum over distinct values."""
+    """Share of values at or below each distinct value, zeros included: counts first, then a running sum over distinct values, by ranges if there are no groups."""
     keys = [by] if by else []
     counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    return counts.select(*keys, c, "n", (F.sum("n").over(w.orderBy(c)) / F.sum("n").over(w)).alias("cdf"))
+    if by:
+        w = Window.partitionBy(by)
+        return counts.select(by, c, "n", (F.sum("n").over(w.orderBy(c)) / F.sum("n").over(w)).alias("cdf"))
+    run = running_totals(counts, [c], "n", "__before")
+    return run.crossJoin(F.broadcast(run.agg(F.sum("n").alias("__all")))).select(c, "n", ((F.col("__before") + F.col("n")) / F.col("__all")).alias("cdf"))
 
 
 def histogram(df: DataFrame, c: str, low: float, width: float, n: int, by: str | None = None) -> DataFrame:

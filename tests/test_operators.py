@@ -102,6 +102,18 @@ def test_outliers_and_scaling(spark):
     assert got(ML.minmax_scale(same, ["a", "b"])) == [(0.0, None), (1.0, None)]
 
 
+def test_medians_and_cdf(spark):
+    rng = np.random.default_rng(3)
+    x = [float(v) for v in rng.integers(0, 40, 301)] + [None]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(x)], "x double, g int").repartition(5)
+    s = pd.DataFrame({"x": x, "g": [i % 3 for i in range(302)]})
+    assert R.medians(df, "x").first()[0] == s.x.median()
+    assert {r.g: r["median"] for r in R.medians(df, "x", "g").collect()} == s.groupby("g").x.median().to_dict()
+    assert R.medians(df.limit(0), "x").first()[0] is None
+    want = {v: (s.x <= v).sum() / 301 for v in s.x.dropna()}
+    assert {r.x: r["cdf"] for r in SE.cdf(df.select("x"), "x").collect()} == pytest.approx(want)
+
+
 def test_read_dsv(spark, tmp_path):
     (tmp_path / "a_1.dat").write_text("1|x|2.50|\n2||-|\n")
     (tmp_path / "a_2.dat").write_text("-|y||\n")
