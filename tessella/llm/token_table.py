@@ -2,7 +2,7 @@
 
 A shard is one file of a range of identifiers, files and records in ascending order. Its layout, integers little-endian:
 
-    block*      zlib-compressed; records one after another: shared (u8), rest (u8), count (u64), key bytes that differ from
+    block*      zstd-compressed; records one after another: shared (u8), rest (u8), count (u64), key bytes that differ from
                 the key before (the first record of a block shares none), then count token ids of width bytes
     index       for each block: key length (u16), first key, offset (u64), stored bytes (u64)
     filter      Bloom filter of all keys, its bits as bytes
@@ -21,6 +21,7 @@ Defined cases: a null or empty text has only the end id; an empty table has no f
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import struct
 import zlib
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, fresh, new_path, small_batches
+from .common import ASCII_LOWER, cut, fresh, give_back, new_path, small_batches
 
 END_ID = 1
 MAGIC = 0x54535354_41424C45
@@ -42,7 +43,9 @@ FOOTER = struct.Struct("<8Q")
 BLOCK_BYTES = 1 << 18
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Words whose ids a task remembers; others are encoded again when they return.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
+#: Texts encoded together.
+AT_ONCE = 200
 
 
 class WordEncoder:
@@ -96,15 +99,30 @@ class WordEncoder:
         whole = {i: self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if t and self.CONTROL.search(t)}
         folded = [b"" if not t or i in whole else t.encode().translate(ASCII_LOWER) for i, t in enumerate(texts)]
         get = self.memo.get
-        known = [list(map(get, t.split())) for t in folded]
-        gaps = {i: [(k, w) for k, w in enumerate(folded[i].split()) if ids[k] is None] for i, ids in enumerate(known) if None in ids}
-        found = self._miss(list({w for g in gaps.values() for _, w in g})) if gaps else {}
-        for i, g in gaps.items():
-            for k, w in g:
-                known[i][k] = found[w]
+        words = [t.split() for t in folded]
+        known = [list(map(get, w)) for w in words]
+        gaps: list[tuple[list, list[bytes], int]] = []
+        for w, ids in zip(words, known, strict=True):
+            k = -1
+            try:
+                while True:
+                    k = ids.index(None, k + 1)
+                    gaps.append((ids, w, k))
+            except ValueError:
+                pass
+        if gaps:
+            found = self._miss(list({w[k] for _, w, k in gaps}))
+            for ids, w, k in gaps:
+                ids[k] = found[w[k]]
         return [whole[i] if i in whole else b"".join(ids) for i, ids in enumerate(known)]
 
 
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks that a worker process runs, so its memory of words outlives a task."""
+    return WordEncoder(path)
+
+
 def key_bytes(doc_id: int | None) -> bytes:
     return b"\0" if doc_id is None else b"\1" + struct.pack(">Q", (doc_id + (1 << 63)) & (1 << 64) - 1)
 
@@ -122,6 +140,9 @@ class TableWriter:
     """Writes records in key order to a binary stream."""
 
     def __init__(self, out, width: int):  # noqa: ANN001
+        import zstandard
+
+        self.pack = zstandard.ZstdCompressor(level=1).compress
         self.out, self.width, self.at = out, width, 0
         self.parts, self.size, self.first, self.last = [], 0, None, b""
         self.index, self.keys, self.ids = [], [], 0
@@ -146,7 +167,7 @@ class TableWriter:
 
     def _flush(self) -> None:
         if self.parts:
-            data = zlib.compress(b"".join(self.parts), 1)
+            data = self.pack(b"".join(self.parts))
             self.index.append((self.first, self.at, len(data)))
             self._write(data)
             self.parts, self.size, self.first = [], 0, None
@@ -168,6 +189,9 @@ class TableReader:
     """Random-access file to records; one block is in memory at a time."""
 
     def __init__(self, file):  # noqa: ANN001
+        import zstandard
+
+        self.unpack = zstandard.ZstdDecompressor().decompress
         self.file = file
         size = file.size()
         index_at, bloom_at, self.hashes, blocks, self.records, self.ids, self.width, magic = FOOTER.unpack(file.read_at(FOOTER.size, size - FOOTER.size))
@@ -184,7 +208,7 @@ class TableReader:
 
     def block(self, i: int) -> Iterator[tuple[bytes, np.ndarray]]:
         offset, n = self.place[i]
-        raw, at, key = zlib.decompress(self.file.read_at(n, offset)), 0, b""
+        raw, at, key = self.unpack(self.file.read_at(n, offset)), 0, b""
         while at < len(raw):
             shared, rest, count = struct.unpack_from("<BBQ", raw, at)
             at += 10
@@ -234,28 +258,26 @@ def write_table(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
                 system.create_dir(base, recursive=True)
                 final = f"shard-{task.partitionId():06d}.tokens"
                 temporary = f"{base}/_{final}.{task.taskAttemptId()}"
-                encoder = WordEncoder(tokenizer_path)
+                encoder = shared_encoder(tokenizer_path)
                 out = system.open_output_stream(temporary)
                 writer = TableWriter(out, encoder.width)
                 end = encoder._pack([END_ID])
             ids = batch.column(0).to_pylist()
-            for lo in range(0, len(ids), 200):
-                texts = batch.column(1).slice(lo, 200).to_pylist()
-                for k, packed in zip(ids[lo : lo + 200], encoder.encode(texts), strict=True):
+            for lo in range(0, len(ids), AT_ONCE):
+                texts = batch.column(1).slice(lo, AT_ONCE).to_pylist()
+                for k, packed in zip(ids[lo : lo + AT_ONCE], encoder.encode(texts), strict=True):
                     writer.add(key_bytes(k), packed + end)
         if writer is not None:
             writer.close()
             out.close()
             system.move(temporary, f"{base}/{final}")
+            give_back()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "file": [f"{folder}/{final}"], "records": pa.array([len(writer.keys)], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = [shards] if shards else []
     files = rows.repartitionByRange(*parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard int, file string, records long, ids long")
-    listing = spark.createDataFrame([], files.schema) if not docs.columns else files
-    path = new_path(spark, "token-files")
-    listing.write.parquet(path)
-    return spark.read.schema(files.schema).parquet(path)
+    return cut(files, "token-files")
 
 
 def read_table(files: DataFrame) -> DataFrame:
@@ -306,11 +328,20 @@ def lookup(files: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataF
                 with system.open_input_file(f"{root}/{base}") as file:
                     table = TableReader(file)
                     *_, last = table.block(len(table.place) - 1)
-                    yield pa.RecordBatch.from_pydict({"file": [name], "low": pa.array([key_value(table.first[0])], pa.int64()), "high": pa.array([key_value(last[0])], pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"first": pa.array([table.first[0]], pa.binary()), "last": pa.array([last[0]], pa.binary()), "file": [name]})
+
+    # one row a file: its first and last key; files are disjoint and ascend, so a binary search names the only one that can hold a key
+    ranges = sorted(tuple(r) for r in files.select("file").mapInArrow(edges, "first binary, last binary, file string").collect())
+    firsts, lasts, names = ([bytes(r[i]) if i < 2 else r[i] for r in ranges] for i in range(3))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            at = [bisect.bisect_right(firsts, key_bytes(k)) - 1 for k in ids]
+            there = [i >= 0 and key_bytes(k) <= lasts[i] for i, k in zip(at, ids, strict=True)]
+            yield pa.RecordBatch.from_pydict({"file": pa.array([names[i] for i, t in zip(at, there, strict=True) if t], pa.string()), key: pa.array([k for k, t in zip(ids, there, strict=True) if t], pa.int64())})
 
-    ranges = files.select("file").mapInArrow(edges, "file string, low long, high long")
-    least = F.lit(-(1 << 63))
-    pairs = asked.join(ranges, F.coalesce(key, least).between(F.coalesce("low", least), F.coalesce("high", least))).select("file", key)
+    pairs = asked.mapInArrow(route, f"file string, `{key}` long")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = table = file = None
