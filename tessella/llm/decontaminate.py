@@ -7,7 +7,7 @@ transform of these strings with a wavelet matrix for ranks and sampled suffix po
 its interval, last-to-first steps lead from its rows to sampled positions, and the occurrences merge into removal spans.
 
 Phrases go to the tasks in blocks of at most ``BLOCK_WORDS`` words, whatever the size of the benchmark; each block is one
-search over all documents and the spans of all blocks are merged.
+search over all documents and the spans of all blocks are merged. A benchmark of over ``MAX_BLOCKS`` blocks is refused.
 
 Defined cases: null and empty texts have no words and aren't contaminated; an item with null or wordless text has no window;
 a null item_id counts as the empty string in lists; repeated items count once; an empty benchmark contaminates nothing.
@@ -29,6 +29,8 @@ from .common import fresh, small_batches
 WINDOW = 10
 #: Words of phrases in a block: the bound of what is sent to every task at once (some 20 MB).
 BLOCK_WORDS = 2_000_000
+#: Blocks of one run; their phrases pass through the driver. A larger benchmark is refused and has to be searched in parts.
+MAX_BLOCKS = 64
 #: Every so many positions of a string, the suffix position is stored.
 SAMPLE = 8
 
@@ -225,11 +227,13 @@ def _searcher(phrases: Phrases):  # noqa: ANN202
 
 
 def phrase_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> list[list[tuple]]:
-    """Benchmark items in blocks of at most block_words words (one item at least), read block by block."""
+    """Benchmark items in blocks of about block_words words (one item at least)."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null").distinct()
     size = F.size(F.split("text", " "))
     total = items.agg(F.sum(size)).first()[0] or 0
     n = -(-total // block_words)
+    if n > MAX_BLOCKS:
+        raise ValueError(f"the benchmark has {total} words; search it in parts of at most {MAX_BLOCKS * block_words}")
     key = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
     return [[tuple(r) for r in items.where(key == b).collect()] for b in range(n)]
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,6 +52,12 @@ def test_blocks_of_phrases(spark, odd):
     check(spark, odd, ROWS, block_words=4)
 
 
+def test_a_benchmark_beyond_the_bound_is_refused(spark, odd):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    with pytest.raises(ValueError, match="in parts"):
+        D.phrase_blocks(bench.unionByName(bench.selectExpr("item_id + 50", "repeat(text, 100)").toDF("item_id", "text")), block_words=1)
+
+
 def test_empty(spark, odd, empty):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert D.find_passages(empty, bench, out="__h").count() == 0
