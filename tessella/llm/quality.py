@@ -160,10 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         known = known.withColumnRenamed("__id", "doc_id").where(learn).withColumnRenamed("doc_id", "__id")
     known = known.groupBy("__id").agg(F.avg("__y").alias("__y")).where("__y <> 0.5")
     n = known.count()
-    if n > fit_rows:  # a little under the bound, which then holds but for rare chance, and a limit for that
-        share = int((1 << 30) * fit_rows / n * 0.98)
-        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < share).limit(fit_rows)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(known, "__id").select("__id", statistics_udf("__text").alias("x"), (F.col("__y") > 0.5).cast("int").alias("y"))
+    share = min(1 << 30, int((1 << 30) * fit_rows / max(1, n) * (0.98 if n > fit_rows else 1)))  # a little under the bound, and a limit for rare chance
+    known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < share).limit(fit_rows)
+    # at most fit_rows pairs of numbers are broadcast, so the documents' texts aren't shuffled for a sample of them
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id").select("__id", statistics_udf("__text").alias("x"), (F.col("__y") > 0.5).cast("int").alias("y"))
     found = sorted(rows.limit(2 * fit_rows).collect(), key=lambda r: (r["__id"], r["x"]))
     x = np.array([r["x"] for r in found], np.float64).reshape(len(found), len(STATISTICS))
     return fit_trees(x, np.array([r["y"] for r in found], np.float64))
