@@ -142,7 +142,7 @@ class TableWriter:
     def __init__(self, out, width: int):  # noqa: ANN001
         import zstandard
 
-        self.pack = zstandard.ZstdCompressor(level=1).compress
+        self.pack = zstandard.ZstdCompressor(level=3).compress
         self.out, self.width, self.at = out, width, 0
         self.parts, self.size, self.first, self.last = [], 0, None, b""
         self.index, self.keys, self.ids = [], [], 0
