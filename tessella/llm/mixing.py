@@ -146,13 +146,41 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return ranked.join(got, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def copies(sized: DataFrame, targets: DataFrame, chunks: int = CHUNKS, seed: int = SEED) -> DataFrame:
+    """Copies of whole documents: doc_id, source, size, times, one row for each such key with words; times averages target / source_size.
+
+    A systematic sample: a source's keys are laid in a row, by classes of half an octave of their words and pseudorandomly inside
+    a class; key i is taken floor((i + 1) * r + u) - floor(i * r + u) times, with r = target / source_size and one pseudorandom u
+    a source. So every key, long or short, is expected r times and never above the cap, and any run of the row has its share
+    within one copy. Positions are running sums over classes, over ``chunks`` slices of a class and inside a slice.
+    """
+    name = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+    place = _number(F.lit(f"place{seed}"), name, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    rows = sized.where("size > 0").groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    rows = rows.select("doc_id", "source", "size", F.floor(2 * F.log2(F.col("size") * F.col("n"))).cast("long").alias("class"), place.alias("place"))
+    rows = rows.withColumn("chunk", F.pmod("place", F.lit(chunks)))
+    slices = rows.groupBy("source", "class", "chunk").agg(F.count("*").alias("n"))
+    classes = slices.groupBy("source", "class").agg(F.sum("n").alias("n"))
+    classes = classes.select("source", "class", (F.sum("n").over(Window.partitionBy("source").orderBy("class")) - F.col("n")).alias("lower"))
+    slices = slices.select("source", "class", "chunk", (F.sum("n").over(Window.partitionBy("source", "class").orderBy("chunk")) - F.col("n")).alias("before"))
+    rows = rows.withColumn("inside", F.row_number().over(Window.partitionBy("source", "class", "chunk").orderBy("place", "doc_id", "size")) - 1)
+    rows = _same(rows, _same(slices, classes, ["source", "class"]), ["source", "class", "chunk"]).withColumn("nth", F.col("lower") + F.col("before") + F.col("inside"))
+    rate = (F.col("target") / F.col("source_size")).alias("rate")
+    shift = (F.pmod(_number(F.lit(f"shift{seed}"), name), F.lit(1 << 20)) / float(1 << 20)).alias("shift")
+    rows = _same(rows, targets.where("source_size > 0").select("source", rate, shift), ["source"])
+    upto = [F.floor((F.col("nth") + i) * F.col("rate") + F.col("shift")) for i in (0, 1)]
+    return rows.select("doc_id", "source", "size", F.least(F.lit(CAP), upto[1] - upto[0]).cast("int").alias("times"))
+
+
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs as often as the mix takes them, its words over the document's size, rounded: not at all, once or twice."""
-    plan = mix(docs, doc_id, text, source).where("size > 0")
-    # rows of one doc_id, source and size are alike to the mix: what it takes of them is shared by all of them
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.avg(F.col("taken") / F.col("size")).alias("part"))
+    """The rows of docs as often as ``copies`` says: not at all, once or twice, so that each source has its target's words.
+
+    Rows of one doc_id, source and size are taken alike; each is still expected target / source_size times.
+    """
+    sized = cut(sizes(docs, doc_id, text, source), "sizes")
+    plan = copies(sized, cut(source_targets(sized), "targets"))
     id_, source_, size_, times, copy = (fresh(docs, c) for c in ("__id", "__source", "__size", "__times", "__copy"))
-    plan = plan.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_), F.floor(F.col("part") + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
+    plan = plan.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_), F.col("times").alias(times)).where(F.col(times) > 0)
     plan = cut(plan, "mix")
     same = F.col(doc_id).eqNullSafe(F.col(id_)) & F.col(source).eqNullSafe(F.col(source_)) & (size_of(F.col(text)) == F.col(size_))
     return docs.join(plan, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing as M
@@ -55,3 +57,31 @@ def test_apply(odd):
     assert out.columns == odd.columns
     assert out.where("text is null or text = ''").count() == 0
     assert out.groupBy(*[F.col(c) for c in out.columns]).count().where("count > 4").count() == 0
+
+
+def test_long_documents_come_as_often_as_the_target_says(spark):
+    # a, d and g stop at twice their size, c is left with 0.4 of its own; b, e, f, h and i are one short document each
+    n = {"a": 88, "d": 88, "g": 88, "c": 120}
+    rows, i = [], 0
+    for s in "abcdefghi":
+        for _ in range(n.get(s, 1)):
+            i += 1
+            rows.append((i, 5000 + i * 7919 % 15001 if s in n else 5, s))
+    docs = spark.createDataFrame(rows, "doc_id long, words int, source string").select("doc_id", F.expr("repeat('w ', words)").alias("text"), "source")
+    targets = {r.source: r for r in M.source_targets(M.sizes(docs)).collect()}
+    assert 0.3 < targets["c"].target / targets["c"].source_size < 0.5
+    out = M.apply_mix(docs).select("doc_id", "source", M.size_of(F.col("text")).alias("size")).collect()
+    assert max(Counter(r.doc_id for r in out).values()) <= 2
+    for s in n:
+        words = sum(r.size for r in out if r.source == s)
+        assert abs(words - targets[s].target) < 0.03 * targets[s].source_size, s
+
+
+def test_copies_average_the_rate_at_any_length(spark):
+    # one word to 50,000: below one block and over dozens
+    sized = spark.range(3000).selectExpr("id as doc_id", "'s' as source", "cast(pow(10, (id % 48) / 10) as long) as size")
+    for rate in (0.1, 0.4, 0.7, 1.3, 1.8, 2.0):
+        targets = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("target", rate * F.col("source_size"))
+        got = M.copies(sized, targets).groupBy((F.col("doc_id") % 48 < 24).alias("short")).agg(F.avg("times").alias("mean"), F.min("times").alias("least"), F.max("times").alias("most")).collect()
+        for r in got:
+            assert abs(r.mean - rate) < 0.01 and r.least >= int(rate) and r.most <= min(2, int(rate) + 1)
