@@ -10,7 +10,8 @@
 4. ``draw`` also maps slots to blocks: slot j goes through a pseudorandom permutation of the source's block numbers, a
    swap-or-not shuffle of ``ROUNDS`` rounds keyed by md5, so no table of indices is made, sorted or sent; the permutation
    starts anew after each pass, hence no block is taken more than ceil(target / size) times.
-5. ``taken``: slots join blocks by (source, block).
+5. ``mixed``: slots join blocks by (source, block); the result is the mix, the document spans of each slot of each shard.
+   ``shard_counts`` has its slots by shard and source, ``taken`` its words by document.
 
 All draws are functions of the seed, the source and the index: reruns agree.
 
@@ -76,7 +77,7 @@ def plan_slots(targets: DataFrame, block: int = BLOCK, split: int = SPLIT) -> Da
 
 
 def pack(sized: DataFrame, slots: DataFrame, chunks: int = CHUNKS) -> DataFrame:
-    """Segments of documents: doc_id, row, source, size, block, words (of the document in that block). Documents without words have none."""
+    """Segments of documents: doc_id, row, source, size, block, first (word of the document in that block, from 0), words. Documents without words have none."""
     chunk = F.coalesce(F.pmod(F.col("doc_id"), F.lit(chunks)), F.lit(0))
     rows = sized.withColumn("chunk", chunk).where("size > 0")
     totals = rows.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
@@ -87,8 +88,9 @@ def pack(sized: DataFrame, slots: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     starts = _same(starts, slots.select("source", "block_words"), ["source"])
     first, last = F.floor(F.col("start") / F.col("block_words")).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / F.col("block_words")).cast("long")
     parts = starts.withColumn("block", F.explode(F.sequence(first, last)))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words")) - F.greatest("start", F.col("block") * F.col("block_words"))
-    return parts.select("doc_id", "row", "chunk", "source", "size", "block", words.alias("words"))
+    begin = F.greatest("start", F.col("block") * F.col("block_words"))
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words")) - begin
+    return parts.select("doc_id", "row", "chunk", "source", "size", "block", (begin - F.col("start")).alias("first"), words.alias("words"))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,17 +129,40 @@ def draw(slots: DataFrame, seed: int = SEED, rounds: int = ROUNDS, shard_slots:
     return out.select("source", "slot", shard.alias("shard"), F.aggregate("keys", F.col("nth"), swap).alias("block"))
 
 
-def taken(segments: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Words taken of each document that has words: doc_id, chunk, row, source, taken. Blocks that no slot took count 0."""
-    times = drawn.groupBy("source", "block").agg(F.count("*").alias("times"))
-    return _same(segments, times, ["source", "block"]).groupBy("source", "chunk", "doc_id", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+def shard_counts(drawn: DataFrame) -> DataFrame:
+    """Slots by output shard and source: shard, source, slots. Each slot's shard is an independent draw, so a source's counts are multinomial."""
+    return drawn.groupBy("shard", "source").agg(F.count("*").alias("slots"))
+
+
+def mixed(segments: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The mix, one row a document span of a slot: shard, slot, source, block, doc_id, chunk, row, first, words.
+
+    (shard, source, slot) names one copy of a block; its spans are words first to first + words - 1 of the documents in it.
+    """
+    spans = segments.select("source", "block", "doc_id", "chunk", "row", "first", "words")
+    return _same(spans, drawn, ["source", "block"]).select("shard", "slot", "source", "block", "doc_id", "chunk", "row", "first", "words")
+
+
+def mixed_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix of a table of documents, as ``mixed`` returns it, written to the shared folder."""
+    return _mixed(cut(sizes(docs, doc_id, text, source), "sizes"))[1]
+
+
+def _mixed(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    targets = cut(plan_slots(source_targets(sized)), "targets")
+    return targets, cut(mixed(pack(sized, targets), draw(targets)), "mixed")
+
+
+def taken(mix: DataFrame) -> DataFrame:
+    """Words taken of each document in the mix: source, chunk, doc_id, row, taken. Documents that no slot took have no row."""
+    return mix.groupBy("source", "chunk", "doc_id", "row").agg(F.sum("words").alias("taken"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken."""
+    """The mix summed up, one row a document: doc_id, source, size, source_size, target, taken."""
     sized = cut(sizes(docs, doc_id, text, source), "sizes")
-    targets = cut(plan_slots(source_targets(sized)), "targets")
-    got = taken(pack(sized, targets), draw(targets)).select("doc_id", "source", "row", "taken")
+    targets, blocks = _mixed(sized)
+    got = taken(blocks).select("doc_id", "source", "row", "taken")
     chunk = F.coalesce(F.pmod(F.col("doc_id"), F.lit(CHUNKS)), F.lit(0))
     ranked = sized.withColumn("row", F.when(F.col("size") > 0, F.row_number().over(Window.partitionBy("source", chunk, F.col("size") > 0).orderBy("doc_id", "size"))))
     ranked = _same(ranked, targets.select("source", "source_size", "target"), ["source"])

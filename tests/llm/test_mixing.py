@@ -85,3 +85,48 @@ def test_copies_average_the_rate_at_any_length(spark):
         got = M.copies(sized, targets).groupBy((F.col("doc_id") % 48 < 24).alias("short")).agg(F.avg("times").alias("mean"), F.min("times").alias("least"), F.max("times").alias("most")).collect()
         for r in got:
             assert abs(r.mean - rate) < 0.01 and r.least >= int(rate) and r.most <= min(2, int(rate) + 1)
+
+
+def test_mix_holds_whole_blocks_in_shards(spark):
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('w ', cast(1 + id * 37 % 900 as int)) as text", "case id % 4 when 0 then null when 1 then 'b' else 'a' end as source")
+    sized = M.sizes(docs).cache()
+    slots = M.plan_slots(M.source_targets(sized)).cache()
+    drawn = M.draw(slots, shard_slots=64).cache()
+    plan = {r.source: r for r in slots.collect()}
+    blocks = {(r.source, r.slot): r for r in drawn.collect()}
+    assert len(blocks) == drawn.count() == sum(r.slots for r in plan.values())
+
+    # slots by shard and source add up to the plan and vary as a multinomial draw does
+    counts = {(r.shard, r.source): r.slots for r in M.shard_counts(drawn).collect()}
+    shards = -(-len(blocks) // 64)
+    assert {k for k, _ in counts} == set(range(shards))
+    for source, r in plan.items():
+        of = [counts.get((k, source), 0) for k in range(shards)]
+        mean = r.slots / shards
+        assert sum(of) == r.slots
+        chi2 = sum((n - mean) ** 2 / mean for n in of)
+        assert abs(chi2 - (shards - 1)) < 4 * (2 * (shards - 1)) ** 0.5
+
+    # every slot holds its block's words once: spans of documents, end to end
+    rows = M.mixed(M.pack(sized, slots), drawn).collect()
+    size = {r.doc_id: r.size for r in sized.collect()}
+    spans, documents, by_shard = {}, {}, {}
+    for r in rows:
+        assert (r.shard, r.block) == (blocks[r.source, r.slot].shard, blocks[r.source, r.slot].block)
+        assert 0 <= r.first and 0 < r.words and r.first + r.words <= size[r.doc_id]
+        spans[r.source, r.slot] = spans.get((r.source, r.slot), 0) + r.words
+        documents[r.doc_id] = documents.get(r.doc_id, 0) + r.words
+        by_shard.setdefault((r.shard, r.source), set()).add(r.slot)
+    assert {k: len(v) for k, v in by_shard.items()} == counts
+    for (source, slot), words in spans.items():
+        p = plan[source]
+        assert words == min(p.block_words, p.source_size - blocks[source, slot].block * p.block_words)
+    assert spans.keys() == blocks.keys()
+    assert {r.doc_id: r.taken for r in M.mix(docs).collect() if r.taken} == documents
+
+
+def test_mixed_blocks(odd, empty):
+    mix = M.mixed_blocks(odd)
+    assert mix.columns == ["shard", "slot", "source", "block", "doc_id", "chunk", "row", "first", "words"]
+    assert sum(r.words for r in mix.collect()) == sum(r.taken for r in M.mix(odd).collect()) > 0
+    assert M.mixed_blocks(empty).count() == 0
