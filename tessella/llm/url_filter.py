@@ -6,8 +6,11 @@ host, whose concatenated names are split by the most probable sequence under a u
 
 Nothing labels the pages, so the model learns from seeds: a page whose host holds a word of ``BLOCK_WORDS`` counts as block,
 others as allow; token counts over all pages then spread the seeds' weight to words that go with them. Counts are kept in
-2**16 hashed buckets a class and the unigram model in ``VOCABULARY`` most frequent words (documented bounds of the model), so
-what goes to the tasks has a fixed size whatever the number of pages.
+2**16 hashed buckets a class (a documented bound of the model). The unigram table holds all words and stays a table: the
+pieces of up to ``LONGEST`` letters of each distinct run of letters of a host are joined with it, and each run is split once,
+by the costs of its own pieces.
+
+Words are runs of letters of any script, lower-cased, with percent escapes decoded; digits are no words.
 
 Defined cases: null URLs and URLs without "://" have empty host and path, no rule, and the verdict of no tokens at all (allow,
 unless most pages are block); repeated pages are rows of their own; an empty table gives an empty result.
@@ -15,7 +18,6 @@ unless most pages are block); repeated pages are rows of their own; an empty tab
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, small_batches
+from .common import cut, small_batches
 
 #: Words of hosts to block, and common words that names are made of.
 BLOCK_WORDS = ("ad", "ads", "adult", "banner", "bet", "bets", "bonus", "casino", "cheap", "click", "clickbait", "deal", "deals", "escort", "farm", "farms", "free", "gambling", "jackpot", "loan", "loans", "lottery", "lotto", "meds", "payday", "pharma", "pharmacy", "pill", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "xxx")
@@ -33,13 +35,12 @@ PLAIN_WORDS = ("art", "best", "big", "blog", "book", "books", "business", "city"
 #: Seeds that block only beside another seed, being common words too.
 WEAK = frozenset(("ad", "banner", "best", "bonus", "click", "deal", "deals", "farm", "farms", "free", "track", "win", "cheap"))
 SEED_COUNT = 50
-VOCABULARY = 50_000
 LONGEST = 24
 BUCKETS = 1 << 16
 SMOOTH = 20.0
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LETTERS = re.compile(r"[a-z]+")
+_LETTERS = r"[\p{L}\p{M}]+"
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -70,32 +71,26 @@ class Segmenter:
         self.cost = {w: -float(np.log(n / total)) for w, n in merged.items()}
         #: A run that is no word costs as much as one that was met less than once, and more with each letter.
         self.unknown = float(np.log(total)) + 2.0
-        self.memo: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
-        if name in self.memo:
-            return self.memo[name]
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            choices = []
-            for start in range(max(0, end - LONGEST), end):
-                w = name[start:end]
-                cost = self.cost.get(w)
-                choices.append((best[start] + (self.unknown + 1.5 * len(w) if cost is None else cost), start))
-            cost, start = min(choices)
-            best.append(cost)
-            back.append(start)
-        words, end = [], len(name)
-        while end:
-            words.append(name[back[end] : end])
-            end = back[end]
-        words.reverse()
-        if len(self.memo) < 100_000:
-            self.memo[name] = words
-        return words
-
-    def tokens(self, host: str, path: str) -> tuple[list[str], list[str]]:
-        return [w for part in _LETTERS.findall(host) for w in self.split(part)], _LETTERS.findall(path.encode().translate(ASCII_LOWER).decode())
+        return best_split(name, self.cost, self.unknown)
+
+
+def best_split(name: str, cost_of: dict[str, float], unknown: float) -> list[str]:
+    best, back = [0.0], [0]
+    for end in range(1, len(name) + 1):
+        choices = []
+        for start in range(max(0, end - LONGEST), end):
+            cost = cost_of.get(name[start:end])
+            choices.append((best[start] + (unknown + 1.5 * (end - start) if cost is None else cost), start))
+        cost, start = min(choices)
+        best.append(cost)
+        back.append(start)
+    words, end = [], len(name)
+    while end:
+        words.append(name[back[end] : end])
+        end = back[end]
+    return words[::-1]
 
 
 def is_seed(words: list[str]) -> bool:
@@ -104,15 +99,54 @@ def is_seed(words: list[str]) -> bool:
 
 
 def _bucket(kind: str, word: str) -> int:
-    return zlib.crc32(f"{kind}{word}".encode()) & (BUCKETS - 1)
+    return zlib.crc32(f"{kind}{word}".encode("utf-8", "replace")) & (BUCKETS - 1)
+
+
+def _plain(part: Column) -> Column:
+    """Lower case, percent escapes decoded where they are well-formed."""
+    return F.lower(F.coalesce(F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))), part))
+
+
+def unigrams(pages: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
+    """w, n: counts of all words of paths and of the parts of hyphenated host names, and SEED_COUNT for each known word."""
+    hyphened = F.flatten(F.filter(F.transform(F.split(_plain(F.col(host)), r"\."), lambda x: F.split(x, "-")), lambda x: F.size(x) > 1))
+    parts = F.concat(F.regexp_extract_all(_plain(F.col(path)), F.lit(_LETTERS), F.lit(0)), hyphened)
+    words = pages.select(F.explode(parts).alias("w")).where(F.col("w").rlike(f"^{_LETTERS}$")).groupBy("w").agg(F.count("*").alias("n"))
+    known = pages.sparkSession.createDataFrame([(w, SEED_COUNT) for w in (*BLOCK_WORDS, *PLAIN_WORDS)], "w string, n long")
+    return words.unionByName(known).groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """name, words: the best split of each of the distinct names, by the costs of its own pieces in the whole unigram table."""
+    total = counts.agg(F.sum("n")).first()[0] + 1
+    unknown = float(np.log(total)) + 2.0
+    names = cut(names.select("name", F.monotonically_increasing_id().alias("nth")), "names")
+    pieces = names.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("name"))))
+    pieces = pieces.withColumn("long", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("at") + 1))))
+    pieces = pieces.select("nth", F.substring(F.col("name"), F.col("at"), F.col("long")).alias("w")).distinct()
+    costs = pieces.join(counts, "w").groupBy("nth").agg(F.collect_list("w").alias("known"), F.collect_list("n").alias("n"))
+
+    @F.pandas_udf("array<string>")
+    def split(name: pd.Series, known: pd.Series, n: pd.Series) -> pd.Series:
+        def one(text, ws, ns):
+            cost = {} if ws is None else {w: -float(np.log(k / total)) for w, k in zip(ws, ns, strict=True)}
+            return best_split(text, cost, unknown)
+
+        return pd.Series([one(*x) for x in zip(name, known, n, strict=True)], dtype=object)
+
+    return names.join(costs, "nth", "left").select("name", split("name", "known", "n").alias("words"))
 
 
-def unigrams(pages: DataFrame, host: str = "host", path: str = "path") -> dict[str, int]:
-    """Counts of the most frequent words: of paths, and of the parts of hyphenated host names."""
-    hyphened = F.flatten(F.filter(F.transform(F.split(F.col(host), r"\."), lambda x: F.split(x, "-")), lambda x: F.size(x) > 1))
-    parts = F.concat(F.split(F.translate(F.col(path), _UPPER, _LOWER), "[^a-z]+"), hyphened)
-    words = pages.select(F.explode(parts).alias("w")).where("w rlike '^[a-z]+$'").groupBy("w").agg(F.count("*").alias("n"))
-    return {r["w"]: r["n"] for r in words.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()}
+def tokenized(rows: DataFrame) -> DataFrame:
+    """rows with host_words and path_words. Runs of letters are split once each, hosts put together once each."""
+    runs = F.regexp_extract_all(_plain(F.col("host")), F.lit(_LETTERS), F.lit(0))
+    hosts = rows.select("host").distinct().select("host", F.posexplode(runs).alias("at", "name"))
+    words = cut(split_names(hosts.select("name").distinct(), cut(unigrams(rows), "unigrams")), "words")
+    hosts = hosts.join(words, "name").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("x"))
+    hosts = cut(hosts.select("host", F.flatten(F.col("x.words")).alias("host_words")), "hosts")
+    path_words = F.regexp_extract_all(_plain(F.col("path")), F.lit(_LETTERS), F.lit(0))
+    rows = rows.join(hosts, "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
+    return cut(rows.withColumn("path_words", path_words), "pages")
 
 
 class Bayes:
@@ -130,15 +164,13 @@ class Bayes:
         return float(1 / (1 + np.exp(-np.clip(x, -50, 50))))
 
 
-def fit(pages: DataFrame, host: str = "host", path: str = "path") -> tuple[Segmenter, Bayes]:
-    """Counts over all pages; tasks return sums, at most 2 * BUCKETS rows each."""
-    segmenter = Segmenter(unigrams(pages, host, path))
+def fit(pages: DataFrame) -> Bayes:
+    """Counts over all ``tokenized`` pages; tasks return sums, at most 2 * BUCKETS rows each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hw, pw = segmenter.tokens(h, p)
+            for hw, pw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 kind = int(is_seed(hw))
                 n[kind] += 1
                 for k, ws in (("h", hw), ("p", pw)):
@@ -147,14 +179,14 @@ def fit(pages: DataFrame, host: str = "host", path: str = "path") -> tuple[Segme
         kind, at = np.nonzero(tokens)
         yield pa.RecordBatch.from_pydict({"kind": pa.array([*kind, 0, 1], pa.int32()), "bucket": pa.array([*at, -1, -1], pa.int32()), "n": pa.array([*tokens[kind, at], *n], pa.int64())})
 
-    found = pages.select(host, path).mapInArrow(count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect()
+    found = pages.select("host_words", "path_words").mapInArrow(count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect()
     counts, n = np.zeros((2, BUCKETS)), np.zeros(2)
     for r in found:
         if r["bucket"] < 0:
             n[r["kind"]] = r["n"]
         else:
             counts[r["kind"], r["bucket"]] = r["n"]
-    return segmenter, Bayes(counts, n)
+    return Bayes(counts, n)
 
 
 def judge(pages: DataFrame, url: str = "url", page_id: str = "page_id", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -162,13 +194,13 @@ def judge(pages: DataFrame, url: str = "url", page_id: str = "page_id", rules: S
     small_batches(pages.sparkSession, 5000)
     host, path = parse(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    segmenter, bayes = fit(rows)
+    rows = tokenized(rows)
+    bayes = fit(rows)
 
-    @F.pandas_udf("score double, words array<string>")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in batches:
-            tokens = [segmenter.tokens(h, p) for h, p in zip(hosts, paths, strict=True)]
-            yield pd.DataFrame({"score": [bayes.block(h, p) for h, p in tokens], "words": [h for h, _ in tokens]})
+            yield pd.Series([bayes.block(list(h), list(p)) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
 
-    rows = rows.withColumn("ruled", match_rules(F.col("host"), F.col("path"), rules)).withColumn("judged", score("host", "path"))
-    return rows.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", F.when(F.col("judged.score") > 0.5, "block").otherwise("allow")).alias("verdict"), F.col("judged.score").alias("score"), F.col("judged.words").alias("words"))
+    rows = rows.withColumn("ruled", match_rules(F.col("host"), F.col("path"), rules)).withColumn("score", score("host_words", "path_words"))
+    return rows.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score", F.col("host_words").alias("words"))

@@ -125,3 +125,13 @@ def test_spam_hosts_are_blocked(spark):
     spam = [r for r in rows if any(x in r.host for x in ("spam-farm", "cheap-pills"))]
     assert spam and all(r.verdict == "block" for r in spam)
     assert sum(r.verdict == "block" for r in rows) < 0.5 * len(rows)
+
+
+def test_rare_words_and_other_scripts_are_known(spark):
+    # 60,000 words met twice sort before the one met once, which splits a host all the same
+    common = spark.range(120_000).selectExpr("id as page_id", "concat('http://h.org/', translate(lpad(cast(id % 60000 as string), 5, '0'), '0123456789', 'abcdefghij')) as url")
+    rare = [(-1, "http://h.org/zyxwvu"), (-2, "http://zyxwvunews.org/"), (-3, "http://новости.org/"), (-4, "http://h.org/caf%C3%A9")]
+    pages = common.unionByName(spark.createDataFrame(rare, "page_id long, url string"))
+    words = {r.page_id: r.words for r in U.judge(pages).where("page_id < 0").collect()}
+    assert words[-2] == ["zyxwvu", "news", "org"] and "".join(words[-3]) == "новостиorg"
+    assert {r.w for r in U.unigrams(spark.createDataFrame([("a", "/caf%C3%A9")], "host string, path string")).where("w like 'caf%'").collect()} == {"café"}
