@@ -1,22 +1,27 @@
 """Exact top-k inner-product search by ball trees.
 
-Vectors are made integers by floor(scale * x). A shard is one Arrow batch of candidates. Its ball tree halves the points along the
-direction of widest spread down to leaves of ``LEAF`` points; a node knows its centre and radius. For a query q a node's
-points have inner products of at most q.centre + |q| * radius. A shard's nodes are taken in order of that bound for a block
-of queries at a time, and a node is passed by for every query whose current kth score exceeds the bound. The kth scores are
-shared: leaves of a shard share them, shards of a task share them, and all tasks start from the kth scores that a first
-search over at most ``PILOT`` candidates has found (scores of real rows, so a bound from below of each final kth score).
-
-Queries go in blocks of at most ``QUERY_BLOCK`` rows, the bound of what is sent to the tasks at once; each block is searched
-against all candidates. Tasks return k rows a query at most, and a window keeps the k best of them.
+Vectors are made integers by floor(scale * x). A shard is up to ``SHARD`` candidates of a task. Its ball tree halves the points
+along the direction of widest spread down to leaves of ``LEAF`` points; a node knows its centre and radius. For a query q a
+node's points have inner products of at most q.centre + |q| * radius. A shard's nodes are taken in order of that bound for a
+block of queries at a time, and a node is passed by for every query whose current kth score exceeds the bound. The kth scores
+are shared: leaves of a shard and the shards that a task holds share them, and all tasks start from the kth scores that a first
+search over some ``PILOT`` candidates has found (scores of real rows, so a bound from below of each final kth score).
+
+Nothing of this passes through the driver. Queries are a written table in blocks of about ``QUERY_BLOCK`` rows, with the kth scores
+of the first search, which a task a block makes. A search task gathers up to ``HELD`` candidates and their trees, then reads
+the blocks one by one from the shared folder; candidates are read once, whatever the number of queries. Tasks return at
+most k rows a query for what they held, and a window keeps the k best of them.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; a query meets only vectors of
 its own length; of several rows with a query's vec_id the least vector asks, and none of those rows is its candidate;
-other repeated rows are candidates each; null vec_ids take no part; ties go to the smaller vec_id.
+other repeated rows are candidates each; rows with a null vec_id ask nothing but are candidates, last among equal scores; ties go
+to the smaller vec_id. Scores must be whole numbers of 64 bits: components beyond that are refused.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, file_system, new_path
 
 SCALE = 1024
 LEAF = 64
 QUERY_BLOCK = 4096
 PILOT = 4096
-#: Candidates of a shard.
-SHARD = 8192
+#: Candidates of a shard, and those that a task holds together with their trees.
+SHARD, HELD = 8192, 1 << 17
+NONE = np.iinfo(np.int64).min
 
 
 class BallTree:
@@ -61,75 +67,131 @@ class BallTree:
 
 
 class TopK:
-    """Best k of each query so far: score falling, then vec_id rising."""
+    """Best k of each query so far: score falling, then place rising (candidates are placed in order of vec_id)."""
 
-    def __init__(self, queries: int, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor.astype(np.float64)
-        self.score = np.full((queries, k), -np.inf)
-        self.vec_id = np.full((queries, k), np.iinfo(np.int64).max)
+    def __init__(self, queries: int, k: int, floor: np.ndarray | None = None):
+        self.k = k
+        self.floor = np.full(queries, NONE) if floor is None else floor
+        self.score = np.full((queries, k), NONE)
+        self.place = np.full((queries, k), np.iinfo(np.int64).max)
 
     def bound(self) -> np.ndarray:
         """What a new score must reach."""
         return np.maximum(self.floor, self.score[:, -1])
 
-    def add(self, query: np.ndarray, score: np.ndarray, vec_id: np.ndarray) -> None:
-        """score: queries x points; -inf for none."""
+    def add(self, query: np.ndarray, score: np.ndarray, place: np.ndarray) -> None:
+        """score: queries x points; NONE for none."""
         s = np.concatenate((self.score[query], score), axis=1)
-        v = np.concatenate((self.vec_id[query], np.broadcast_to(vec_id, score.shape)), axis=1)
-        best = np.lexsort((v, -s), axis=1)[:, : self.k]
-        self.score[query], self.vec_id[query] = np.take_along_axis(s, best, 1), np.take_along_axis(v, best, 1)
-
-
-def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, top: TopK) -> None:
-    """Branch and bound over one shard's ball tree; x, q: integers as float64, whose products float64 holds exactly."""
-    tree = BallTree(x)
-    norm = np.sqrt((q**2).sum(axis=1))
-    reach = q @ tree.centre.T + norm[:, None] * tree.radius
-    reach += 1e-9 * (np.abs(reach) + norm[:, None] * (np.abs(tree.centre).max() + 1)) + 1e-6  # rounding must never lower a bound
-    heap: list[tuple[float, int, np.ndarray]] = [(-float(reach[:, 0].max()), 0, np.arange(len(q)))]
-    import heapq
-
-    while heap:
-        _, node, asked = heapq.heappop(heap)
-        asked = asked[reach[asked, node] >= top.bound()[asked]]
-        if not len(asked):
-            continue
-        lo, hi, _, _, left, right = tree.nodes[node]
-        if left < 0:
-            rows = tree.order[lo:hi]
-            score = q[asked] @ x[rows].T
-            score[(ids[rows] == query_ids[asked][:, None]) | (score < top.bound()[asked][:, None])] = -np.inf
-            some = (score > -np.inf).any(axis=1)
-            if some.any():
-                top.add(asked[some], score[some], ids[rows])
-        else:
-            for child in (left, right):
-                heapq.heappush(heap, (-float(reach[asked, child].max()), child, asked))
-
-
-def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-
-
-def _searcher(query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray):  # noqa: ANN202
+        v = np.concatenate((self.place[query], np.broadcast_to(place, score.shape)), axis=1)
+        best = np.lexsort((v, ~s), axis=1)[:, : self.k]
+        self.score[query], self.place[query] = np.take_along_axis(s, best, 1), np.take_along_axis(v, best, 1)
+
+
+class Shard:
+    """Candidates with their ball tree. x: whole numbers, as float64 where products stay exact there and as int64 otherwise."""
+
+    def __init__(self, names: np.ndarray, known: np.ndarray, place: np.ndarray, x: np.ndarray):
+        self.names, self.known, self.place, self.x = names, known, place, x
+        self.tree = BallTree(x.astype(np.float64))
+
+    def search(self, query_names: np.ndarray, q: np.ndarray, top: TopK) -> None:
+        """Branch and bound for a block of queries."""
+        tree, wide = self.tree, q.astype(np.float64)
+        norm = np.sqrt((wide**2).sum(axis=1))
+        reach = wide @ tree.centre.T + norm[:, None] * tree.radius
+        reach += 1e-9 * (np.abs(reach) + norm[:, None] * (np.abs(tree.centre).max() + 1)) + 1e-6  # rounding must never lower a bound
+        heap: list[tuple[float, int, np.ndarray]] = [(-float(reach[:, 0].max()), 0, np.arange(len(q)))]
+        while heap:
+            _, node, asked = heapq.heappop(heap)
+            asked = asked[reach[asked, node] >= top.bound()[asked]]
+            if not len(asked):
+                continue
+            lo, hi, _, _, left, right = tree.nodes[node]
+            if left < 0:
+                rows = tree.order[lo:hi]
+                score = (q[asked] @ self.x[rows].T).astype(np.int64)
+                score[(self.known[rows] & (self.names[rows] == query_names[asked][:, None])) | (score < top.bound()[asked][:, None])] = NONE
+                some = (score > NONE).any(axis=1)
+                if some.any():
+                    top.add(asked[some], score[some], self.place[rows])
+            else:
+                for child in (left, right):
+                    heapq.heappush(heap, (-float(reach[asked, child].max()), child, asked))
+
+
+def _matrix(column: pa.ListArray, width: int, kind: type) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
+
+
+def _table(folder: str, columns: list[str], block: int | None = None) -> pa.Table:
+    from pyarrow import parquet
+
+    system, base = file_system(folder)
+    return parquet.read_table(base if block is None else f"{base}/block={block}", filesystem=system, columns=columns, partitioning=None).combine_chunks()
+
+
+@functools.lru_cache(maxsize=1)
+def _block(folder: str, block: int, width: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """vec_ids, vectors and kth scores of a written block of queries; a worker keeps the last one."""
+    rows = _table(folder, ["vec_id", "v", "floor"], block)
+    return rows["vec_id"].to_numpy(), _matrix(rows["v"].combine_chunks(), width, kind), rows["floor"].to_numpy()
+
+
+def _shards(ids: pa.Array, x: np.ndarray) -> list[Shard]:
+    """Shards of the candidates, placed in order of vec_id, nulls last."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    names = ids.fill_null(0).to_numpy()
+    place = np.empty(len(names), np.int64)
+    place[np.lexsort((names, ~known))] = np.arange(len(names))
+    return [Shard(names[at], known[at], place[at], x[at]) for at in (slice(i, i + SHARD) for i in range(0, len(names), SHARD))]
+
+
+def _floors(pilot: str, width: int, kind: type, k: int):  # noqa: ANN202
+    """kth scores of a block's queries among the pilot candidates."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = TopK(len(q), k, floor)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        shards = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if shards is None:
+                rows = _table(pilot, ["vec_id", "v"])
+                shards = _shards(rows["vec_id"].combine_chunks(), _matrix(rows["v"].combine_chunks(), width, kind)) if rows.num_rows else []
+            top = TopK(batch.num_rows, k)
+            for s in shards:
+                s.search(batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), width, kind), top)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("vec_id"), batch.column("v"), pa.array(top.bound())], ["block", "vec_id", "v", "floor"])
 
-        def shard() -> None:
-            ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            search_shard(ids, x, query_ids, q, top)
+    return search
+
+
+def _searcher(queries: str, blocks: list[int], width: int, kind: type, k: int):  # noqa: ANN202
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
+            ids = rows["vec_id"].combine_chunks()
+            shards = _shards(ids, _matrix(rows["v"].combine_chunks(), width, kind))
+            at = np.empty(len(ids), np.int64)
+            at[np.concatenate([s.place for s in shards])] = np.arange(len(ids))
+            for b in blocks:
+                names, q, floor = _block(queries, b, width, kind)
+                top = TopK(len(q), k, floor)
+                for s in shards:
+                    s.search(names, q, top)
+                row, nth = np.nonzero(top.score > NONE)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[row]), ids.take(pa.array(at[top.place[row, nth]])), pa.array(top.score[row, nth])], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), q.shape[1])))
-                if sum(len(i) for i, _ in held) >= SHARD:
-                    shard()
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= HELD:
+                    yield from done()
         if held:
-            shard()
-        row, at = np.nonzero(top.score > -np.inf)
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(query_ids[row]), "vec_id": pa.array(top.vec_id[row, at]), "score": pa.array(top.score[row, at].astype(np.int64))})
+            yield from done()
 
     return search
 
@@ -137,7 +199,7 @@ def _searcher(query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray):
 def integer_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
     """vec_id, v (array of long), width; only whole vectors."""
     x = F.col(embedding).cast("array<double>")
-    good = F.col(embedding).isNotNull() & (F.size(embedding) > 0) & F.col(vec_id).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    good = F.col(embedding).isNotNull() & (F.size(embedding) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return rows.where(good).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"), F.size(embedding).alias("width"))
 
 
@@ -145,29 +207,25 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
     """query_id, rank, vec_id, score for every row that satisfies is_query (a condition on column vec_id), against all other rows."""
     spark = rows.sparkSession
     v = cut(integer_vectors(rows, vec_id, embedding, scale), "vectors")
-    asked = v.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("width", F.size("v"))
-    shape = asked.groupBy("width").agg(F.count("*").alias("n")).collect()  # one row for each length of vector
-    largest = v.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
-    out = None
-    for width, n in ((r["width"], r["n"]) for r in shape):
-        if largest * largest * width >= 1 << 53:
-            raise ValueError("inner products leave the whole numbers that float64 holds; choose a smaller scale")
+    asked = cut(v.where(is_query & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("width", F.size("v")), "asked")
+    largest = F.max(F.array_max(F.transform("v", lambda c: F.greatest(F.abs(c.cast("double")), F.lit(1.0)))))
+    shape = v.groupBy("width").agg(F.count("*").alias("all"), largest.alias("most")).join(asked.groupBy("width").agg(F.count("*").alias("n")), "width").collect()  # one row for each length of vector
+    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    for width, total, most, n in ((r["width"], r["all"], r["most"], r["n"]) for r in shape):
+        if most * most * width >= 1 << 62:
+            raise ValueError(f"inner products of vectors of {width} components leave 64 bits; choose a smaller scale")
+        kind = np.float64 if most * most * width < 1 << 53 else np.int64
         candidates = v.where(F.col("width") == width).select("vec_id", "v")
-        total = candidates.count()
-        share = min(1 << 30, int((1 << 30) * PILOT / max(1, total)))
-        pilot = candidates.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).limit(2 * PILOT).toArrow().combine_chunks()
+        share = min(1 << 30, int((1 << 30) * PILOT / max(1, total)) + 1)
+        pilot = new_path(spark, "pilot")
+        candidates.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).limit(2 * PILOT).write.parquet(pilot)
         blocks = -(-n // QUERY_BLOCK)
-        for b in range(blocks):
-            part = asked.where((F.col("width") == width) & (F.pmod(F.xxhash64("vec_id", F.lit(b"block")), F.lit(blocks)) == b)).select("vec_id", "v").toArrow().combine_chunks()
-            if not part.num_rows:
-                continue
-            ids, q = part.column("vec_id").to_numpy(), _matrix(part.column("v").combine_chunks(), width)
-            first = TopK(len(q), k, np.full(len(q), -np.inf))
-            if pilot.num_rows:
-                search_shard(pilot.column("vec_id").to_numpy(), _matrix(pilot.column("v").combine_chunks(), width), ids, q, first)
-            found = candidates.mapInArrow(_searcher(ids, q, k, first.bound()), "query_id long, vec_id long, score long")
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        block = F.pmod(F.xxhash64("vec_id", F.lit(b"block")), F.lit(blocks)).cast("int")
+        queries = new_path(spark, "queries")
+        dealt = asked.where(F.col("width") == width).select(block.alias("block"), "vec_id", "v").repartition(blocks, "block").sortWithinPartitions("block")
+        dealt.mapInArrow(_floors(pilot, width, kind, k), "block int, vec_id long, v array<long>, floor long").write.partitionBy("block").parquet(queries)
+        numbers = sorted(r[0] for r in spark.read.schema("vec_id long, block int").parquet(queries).select("block").distinct().collect())
+        found = candidates.mapInArrow(_searcher(queries, numbers, width, kind, k), "query_id long, vec_id long, score long")
+        out = out.unionByName(found)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

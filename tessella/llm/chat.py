@@ -2,19 +2,25 @@
 
 Running sums of turn tokens over a conversation place each turn on a line; the line is cut every ``step`` tokens, where step
 is what the budget leaves beside the system turn and the repeated history. Turns inside one piece share a window, a turn
-that straddles a cut has a window of its own, so windows are turn-aligned and only a turn longer than step can exceed the
-budget. A window starts with the conversation's first system turn, then the last turns before it while they fit into
-``history`` tokens; these repeated turns are masked, so each assistant turn is a target once.
+that straddles a cut has a window of its own, so windows are turn-aligned and only the window of a turn longer than step can
+exceed the budget. A window starts with the conversation's first system turn, then the last turns before it while they fit
+into ``history`` tokens; these repeated turns are masked, so each assistant turn is a target once.
 
-A turn's tokens are its white-space-separated words and ``OVERHEAD`` for its marks. A turn is written
+A system turn of over a quarter of the budget stays whole in the window where it stands, one of its own if it is long; the
+other windows repeat its head only, at most that quarter, marked by ``MORE``. So the budget holds, and the output is within a
+fixed multiple of the input, however long the system turn.
+
+A turn's tokens are its white-space-separated words, or its code points over ``TOKEN_CHARS`` if these are more (text without
+spaces), and ``OVERHEAD`` for its marks. A turn is written
 
     <s>role\\n[INST]text[/INST]</s>        and, for assistant turns,        <s>role\\ntext</s>
 
 In role and text, a backslash becomes \\0, the four control strings get \\1 after their first character, and a line feed in a
 role becomes \\2; ``unescape`` undoes this, so any text survives.
 
-Rows are dealt by conversation and sorted on disk where needed; a window holds at most budget / OVERHEAD turns, so no task
-gathers a conversation of any length.
+Rows are dealt by conversation, so one task orders a conversation's rows, spilling to disk where needed; a row of the result
+holds one window, at most budget / OVERHEAD turns, never a conversation. ``digests`` alone gathers a conversation in a row, as
+its digests are of whole conversations; these may have up to 2 GB.
 
 Defined cases: null texts and roles are empty; turns sort by turn (null first), role and text, and repeated rows are turns of
 their own; rows of a null conv_id form one conversation; an empty table gives no windows.
@@ -27,6 +33,10 @@ from pyspark.sql import functions as F
 
 BUDGET, HISTORY = 512, 128
 OVERHEAD = 4
+#: Code points that count as a token where a text has few words, and what ends the head of a longer system turn.
+TOKEN_CHARS = 8
+MORE = " [...]"
+_SPACE = r"[\x20\x09-\x0D]+"
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 
 
@@ -41,16 +51,30 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\2"), F.lit("\n")), F.lit("\\1"), F.lit("")), F.lit("\\0"), F.lit("\\"))
 
 
+def tokens_of(text: Column) -> Column:
+    words = F.size(F.filter(F.split(text, _SPACE), lambda x: x != ""))
+    return F.greatest(words, F.ceil(F.length(text) / TOKEN_CHARS)).cast("long") + OVERHEAD
+
+
+def head_of(text: Column, tokens: int) -> Column:
+    """The first words of a text, of at most so many tokens with OVERHEAD and MORE."""
+    most = max(0, tokens - OVERHEAD - 1)
+    words = F.filter(F.split(F.substring(text, 1, TOKEN_CHARS * most), _SPACE), lambda x: x != "")
+    return F.concat(F.array_join(F.slice(words, 1, most), " "), F.lit(MORE))
+
+
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row a window: conv_id, window, first_turn (number of its first new turn), repeated (turns at its start that are
     repeated), text, tokens, loss (spans of code points, start from 0 and length, of its target texts)."""
     t = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    t = t.withColumn("tokens", F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long") + OVERHEAD)
+    t = t.withColumn("tokens", tokens_of(F.col("text")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     whole = Window.partitionBy("conv_id")
     t = t.withColumn("n", F.row_number().over(order)).withColumn("end", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # the first system turn, kept for every window
-    t = t.withColumn("system", F.min(F.when(F.col("role") == "system", F.struct("n", "tokens", "role", "text"))).over(whole))
+    # the first system turn, as far as every window keeps it: whole, or its head; rows carry no more of it than that
+    most = budget // 4
+    shown = F.when(F.col("tokens") <= most, F.col("text")).otherwise(head_of(F.col("text"), most))
+    t = t.withColumn("system", F.min(F.when(F.col("role") == "system", F.struct("n", F.least("tokens", F.lit(most)).alias("tokens"), "role", shown.alias("text")))).over(whole))
     step = F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce(F.col("system.tokens"), F.lit(0)))
     start = F.col("end") - F.col("tokens")
     piece, last = F.floor(start / step), F.floor((F.col("end") - 1) / step)

@@ -1,10 +1,11 @@
-"""Shared helpers: the folder that driver and executors share, lineage cuts, Arrow batch size, byte tables."""
+"""Shared helpers: the folder that driver and executors share, lineage cuts, portions of a batch of texts, byte tables."""
 
 from __future__ import annotations
 
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,32 +13,73 @@ from pyspark.sql import DataFrame, SparkSession
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words of ``documents`` are maximal runs of anything but these bytes; ``bytes.split()`` splits at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts and characters of texts that a task works on at a time, one text at least. What Spark sends to a worker at once is
+#: bounded in rows and bytes by spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch, 64 MB by default.
+AT_ONCE_ROWS, AT_ONCE_CHARS = 1000, 1 << 23
+#: Folders that ``cut`` wrote, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``. Only where it is unset, as in local tests, a temporary one is set."""
+    """The folder named in ``spark.checkpoint.dir``. Where it is unset, a temporary one is set for a local session, whose
+    executors are the driver; on a cluster that is an error, as no local folder is seen by all."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table: lineage ends there, and no executor's loss costs it."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts: at most ``rows`` documents are in a Python worker at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete written folders that nothing reads any more."""
+    own = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in own:
+            own.remove(path)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Folders that the operators have written for this application and that ``discard`` hasn't deleted. Once the results that
+    come from them are stored, ``discard(spark, *written(spark))`` frees the space."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def portions(texts: Sequence[str | None], rows: int = AT_ONCE_ROWS, chars: int = AT_ONCE_CHARS) -> Iterator[slice]:
+    """Slices of a batch, each of at most so many texts and characters, one text at least."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > lo and (i - lo >= rows or size + n > chars):
+            yield slice(lo, i)
+            lo, size = i, 0
+        size += n
+    if len(texts):
+        yield slice(lo, len(texts))
+
+
+def file_system(folder: str):  # noqa: ANN201
+    """pyarrow's file system of a shared folder (local, HDFS, S3, GCS) and the folder's path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
 
 
 def fresh(df: DataFrame, name: str) -> str:

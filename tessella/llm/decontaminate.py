@@ -1,44 +1,49 @@
 """Benchmark decontamination: an FM-index over each shard of training documents, searched for every benchmark phrase.
 
-A phrase is a window of ``WINDOW`` consecutive words of a benchmark item, or a whole shorter item. A shard is one Arrow
-batch of documents. Its texts become strings over the phrases' alphabet: words that no phrase holds end a string, and
+A phrase is a window of ``WINDOW`` consecutive words of a benchmark item, or a whole shorter item. A shard is a run
+of up to 1,000 documents or 8 million characters. Its texts become strings over the phrases' alphabet: words that no phrase holds end a string, and
 strings shorter than the shortest phrase can't hold one, so they aren't indexed. The shard's index is the Burrows-Wheeler
 transform of these strings with a wavelet matrix for ranks and sampled suffix positions; backward search gives each phrase
 its interval, last-to-first steps lead from its rows to sampled positions, and the occurrences merge into removal spans.
 
-Phrases go to the tasks in blocks of at most ``BLOCK_WORDS`` words, whatever the size of the benchmark; each block is one
-search over all documents and the spans of all blocks are merged. A benchmark of over ``MAX_BLOCKS`` blocks is refused.
+Phrases never pass through the driver. Spark cuts the items into pieces of at most ``PIECE`` windows and deals these to blocks
+of about ``BLOCK_WORDS`` words by a hash; a task a block makes the table of its distinct phrases and writes it into the shared
+folder. A search task reads one block at a time, some 50 bytes a word, for each shard of documents that it holds: texts are
+read and split once, whatever the size of the benchmark, and the spans of all blocks are merged.
 
 Defined cases: null and empty texts have no words and aren't contaminated; an item with null or wordless text has no window;
-a null item_id counts as the empty string in lists; repeated items count once; an empty benchmark contaminates nothing.
+item identifiers may be of any type that has a text form, a null one counts as an item and as the empty string in the digest;
+repeated items count once; an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches
+from .common import cut, file_system, new_path, portions
 
 WINDOW = 10
-#: Words of phrases in a block: the bound of what is sent to every task at once (some 20 MB).
-BLOCK_WORDS = 2_000_000
-#: Blocks of one run; their phrases pass through the driver. A larger benchmark is refused and has to be searched in parts.
-MAX_BLOCKS = 64
+#: Words of phrases in a block, about; windows of a piece at most.
+BLOCK_WORDS, PIECE = 500_000, 4096
 #: Every so many positions of a string, the suffix position is stored.
 SAMPLE = 8
 
+#: The same words for Spark, of text in lower case.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: ASCII bytes that aren't letters or digits end words; A-Z become a-z; bytes from 0x80 belong to words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 #: Hits of a document: total words, merged spans [from, to) in words, and the items whose windows occur.
-HITS = "n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<bigint>"
+HITS = "n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -141,36 +146,32 @@ class FMIndex:
 
 
 class Phrases:
-    """Distinct windows of a block of benchmark items."""
+    """Distinct windows of a block of pieces (item, words): patterns (one a row, its codes at the right), their lengths and items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
-        self.ids = sorted({i for i, _ in items}, key=lambda x: (x is not None, x))
+    def __init__(self, pieces: list[tuple[str | None, list[str]]], window: int = WINDOW):
+        self.ids = sorted({i for i, _ in pieces}, key=lambda x: (x is not None, x))
         number = {x: k for k, x in enumerate(self.ids)}
-        known: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            w = [known.setdefault(x, len(known) + 1) for x in words(text)]
-            for at in range(max(1, len(w) - window + 1)) if w else ():
-                of.setdefault(tuple(w[at : at + window]), set()).add(number[item])
-        self.known = known
-        self.lengths = np.fromiter(map(len, of), np.int64, len(of))
+        self.known: dict[bytes, int] = {}
+        rows, items = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
+        for item, text in pieces:
+            w = np.fromiter((self.known.setdefault(x.encode(), len(self.known) + 1) for x in text), np.int32, len(text))
+            if len(w):
+                rows.append(np.lib.stride_tricks.sliding_window_view(w, window) if len(w) >= window else np.concatenate((np.zeros(window - len(w), np.int32), w))[None])
+                items.append(np.full(len(rows[-1]), number[item], np.int32))
+        self.patterns, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(axis=1)
         self.shortest = int(self.lengths.min(initial=window))
-        self.patterns = np.zeros((len(of), window), np.int64)
-        for row, w in enumerate(of):
-            self.patterns[row, window - len(w) :] = w
-        self.item_at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, of.values()), np.int64, len(of)))))
-        self.items = np.fromiter((i for x in of.values() for i in sorted(x)), np.int64, int(self.item_at[-1]))
+        pair = np.unique(of.ravel().astype(np.int64) * max(1, len(self.ids)) + np.concatenate(items))
+        self.items = pair % max(1, len(self.ids))
+        self.item_at = np.searchsorted(pair // max(1, len(self.ids)), np.arange(len(self.patterns) + 1))
 
 
-def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
-    """For each document of a shard: words, merged spans of words hit, numbers of the items found."""
+def search_shard(shard: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[int]]]:
+    """For each document of a shard, given as its words: merged spans of words hit, numbers of the items found."""
     get = phrases.known.get
-    codes, sizes = [], np.zeros(len(texts), np.int64)
-    for k, t in enumerate(texts):
-        w = words(t)
-        sizes[k] = len(w)
-        codes.append(np.fromiter((get(x, 0) for x in w), np.int32, len(w)))
-    none = [(int(n), [], []) for n in sizes]
+    sizes = np.fromiter(map(len, shard), np.int64, len(shard))
+    codes = [np.fromiter((get(x, 0) for x in w), np.int32, len(w)) for w in shard]
+    none = [([], []) for _ in shard]
     doc_at = np.concatenate(([0], np.cumsum(sizes + 1)))  # a 0 ends each document
     text = np.zeros(int(doc_at[-1]), np.int32)
     for at, c in zip(doc_at[:-1], codes, strict=True):
@@ -184,7 +185,7 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, l
     if not len(place):
         return none
     index = FMIndex(text[place])
-    low, high = index.search(phrases.patterns, phrases.lengths)
+    low, high = index.search(phrases.patterns.astype(np.int64), phrases.lengths)
     found = np.flatnonzero(high > low)
     if not len(found):
         return none
@@ -202,66 +203,95 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, l
     doc = np.searchsorted(doc_at, at, side="right") - 1
     pair = np.unique(doc * len(phrases.lengths) + pattern)
     doc, pattern = pair // len(phrases.lengths), pair % len(phrases.lengths)
-    out = [(int(n), [], []) for n in sizes]
+    out = none
     for d, b, e in zip(span_doc.tolist(), (begin - doc_at[span_doc]).tolist(), (end - doc_at[span_doc]).tolist(), strict=True):
-        out[d][1].append((b, e))
+        out[d][0].append((b, e))
     many = (phrases.item_at[1:] - phrases.item_at[:-1])[pattern]
     item = phrases.items[np.repeat(phrases.item_at[pattern], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
     for x in np.unique(np.repeat(doc, many) * len(phrases.ids) + item).tolist():
-        out[x // len(phrases.ids)][2].append(x % len(phrases.ids))
+        out[x // len(phrases.ids)][1].append(x % len(phrases.ids))
     return out
 
 
-def _searcher(phrases: Phrases):  # noqa: ANN202
-    @F.pandas_udf(HITS)
-    def search(shards: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in shards:
-            found = search_shard(list(texts), phrases)
-            yield pd.DataFrame({
-                "n_words": [n for n, _, _ in found],
-                "spans": [[{"start": b, "end": e} for b, e in s] for _, s, _ in found],
-                "items": [[phrases.ids[i] for i in x] for _, _, x in found],
-            })
+def _joined(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Spans of several blocks to disjoint ones in order."""
+    out: list[dict[str, int]] = []
+    for start, end in sorted(spans):
+        if out and out[-1]["end"] >= start:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"start": start, "end": end})
+    return out
 
-    return search
 
+@functools.lru_cache(maxsize=1)
+def _load(folder: str, block: int) -> Phrases:
+    """A written block; a worker keeps the last one."""
+    from pyarrow import parquet
 
-def phrase_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> list[list[tuple]]:
-    """Benchmark items in blocks of about block_words words (one item at least)."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null").distinct()
-    size = F.size(F.split("text", " "))
-    total = items.agg(F.sum(size)).first()[0] or 0
-    n = -(-total // block_words)
-    if n > MAX_BLOCKS:
-        raise ValueError(f"the benchmark has {total} words; search it in parts of at most {MAX_BLOCKS * block_words}")
-    key = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
-    return [[tuple(r) for r in items.where(key == b).collect()] for b in range(n)]
+    system, base = file_system(folder)
+    return pickle.loads(parquet.read_table(f"{base}/block={block}", filesystem=system, columns=["phrases"])["phrases"][0].as_py())
 
 
-def _merge(lists: Column) -> Column:
-    """Spans of several blocks to disjoint ones in order."""
-    empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
-    return F.aggregate(
-        F.array_sort(lists), empty,
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+def _searcher(folder: str, blocks: list[int]):  # noqa: ANN202
+    @F.pandas_udf(HITS)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            texts, rows = list(texts), []
+            for at in portions(texts):
+                shard = [words(t) for t in texts[at]]
+                spans, items = [[] for _ in shard], [set() for _ in shard]
+                for b in blocks:
+                    phrases = _load(folder, b)
+                    for k, (s, x) in enumerate(search_shard(shard, phrases)):
+                        spans[k] += s
+                        items[k].update(phrases.ids[i] for i in x)
+                rows += [(len(w), _joined(s), list(x)) for w, s, x in zip(shard, spans, items, strict=True)]
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+
+    return search
+
+
+def phrase_pieces(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """item, words (array), n (windows): the distinct items in overlapping pieces, so that each window is in one piece of its item."""
+    low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0).distinct()
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window), F.lit(piece))
+    cut_ = F.transform(starts, lambda i: F.slice("w", i + 1, F.lit(piece + window - 1)))
+    return items.select("item", F.explode(cut_).alias("words")).withColumn("n", F.greatest(F.lit(1), F.size("words") - (window - 1)).cast("long"))
+
+
+def write_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[str, list[int]]:
+    """Folder and numbers of the written blocks of phrases."""
+    spark = benchmark.sparkSession
+    pieces = cut(phrase_pieces(benchmark, item_id, text, window), "phrase-pieces")
+    n = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str | None, list[str]]] = []
+        at = None
+        made = lambda: pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "phrases": pa.array([pickle.dumps(Phrases(held, window))], pa.binary())})
+        for batch in batches:
+            for b, item, w in zip(*(batch.column(c).to_pylist() for c in ("block", "item", "words")), strict=True):
+                if held and b != at:
+                    yield made()
+                    held.clear()
+                at = b
+                held.append((item, w))
+        if held:
+            yield made()
+
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(n)).cast("int")
+    made = pieces.select(block.alias("block"), "item", "words").repartition(n, "block").sortWithinPartitions("block").mapInArrow(build, "block int, phrases binary")
+    folder = new_path(spark, "phrases")
+    made.write.partitionBy("block").parquet(folder)
+    return folder, sorted(r[0] for r in spark.read.schema("phrases binary, block int").parquet(folder).select("block").collect())
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All rows and columns of docs, with column ``out`` (instead of one of that name): struct of n_words, removal spans [start, end) in words, items found."""
-    small_batches(docs.sparkSession)
-    blocks = phrase_blocks(benchmark, block_words=block_words) or [[]]
-    hits = []
-    for b in blocks:
-        docs = docs.withColumn(h := fresh(docs, f"__hits{len(hits)}"), _searcher(Phrases(b, window))(F.col(text)))
-        hits.append(h)
-    if len(hits) == 1:
-        return docs.withColumn(out, F.col(hits[0])).drop(*hits)
-    spans, items = (F.flatten(F.array(*[F.col(h)[k] for h in hits])) for k in ("spans", "items"))
-    return docs.withColumn(out, F.struct(F.col(hits[0])["n_words"].alias("n_words"), _merge(spans).alias("spans"), F.array_distinct(items).alias("items"))).drop(*hits)
+    folder, blocks = write_blocks(benchmark, window=window, block_words=block_words)
+    return docs.withColumn(out, _searcher(folder, blocks)(F.col(text)))
 
 
 def contaminated(hits: str = "hits") -> Column:
@@ -271,7 +301,7 @@ def contaminated(hits: str = "hits") -> Column:
 def report(found: DataFrame, doc_id: str = "doc_id", hits: str = "hits") -> DataFrame:
     """Digest columns of find_passages()."""
     h = F.col(hits)
-    names = F.array_sort(F.transform(h["items"], lambda x: F.coalesce(x.cast("string"), F.lit(""))))
+    names = F.array_sort(F.transform(h["items"], lambda x: F.coalesce(x, F.lit(""))))
     return found.select(
         F.col(doc_id).alias("doc_id"),
         h["n_words"].alias("n_words"),

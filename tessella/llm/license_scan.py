@@ -1,11 +1,13 @@
 """Licence scan by canonical digests, with DataFrame functions only.
 
-A text is brought to a canonical form: lower case, copyright lines dropped, equivalent spellings joined, everything but
-letters and digits read as one space. Its SHA-256 is hash-joined to the digests of known licences, so entire texts are
-compared whatever their layout. ``KNOWN`` holds public short licence texts and notices; any table (license_id, text) serves.
+A text is brought to a canonical form: lower case, copyright lines dropped, everything but letters and digits read as one space,
+equivalent spellings joined. Its SHA-256 is hash-joined to the digests of known licences, so entire texts are compared
+whatever their layout. Known licences are any table (license_id, text); ``read_licenses`` makes one of a folder of texts,
+``known_licenses`` one of the short public texts in ``license_texts``.
 
 Defined cases: null texts have a null digest and no licence; texts without letters or digits have the digest of the empty text,
-which is no licence; two known texts with one digest give the smaller license_id; repeated documents are rows of their own.
+which is no licence; two known texts with one digest give the smaller license_id; repeated documents are rows of their own;
+other columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
@@ -13,50 +15,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lines that name a holder, not the terms.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
-#: Spellings that licence texts use for the same word: pattern, replacement; lower case.
-EQUIVALENT = (
-    (r"\b(licence)(s|d|e|es|ed)?\b", "license$2"),
-    (r"\bsub-?licen[cs]e\b", "sublicense"),
-    (r"\borgani[sz]ation", "organization"),
-    (r"\bauthori[sz]", "authoriz"),
-    (r"\bmerchantability\b|\bmerchantibility\b", "merchantability"),
-    (r"\bnon-?infringement\b", "noninfringement"),
-    (r"https?://", ""),
-)
-
-MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-ZERO_BSD = ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
-APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+from .common import cut
+from .license_texts import KNOWN
 
-http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-
-KNOWN = (
-    ("0BSD", ZERO_BSD),
-    ("Apache-2.0-notice", APACHE_NOTICE),
-    ("GPL-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", ISC),
-    ("MIT", MIT),
-    ("MIT-titled", "MIT License\n\n" + MIT),
-    ("MIT-line", "Released under the MIT License."),
-)
+#: Lines that name a holder and a year, not the terms. Java and RE2 read it alike.
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[ \t:]*(\(c\)|©|[0-9]{4}|<|\[)|\(c\)[^\n]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+#: Spellings that licence texts use for the same word, with what replaces them, in this order; plain text, words parted by one space.
+EQUIVALENT = (
+    (" licence", " license"), (" sub license", " sublicense"), (" sublicence", " sublicense"), (" organis", " organiz"), (" authoris", " authoriz"), (" acknowledgement", " acknowledgment"),
+    (" merchantibility", " merchantability"), (" non infringement", " noninfringement"), (" noncommercial", " non commercial"), (" https ", " "), (" http ", " "),
+)
+#: Known digests up to which they are sent to every task, some 20 MB; a longer table is joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    for pattern, to in EQUIVALENT:
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")), F.lit(" "))
+    for old, new in EQUIVALENT:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.trim(out)
 
 
 def digest(text: Column) -> Column:
@@ -67,9 +45,17 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN), "license_id string, text string")
 
 
+def read_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """license_id, text: every file of a folder, named by its file name without .txt."""
+    name = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.txt$", "")
+    return spark.read.text(folder, wholetext=True).select(F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name).alias("license_id"), F.col("value").alias("text"))
+
+
 def scan(docs: DataFrame, licenses: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, digest, license_id (null if its text is no known licence). Spark picks the join by the tables' sizes."""
+    """One row a document: doc_id, digest, license_id (null if its text is no known licence)."""
     named = licenses.select(F.col("license_id"), digest(F.col("text")).alias("known")).where(F.col("known") != F.sha2(F.lit(""), 256))
-    named = named.groupBy("known").agg(F.min("license_id").alias("license_id"))
+    named = cut(named.groupBy("known").agg(F.min("license_id").alias("license_id")), "licenses")
+    if named.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
     of = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"))
     return of.join(named, of["digest"] == named["known"], "left").select("doc_id", "digest", "license_id")

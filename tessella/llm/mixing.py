@@ -2,25 +2,30 @@
 
 1. ``source_targets``: a word's share for each source by weight, no target above ``cap`` times its source's size, the excess
    shared among the others by weight (a water level found by running sums over sources sorted by cap / weight).
-2. ``pack``: each source's documents, laid end to end, are cut into blocks of a fixed length of the source. Offsets are
-   running sums in two steps, inside ``CHUNKS`` slices of a source and over the slices' totals, so a source that holds a
-   third of all rows is summed by many tasks.
-3. ``draw``: a source's slots (how many blocks its target takes) are dealt to output shards, each slot to one at random: the
-   counts of a source over the shards are a multinomial draw, conditioned on the total that the target sets.
-4. ``draw`` also maps slots to blocks: slot j goes through a pseudorandom permutation of the source's block numbers, a
-   swap-or-not shuffle of ``ROUNDS`` rounds keyed by md5, so no table of indices is made, sorted or sent; the permutation
-   starts anew after each pass, hence no block is taken more than ceil(target / size) times.
-5. ``mixed``: slots join blocks by (source, block); the result is the mix, the document spans of each slot of each shard.
-   ``shard_counts`` has its slots by shard and source, ``taken`` its words by document.
+2. ``pack``: each source's documents, laid end to end, are cut into blocks of a fixed length of the source. Places are
+   running sums in two steps, inside slices of a source and over the slices' totals; a slice is a hash of identifier and
+   size, there are as many as a slice has rows (the root of the number of documents), so a source that holds a third of
+   all rows is summed by many tasks.
+3. ``shard_counts``: a multinomial draw of each source's slots (how many blocks its target takes) over the output shards;
+   it is conditioned on the source's total, so that the counts of all shards add up to what the target sets.
+4. ``draw``: a shard's slots are dealt from those counts, a source's slots going up with the shards, and each is mapped to a
+   block by a pseudorandom permutation of the source's block numbers: a swap-or-not shuffle of ``ROUNDS`` rounds keyed by
+   md5, so no table of indices is made, sorted or sent. The permutation starts anew after each pass, hence no block is taken
+   more than ceil(target / size) times.
+5. ``mixed``: slots join blocks by (source, block); the result is the mix, the document spans of each slot of each shard,
+   written shard by shard. ``taken`` sums it up by document, ``apply_mix`` turns it into documents again.
 
 All draws are functions of the seed, the source and the index: reruns agree.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; the null source is a source of its own, last; repeated
-rows are rows of their own; an empty table gives an empty mix; other columns don't matter.
+rows are rows of their own; identifiers may be of any type that has a text form, null among them; an empty table gives an
+empty mix; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +33,14 @@ from .common import WORD, cut, fresh
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
-CHUNKS = 512
 ROUNDS = 8
 SEED = 17
 #: Blocks are at most so many words; a small source has shorter ones, its size over SPLIT.
 BLOCK, SPLIT = 1024, 256
 #: Slots of an output shard, about.
 SHARD_SLOTS = 4096
+#: Slots drawn by a task, about, and tasks at most.
+RUN_SLOTS, MOST_TASKS = 10_000, 4096
 
 
 def size_of(text: Column) -> Column:
@@ -43,7 +49,26 @@ def size_of(text: Column) -> Column:
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"))
+    """doc_id, source, size and two hashes that name the row: key (of doc_id and source), text_hash."""
+    key, text_hash = _names(F.col(doc_id), F.col(source), F.col(text))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), key.alias("key"), text_hash.alias("text_hash"))
+
+
+def _names(doc_id: Column, source: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows apart; equal for equal rows only, null or not."""
+    return F.xxhash64(doc_id.isNull(), doc_id, source.isNull(), source), F.xxhash64(text.isNull(), text)
+
+
+def _number(*parts: Column) -> Column:
+    """60 bits of an md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str], hint: str | None = None) -> DataFrame:
+    """Inner join in which null keys meet: nulls are moved to a column of their own, so Spark can still hash the keys."""
+    right = right.select(*[x for i, k in enumerate(keys) for x in (F.col(k).isNull().alias(f"__n{i}"), F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"__{i}"))], *[c for c in right.columns if c not in keys])
+    on = [c for i, k in enumerate(keys) for c in (F.coalesce(left[k].cast("string"), F.lit("")) == right[f"__{i}"], left[k].isNull() == right[f"__n{i}"])]
+    return left.join(right.hint(hint) if hint else right, on).drop(*[f"__{i}" for i in range(len(keys))], *[f"__n{i}" for i in range(len(keys))])
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -76,136 +101,141 @@ def plan_slots(targets: DataFrame, block: int = BLOCK, split: int = SPLIT) -> Da
     return t.withColumn("slots", passes * F.col("blocks") + rest)
 
 
-def pack(sized: DataFrame, slots: DataFrame, chunks: int = CHUNKS) -> DataFrame:
-    """Segments of documents: doc_id, row, source, size, block, first (word of the document in that block, from 0), words. Documents without words have none."""
-    chunk = F.coalesce(F.pmod(F.col("doc_id"), F.lit(chunks)), F.lit(0))
-    rows = sized.withColumn("chunk", chunk).where("size > 0")
-    totals = rows.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
-    totals = totals.select("source", "chunk", (F.sum("n").over(Window.partitionBy("source").orderBy("chunk")) - F.col("n")).alias("before"))
-    slice_ = Window.partitionBy("source", "chunk").orderBy("doc_id", "size")
-    rows = rows.withColumn("inside", F.sum("size").over(slice_.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("row", F.row_number().over(slice_))
-    starts = _same(rows, totals, ["source", "chunk"]).withColumn("start", F.col("before") + F.col("inside"))
-    starts = _same(starts, slots.select("source", "block_words"), ["source"])
+def pack(sized: DataFrame, rows: int | None = None) -> DataFrame:
+    """Documents with words and their place: the columns of sized and start (words of the same source before the document)."""
+    slices = math.isqrt(sized.count() if rows is None else rows) + 1
+    at = F.pmod(_number(F.lit("slice"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")), F.lit(slices))
+    rows_ = sized.where("size > 0").withColumn("slice", at)
+    totals = rows_.groupBy("source", "slice").agg(F.sum("size").alias("n"))
+    totals = totals.select("source", "slice", (F.sum("n").over(Window.partitionBy("source").orderBy("slice")) - F.col("n")).alias("before"))
+    inside = Window.partitionBy("source", "slice").orderBy("doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    rows_ = rows_.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
+    return _same(rows_, totals, ["source", "slice"]).withColumn("start", F.col("before") + F.col("inside")).select(*sized.columns, "start")
+
+
+def spans(packed: DataFrame, slots: DataFrame) -> DataFrame:
+    """Packed documents cut at the blocks' ends: block, first (word of the document in that block, from 0) and words beside the columns of packed."""
+    starts = _same(packed, slots.select("source", "block_words"), ["source"])
     first, last = F.floor(F.col("start") / F.col("block_words")).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / F.col("block_words")).cast("long")
     parts = starts.withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest("start", F.col("block") * F.col("block_words"))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words")) - begin
-    return parts.select("doc_id", "row", "chunk", "source", "size", "block", (begin - F.col("start")).alias("first"), words.alias("words"))
+    return parts.select(*packed.columns, "block", (begin - F.col("start")).alias("first"), words.alias("words"))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which null keys meet: nulls are moved to a column of their own, so Spark can still hash the keys."""
-    marks = {f"__{i}": k for i, k in enumerate(keys)}
-    right = right.select(*[x for i, k in enumerate(keys) for x in (F.col(k).isNull().alias(f"__n{i}"), F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"__{i}"))], *[c for c in right.columns if c not in keys])
-    on = [c for i, k in enumerate(keys) for c in (F.coalesce(left[k].cast("string"), F.lit("")) == right[f"__{i}"], left[k].isNull() == right[f"__n{i}"])]
-    return left.join(right, on).drop(*marks, *[f"__n{i}" for i in range(len(keys))])
+def _name() -> Column:
+    return F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
 
 
-def _number(*parts: Column) -> Column:
-    """60 bits of an md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+def _tasks(slots: DataFrame) -> tuple[int, int]:
+    """All slots, and tasks to make them in."""
+    total = slots.agg(F.sum("slots")).first()[0] or 0
+    return total, max(1, min(MOST_TASKS, -(-total // RUN_SLOTS)))
+
+
+def shard_counts(slots: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """A multinomial draw for each source: shard, source, slots. Every slot falls into one of the shards with equal chances; only the counts are kept."""
+    total, tasks = _tasks(slots)
+    runs = slots.where("slots > 0").select("source", "slots", _name().alias("name"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN_SLOTS))).alias("run"))
+    runs = runs.repartition(tasks, "source", "run")
+    each = runs.select("source", "name", F.explode(F.sequence(F.col("run") * RUN_SLOTS, F.least((F.col("run") + 1) * RUN_SLOTS, F.col("slots")) - 1)).alias("i"))
+    shard = F.pmod(_number(F.lit(f"shard{seed}"), F.col("name"), F.col("i")), F.lit(max(1, -(-total // shard_slots))))
+    return each.select("source", shard.alias("shard")).groupBy("shard", "source").agg(F.count("*").alias("slots"))
 
 
-def draw(slots: DataFrame, seed: int = SEED, rounds: int = ROUNDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """One row a slot: source, slot, shard, block."""
-    total = slots.agg(F.sum("slots").alias("all_slots"))
-    name = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
-    runs = slots.crossJoin(F.broadcast(total)).where("slots > 0").withColumn("name", name)  # the right side is one row
-    runs = runs.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.col("blocks")))))
+def draw(slots: DataFrame, counts: DataFrame, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
+    """One row a slot of the counts: source, slot, shard, block."""
+    _, tasks = _tasks(slots)
+    dealt = counts.select("shard", "source", F.col("slots").alias("n"), (F.sum("slots").over(Window.partitionBy("source").orderBy("shard")) - F.col("slots")).alias("from"))
+    dealt = _same(dealt, slots.select("source", "blocks"), ["source"]).withColumn("name", _name()).repartition(tasks, "source", "shard")
+    upto = F.col("from") + F.col("n")
+    dealt = dealt.withColumn("pass", F.explode(F.sequence(F.floor(F.col("from") / F.col("blocks")), F.floor((upto - 1) / F.col("blocks")))))
     keys = [F.struct(_number(F.lit(f"key{seed}.{r}"), F.col("name"), F.col("pass")).alias("key"), F.concat_ws("|", F.lit(f"swap{seed}.{r}"), "name", "pass", F.lit("")).alias("tag")) for r in range(rounds)]
-    runs = runs.withColumn("keys", F.array(*keys))
-    # the slots of a pass in runs of 10,000, dealt out before they are made
-    in_pass = F.least(F.col("blocks"), F.col("slots") - F.col("pass") * F.col("blocks"))
-    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((in_pass - 1) / 10_000)))).repartition("source", "pass", "run")
-    out = runs.withColumn("nth", F.explode(F.sequence(F.col("run") * 10_000, F.least(F.col("run") * 10_000 + 9_999, in_pass - 1))))
-    out = out.withColumn("slot", F.col("pass") * F.col("blocks") + F.col("nth"))
-    shard = F.pmod(_number(F.lit(f"shard{seed}"), F.col("name"), F.col("slot")), F.ceil(F.col("all_slots") / shard_slots))
+    dealt = dealt.withColumn("keys", F.array(*keys))
+    first = F.col("pass") * F.col("blocks")
+    out = dealt.withColumn("slot", F.explode(F.sequence(F.greatest("from", first), F.least(upto, first + F.col("blocks")) - 1)))
 
     def swap(at: Column, k: Column) -> Column:
         other = F.pmod(k["key"] - at, F.col("blocks"))
         bit = F.substring(F.md5(F.concat(k["tag"], F.greatest(at, other).cast("string"))), 1, 1)
         return F.when(bit < "8", at).otherwise(other)
 
-    return out.select("source", "slot", shard.alias("shard"), F.aggregate("keys", F.col("nth"), swap).alias("block"))
+    return out.select("source", "slot", "shard", F.aggregate("keys", F.col("slot") - first, swap).alias("block"))
 
 
-def shard_counts(drawn: DataFrame) -> DataFrame:
-    """Slots by output shard and source: shard, source, slots. Each slot's shard is an independent draw, so a source's counts are multinomial."""
-    return drawn.groupBy("shard", "source").agg(F.count("*").alias("slots"))
-
-
-def mixed(segments: DataFrame, drawn: DataFrame) -> DataFrame:
-    """The mix, one row a document span of a slot: shard, slot, source, block, doc_id, chunk, row, first, words.
+def mixed(parts: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The mix, one row a document span of a slot: shard, source, slot, block, and the columns of parts. Rows of a shard are in one partition, in order.
 
     (shard, source, slot) names one copy of a block; its spans are words first to first + words - 1 of the documents in it.
+    Spark takes slots for a small table, as it can't see how many a plan makes, so the join is told to shuffle and sort.
     """
-    spans = segments.select("source", "block", "doc_id", "chunk", "row", "first", "words")
-    return _same(spans, drawn, ["source", "block"]).select("shard", "slot", "source", "block", "doc_id", "chunk", "row", "first", "words")
+    rows = _same(parts, drawn, ["source", "block"], "merge")
+    return rows.select("shard", "source", "slot", "block", *[c for c in parts.columns if c not in ("source", "block")]).repartition("shard").sortWithinPartitions("shard", "source", "slot", "start")
 
 
-def mixed_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix of a table of documents, as ``mixed`` returns it, written to the shared folder."""
-    return _mixed(cut(sizes(docs, doc_id, text, source), "sizes"))[1]
+def _mixed(sized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Targets, packed documents and the mix, written."""
+    targets = cut(plan_slots(source_targets(sized)), "targets")
+    packed = cut(pack(sized), "packed")
+    counts = cut(shard_counts(targets), "shard-counts")
+    return targets, packed, cut(mixed(spans(packed, targets), draw(targets, counts)), "mixed")
 
 
-def _mixed(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    targets = cut(plan_slots(source_targets(sized)), "targets")
-    return targets, cut(mixed(pack(sized, targets), draw(targets)), "mixed")
+def mixed_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix of a table of documents, as ``mixed`` returns it, written to the shared folder."""
+    return _mixed(cut(sizes(docs, doc_id, text, source), "sizes"))[2]
 
 
-def taken(mix: DataFrame) -> DataFrame:
-    """Words taken of each document in the mix: source, chunk, doc_id, row, taken. Documents that no slot took have no row."""
-    return mix.groupBy("source", "chunk", "doc_id", "row").agg(F.sum("words").alias("taken"))
+def taken(packed: DataFrame, mix: DataFrame) -> DataFrame:
+    """Words that the mix takes of each packed document: doc_id, source, size, taken. (source, start) names a document."""
+    rows = packed.select("source", "start", "doc_id", "size", F.lit(0).cast("long").alias("words")).unionByName(mix.select("source", "start", "doc_id", "size", "words"))
+    return rows.groupBy("source", "start", "doc_id", "size").agg(F.sum("words").alias("taken")).drop("start")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix summed up, one row a document: doc_id, source, size, source_size, target, taken."""
     sized = cut(sizes(docs, doc_id, text, source), "sizes")
-    targets, blocks = _mixed(sized)
-    got = taken(blocks).select("doc_id", "source", "row", "taken")
-    chunk = F.coalesce(F.pmod(F.col("doc_id"), F.lit(CHUNKS)), F.lit(0))
-    ranked = sized.withColumn("row", F.when(F.col("size") > 0, F.row_number().over(Window.partitionBy("source", chunk, F.col("size") > 0).orderBy("doc_id", "size"))))
-    ranked = _same(ranked, targets.select("source", "source_size", "target"), ["source"])
-    got = got.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("row").alias("__row"), "taken")
-    same = ranked["doc_id"].eqNullSafe(got["__id"]) & ranked["source"].eqNullSafe(got["__source"]) & (ranked["row"] == got["__row"])
-    return ranked.join(got, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
-
-def copies(sized: DataFrame, targets: DataFrame, chunks: int = CHUNKS, seed: int = SEED) -> DataFrame:
-    """Copies of whole documents: doc_id, source, size, times, one row for each such key with words; times averages target / source_size.
-
-    A systematic sample: a source's keys are laid in a row, by classes of half an octave of their words and pseudorandomly inside
-    a class; key i is taken floor((i + 1) * r + u) - floor(i * r + u) times, with r = target / source_size and one pseudorandom u
-    a source. So every key, long or short, is expected r times and never above the cap, and any run of the row has its share
-    within one copy. Positions are running sums over classes, over ``chunks`` slices of a class and inside a slice.
+    targets, packed, blocks = _mixed(sized)
+    none = sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
+    rows = taken(packed, blocks).unionByName(none)
+    return _same(rows, targets.select("source", "source_size", "target"), ["source"]).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def taken_spans(mix: DataFrame) -> DataFrame:
+    """Words taken of each document in order, one row a copy: key, text_hash, size, copy (from 1), spans (array of first, words), nth.
+
+    Copy 2 holds the spans that the mix takes twice. nth tells equal rows of the documents apart, from 1; they take the places
+    of the packed rows one for one.
     """
-    name = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
-    place = _number(F.lit(f"place{seed}"), name, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
-    rows = sized.where("size > 0").groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
-    rows = rows.select("doc_id", "source", "size", F.floor(2 * F.log2(F.col("size") * F.col("n"))).cast("long").alias("class"), place.alias("place"))
-    rows = rows.withColumn("chunk", F.pmod("place", F.lit(chunks)))
-    slices = rows.groupBy("source", "class", "chunk").agg(F.count("*").alias("n"))
-    classes = slices.groupBy("source", "class").agg(F.sum("n").alias("n"))
-    classes = classes.select("source", "class", (F.sum("n").over(Window.partitionBy("source").orderBy("class")) - F.col("n")).alias("lower"))
-    slices = slices.select("source", "class", "chunk", (F.sum("n").over(Window.partitionBy("source", "class").orderBy("chunk")) - F.col("n")).alias("before"))
-    rows = rows.withColumn("inside", F.row_number().over(Window.partitionBy("source", "class", "chunk").orderBy("place", "doc_id", "size")) - 1)
-    rows = _same(rows, _same(slices, classes, ["source", "class"]), ["source", "class", "chunk"]).withColumn("nth", F.col("lower") + F.col("before") + F.col("inside"))
-    rate = (F.col("target") / F.col("source_size")).alias("rate")
-    shift = (F.pmod(_number(F.lit(f"shift{seed}"), name), F.lit(1 << 20)) / float(1 << 20)).alias("shift")
-    rows = _same(rows, targets.where("source_size > 0").select("source", rate, shift), ["source"])
-    upto = [F.floor((F.col("nth") + i) * F.col("rate") + F.col("shift")) for i in (0, 1)]
-    return rows.select("doc_id", "source", "size", F.least(F.lit(CAP), upto[1] - upto[0]).cast("int").alias("times"))
+    times = mix.groupBy("source", "start", "key", "text_hash", "size", "first", "words").agg(F.count("*").alias("times"))
+    of = times.groupBy("source", "start", "key", "text_hash", "size").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("x"))
+    of = of.withColumn("nth", F.row_number().over(Window.partitionBy("key", "text_hash").orderBy("start")))
+    of = of.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("x", lambda s: s["times"])))))
+    kept = F.transform(F.filter("x", lambda s: s["times"] >= F.col("copy")), lambda s: F.struct(s["first"].alias("first"), s["words"].alias("words")))
+    return of.select("key", "text_hash", "size", "nth", "copy", kept.alias("spans"))
 
 
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs as often as ``copies`` says: not at all, once or twice, so that each source has its target's words.
+    """The mix as documents: for each row of docs, one row a copy whose text has just the words taken, so each source has its
+    target's words but for part of a block. A text that is taken whole stays as it is; of others the taken words stay, each
+    with the white space after it. Other columns are the document's.
 
-    Rows of one doc_id, source and size are taken alike; each is still expected target / source_size times.
+    The plan's rows and the documents meet in one shuffle by two hashes of the row and are paired there by window functions,
+    so equal rows are never multiplied with each other.
     """
-    sized = cut(sizes(docs, doc_id, text, source), "sizes")
-    plan = copies(sized, cut(source_targets(sized), "targets"))
-    id_, source_, size_, times, copy = (fresh(docs, c) for c in ("__id", "__source", "__size", "__times", "__copy"))
-    plan = plan.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_), F.col("times").alias(times)).where(F.col(times) > 0)
-    plan = cut(plan, "mix")
-    same = F.col(doc_id).eqNullSafe(F.col(id_)) & F.col(source).eqNullSafe(F.col(source_)) & (size_of(F.col(text)) == F.col(size_))
-    return docs.join(plan, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    plan = cut(taken_spans(_mixed(cut(sizes(docs, doc_id, text, source), "sizes"))[2]), "taken")
+    key_, hash_, nth_, of_, whole_ = (fresh(docs, c) for c in ("__key", "__hash", "__nth", "__copies", "__size"))
+    copies = plan.groupBy("key", "text_hash", "nth", "size").agg(F.collect_list("spans").alias("copies"))  # cap copies at most
+    of_type = "array<array<struct<first: bigint, words: bigint>>>"
+    key, text_hash = _names(F.col(doc_id), F.col(source), F.col(text))
+    rows = docs.select("*", key.alias(key_), text_hash.alias(hash_), F.lit(None).cast("int").alias(nth_), F.lit(None).cast("long").alias(whole_), F.lit(None).cast(of_type).alias(of_))
+    plan = copies.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema], F.col("key").alias(key_), F.col("text_hash").alias(hash_), F.col("nth").alias(nth_), F.col("size").alias(whole_), F.col("copies").alias(of_))
+    is_plan = F.col(nth_).isNotNull()
+    rows = rows.union(plan).withColumn(nth_, F.coalesce(nth_, F.row_number().over(Window.partitionBy(key_, hash_, is_plan).orderBy(key_))))
+    pair = Window.partitionBy(key_, hash_, nth_).orderBy(F.col(of_).isNull())  # the plan's row, then the document's
+    met = F.lag(F.struct(F.col(of_).alias("copies"), F.col(whole_).alias("size"))).over(pair)
+    rows = rows.withColumn(whole_, met).where(F.col(of_).isNull() & F.col(whole_).isNotNull()).withColumn(of_, F.explode(F.col(whole_)["copies"]))
+    parts = F.regexp_extract_all(F.col(text), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
+    some = F.array_join(F.flatten(F.transform(F.col(of_), lambda s: F.slice(parts, (s["first"] + 1).cast("int"), s["words"].cast("int")))), "")
+    words = F.aggregate(F.col(of_), F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    return rows.withColumn(text, F.when(words == F.col(whole_)["size"], F.col(text)).otherwise(some)).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 ``document_statistics`` maps a whole text to a fixed row of numbers. Trees are grown on a sample of labelled documents of at
 most ``FIT_ROWS`` rows (the documented bound of what reaches the driver: rows of statistics, no texts), chosen by a hash of
-doc_id. Each statistic is cut into at most 64 bins at quantiles of the sample; a tree splits on histograms of gradients. All
+doc_id (of documents with repeated identifiers, at most twice as many rows). Each statistic is cut into at most 64 bins at quantiles of the sample; a tree splits on histograms of gradients. All
 trees lie in one set of arrays (feature, threshold, children, value); a batch of documents walks them level by level in
 numpy. The model, some 100 kB, goes to the tasks with the function.
 
@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
-
 #: Labelled documents that the trees may be fitted on.
 FIT_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LAMBDA, LEAST = 60, 4, 0.2, 64, 1.0, 5
@@ -154,17 +152,18 @@ def statistics_udf(texts: pd.Series) -> pd.Series:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", learn: Column | None = None, fit_rows: int = FIT_ROWS) -> Trees:
     """Trees from the labelled documents that satisfy ``learn``, at most fit_rows of them (chosen by a hash of doc_id)."""
-    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("__y")).dropna()
     if learn is not None:
         known = known.withColumnRenamed("__id", "doc_id").where(learn).withColumnRenamed("doc_id", "__id")
     known = known.groupBy("__id").agg(F.avg("__y").alias("__y")).where("__y <> 0.5")
     n = known.count()
-    share = min(1 << 30, int((1 << 30) * fit_rows / max(1, n) * (0.98 if n > fit_rows else 1)))  # a little under the bound, and a limit for rare chance
-    known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < share).limit(fit_rows)
+    # a little over the bound by hash, then the first of them in a fixed order: reruns agree
+    share = min(1 << 30, int((1 << 30) * min(1.0, fit_rows / max(1, n) * 1.02) + 1))
+    key = F.xxhash64("__id")
+    known = known.where(F.pmod(key, F.lit(1 << 30)) < share).orderBy(key, "__id").limit(fit_rows)
     # at most fit_rows pairs of numbers are broadcast, so the documents' texts aren't shuffled for a sample of them
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id").select("__id", statistics_udf("__text").alias("x"), (F.col("__y") > 0.5).cast("int").alias("y"))
-    found = sorted(rows.limit(2 * fit_rows).collect(), key=lambda r: (r["__id"], r["x"]))
+    found = rows.orderBy(key, "__id", "x").limit(2 * fit_rows).collect()
     x = np.array([r["x"] for r in found], np.float64).reshape(len(found), len(STATISTICS))
     return fit_trees(x, np.array([r["y"] for r in found], np.float64))
 

@@ -57,7 +57,7 @@ def op8_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+    return url_filter.judge(_read(spark, sf_dir, "pages"), learn=~quality.held_out("page_id")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,18 +75,25 @@ _OP1 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t0 AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    greatest(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), ceil(length(text) / 8)::BIGINT) + 4 AS tokens FROM c),
+t1 AS (SELECT *, CASE WHEN tokens <= 128 THEN text
+    ELSE array_to_string(list_slice(list_filter(regexp_split_to_array(substr(text, 1, 984), '[\x20\x09-\x0D]+'), lambda x: x <> ''), 1, 123), ' ') || ' [...]' END AS head FROM t0),
 t AS (
-  SELECT *, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) + 4 AS tokens,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
-    length(replace(role, '\', '\0')) + length(replace(text, '\', '\0')) + 8
+  SELECT *, length(replace(role, '\', '\0')) + 8
+      + CASE WHEN role = 'assistant' THEN 0 ELSE 13 END AS marks,
+    length(replace(text, '\', '\0'))
       + (length(text) - length(replace(text, '<s>', ''))) // 3 * 2 + (length(text) - length(replace(text, '</s>', ''))) // 4 * 2
-      + (length(text) - length(replace(text, '[INST]', ''))) // 6 * 2 + (length(text) - length(replace(text, '[/INST]', ''))) // 7 * 2
-      + CASE WHEN role = 'assistant' THEN 0 ELSE 13 END AS chars
-  FROM c),
+      + (length(text) - length(replace(text, '[INST]', ''))) // 6 * 2 + (length(text) - length(replace(text, '[/INST]', ''))) // 7 * 2 AS body,
+    length(replace(head, '\', '\0'))
+      + (length(head) - length(replace(head, '<s>', ''))) // 3 * 2 + (length(head) - length(replace(head, '</s>', ''))) // 4 * 2
+      + (length(head) - length(replace(head, '[INST]', ''))) // 6 * 2 + (length(head) - length(replace(head, '[/INST]', ''))) // 7 * 2 AS head_body
+  FROM t1),
 u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY n) AS e, min(CASE WHEN role = 'system' THEN n END) OVER (PARTITION BY conv_id) AS sys FROM t),
 v AS (
-  SELECT u.*, e - u.tokens AS s, greatest(1, 384 - coalesce(y.tokens, 0)) AS step, y.chars AS sys_chars
-  FROM u LEFT JOIN (SELECT conv_id, n, tokens, chars FROM t) y ON u.conv_id IS NOT DISTINCT FROM y.conv_id AND u.sys = y.n),
+  SELECT u.*, u.marks + u.body AS chars, e - u.tokens AS s, greatest(1, 384 - least(128, coalesce(y.tokens, 0))) AS step, y.marks + y.head_body AS sys_chars
+  FROM u LEFT JOIN (SELECT conv_id, n, tokens, marks, head_body FROM t) y ON u.conv_id IS NOT DISTINCT FROM y.conv_id AND u.sys = y.n),
 w AS (
   SELECT *, min(s) OVER (PARTITION BY conv_id, span) AS span_start FROM (
     SELECT *, 2 * (s // step) + CASE WHEN s // step = (e - 1) // step THEN 0 ELSE 1 END AS span FROM v)),
@@ -125,8 +132,9 @@ r0 AS (SELECT source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END A
 """
     + "".join(_ROUND.format(n=r + 1, r=r) for r in range(mixing.ROUNDS))
     + r"""times AS (SELECT source, block, count(*) AS times FROM r8 GROUP BY source, block),
-p AS (SELECT doc_id, d.source, size, row_number() OVER (PARTITION BY d.source ORDER BY coalesce(((doc_id % 512) + 512) % 512, 0), doc_id NULLS FIRST, size) AS row,
-  sum(size) OVER (PARTITION BY d.source ORDER BY coalesce(((doc_id % 512) + 512) % 512, 0), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+e AS (SELECT *, ('0x' || substr(md5('slice|' || coalesce(doc_id::VARCHAR, '') || '|' || size), 1, 15))::BIGINT % (floor(sqrt((SELECT count(*) FROM d)))::BIGINT + 1) AS slice FROM d),
+p AS (SELECT doc_id, source, size, row_number() OVER o AS row, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM e WINDOW o AS (PARTITION BY source ORDER BY slice, doc_id NULLS FIRST, size)),
 q AS (SELECT p.*, s6.source_size, s6.target, block_words FROM p JOIN s6 ON p.source IS NOT DISTINCT FROM s6.source),
 g AS (SELECT *, unnest(range((start // block_words)::BIGINT, ((start + size - 1) // block_words + 1)::BIGINT)) AS block FROM q WHERE size > 0),
 k AS (SELECT g.source, row, sum((least(start + size, (g.block + 1) * block_words) - greatest(start, g.block * block_words)) * times) AS taken
@@ -140,9 +148,10 @@ _OP6_KNOWN = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t i
 
 def _canonical_sql(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{license_scan.COPYRIGHT_LINE}', ' ', 'g')"
-    for pattern, to in license_scan.EQUIVALENT:
-        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
-    return rf"sha256(trim(regexp_replace({out}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')))"
+    out = rf"' ' || trim(regexp_replace({out}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) || ' '"
+    for old, new in license_scan.EQUIVALENT:
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"sha256(trim({out}))"
 
 
 _OP6 = f"""
@@ -153,11 +162,11 @@ SELECT doc_id, d.digest, license_id FROM d LEFT JOIN known ON d.digest = known.d
 
 _OP8 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 q AS (SELECT vec_id AS query_id, min(v) AS q FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM (
-    SELECT query_id, vec_id, list_dot_product(q, v)::BIGINT AS score FROM q JOIN v ON query_id <> vec_id AND len(q) = len(v)))
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM (
+    SELECT query_id, vec_id, list_dot_product(q, v)::BIGINT AS score FROM q JOIN v ON query_id IS DISTINCT FROM vec_id AND len(q) = len(v)))
 WHERE rank <= 10
 """
 
@@ -171,7 +180,7 @@ lens AS (SELECT DISTINCT n FROM win),
 places AS (SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
 hits AS (SELECT r, i, p.n, item_id FROM places p JOIN win USING (phrase, n)),
 words AS (SELECT r, count(DISTINCT i + o) AS n_hit FROM (SELECT r, i, unnest(range(n)) AS o FROM hits) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(coalesce(item_id::VARCHAR, ''), ',' ORDER BY coalesce(item_id::VARCHAR, '')) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """

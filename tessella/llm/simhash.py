@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, cut, fresh, small_batches
+from .common import ASCII_LOWER, cut, discard, fresh, new_path
 
 RADIUS = 2
 SHINGLE = 3
@@ -223,7 +223,9 @@ def links(fingerprints: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Links (a, b) to (node, root), root the smallest node reachable: alternating large-star and small-star, each round written to the shared folder."""
     cols = ("a", "b")
-    edges = cut(edges.where("a <> b").select(F.greatest(*cols).alias("a"), F.least(*cols).alias("b")).distinct(), "links")
+    spark = edges.sparkSession
+    at = new_path(spark, "links")
+    edges = cut(edges.where("a <> b").select(F.greatest(*cols).alias("a"), F.least(*cols).alias("b")).distinct(), "links", at)
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
@@ -231,7 +233,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct(), "links")
+        last, at = at, new_path(spark, "links")
+        edges = cut(small.where("a <> b").distinct(), "links", at)
+        discard(spark, last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -241,7 +245,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, text_hash, fp (long), root (a fingerprint that names the component), component_id. Fingerprints are made once and kept in the shared folder."""
-    small_batches(docs.sparkSession)
     of = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), fingerprint_udf(F.col(text)).alias("fp"))
     of = cut(of, "fingerprints")
     reps = of.groupBy("fp").agg(F.min("doc_id").alias("rep"))

@@ -2,7 +2,7 @@
 
 A shard is one file of a range of identifiers, files and records in ascending order. Its layout, integers little-endian:
 
-    block*      zstd-compressed; records one after another: shared (u8), rest (u8), count (u64), key bytes that differ from
+    block*      zstd-compressed; records one after another: shared (u16), rest (u16), count (u64), key bytes that differ from
                 the key before (the first record of a block shares none), then count token ids of width bytes
     index       for each block: key length (u16), first key, offset (u64), stored bytes (u64)
     filter      Bloom filter of all keys, its bits as bytes
@@ -10,19 +10,22 @@ A shard is one file of a range of identifiers, files and records in ascending or
 
 Lookup reads the footer, asks the filter, finds the block by binary search in the sparse index and scans that one block.
 Keys are 0x01 and the identifier as big-endian unsigned 64-bit number with its sign bit flipped, so bytes sort as numbers
-do; a missing identifier has the key 0x00 and sorts first. Repeated identifiers are records of their own, side by side.
+do, or 0x02 and the identifier's UTF-8 bytes; a missing identifier has the key 0x00 and sorts first. Repeated identifiers are
+records of their own, side by side.
+
+Whole texts go through the tokenizers library, some hundred at a time; any tokenizer file of that library serves.
 
 Files go to a folder that all executors share, by pyarrow's file systems (local, HDFS, S3, GCS). A task writes under a name
 of its attempt and moves the file into place when it is whole, so attempts that are lost or repeated leave one file.
 
-Defined cases: a null or empty text has only the end id; an empty table has no files and no rows.
+Defined cases: a null or empty text has only the end id; identifiers are whole numbers or strings, any other type is refused;
+an empty table has no files and no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import bisect
 import functools
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,10 +34,11 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, cut, fresh, give_back, new_path, small_batches
+from .common import cut, file_system, fresh, give_back, new_path, portions
 
 END_ID = 1
 MAGIC = 0x54535354_41424C45
@@ -42,93 +46,59 @@ FOOTER = struct.Struct("<8Q")
 #: Bytes of records in a block before compression.
 BLOCK_BYTES = 1 << 18
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Words whose ids a task remembers; others are encoded again when they return.
-MEMO_WORDS = 800_000
-#: Texts encoded together.
-AT_ONCE = 200
-
+#: Texts and characters encoded together.
+AT_ONCE, AT_ONCE_CHARS = 200, 1 << 20
+#: Header of a record: shared key bytes, further key bytes, ids.
+RECORD = struct.Struct("<HHQ")
 
-class WordEncoder:
-    """Ids of whole texts by the tokenizers library.
 
-    word_bpe drops white space and never lets a token or a rule reach over it, and it folds case first, so a text's ids are
-    those of its white-space-separated words, ASCII letters folded. Each word's ids come from the library once and are
-    remembered. A text that holds a control string, of whatever case, is encoded whole.
-    """
-
-    CONTROL = re.compile(r"<\|(startoftext|endoftext)\|>", re.IGNORECASE)
-    TAIL = re.compile(rb"([a-z]+)([^a-z0-9'\x80-\xff]+)")
+class Encoder:
+    """Ids of whole texts by the tokenizers library, packed. A text's encoding takes some 100 bytes a token while it is made."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
-        self.memo: dict[bytes, bytes] = {}
-
-    def _pack(self, ids: list[int] | np.ndarray) -> bytes:
-        return np.asarray(ids, f"<u{self.width}").tobytes()
-
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Encodes words, some hundred a text, and deals the ids out by where their tokens begin."""
-        out = {}
-        groups = [new[i : i + 400] for i in range(0, len(new), 400)]
-        decoded = [[w.decode() for w in g] for g in groups]
-        for g, d, e in zip(groups, decoded, self.tokenizer.encode_batch([" ".join(d) for d in decoded], add_special_tokens=False), strict=True):
-            starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, d), np.int64, len(d)) + 1)[:-1]))
-            ids = np.array(e.ids, f"<u{self.width}")
-            word = np.searchsorted(starts, np.array([o[0] for o in e.offsets], np.int64), side="right") - 1
-            at = np.searchsorted(word, np.arange(len(g) + 1))
-            out |= {w: ids[a:b].tobytes() for w, a, b in zip(g, at[:-1].tolist(), at[1:].tolist(), strict=True)}
-        return out
 
-    def _miss(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not met before. A word of ASCII letters and a tail of ASCII marks is put together from the two."""
-        parts = {w: m.groups() for w in new if (m := self.TAIL.fullmatch(w))}
-        unknown = {w for w in new if w not in parts}
-        unknown.update(x for p in parts.values() for x in p if x not in self.memo)
-        found = self._learn(list(unknown)) if unknown else {}
-        of = lambda x: found[x] if x in found else self.memo[x]
-        found |= {w: of(a) + of(b) for w, (a, b) in parts.items()}
-        if len(self.memo) < MEMO_WORDS:
-            self.memo |= found
-        return found
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, packed."""
-        whole = {i: self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if t and self.CONTROL.search(t)}
-        folded = [b"" if not t or i in whole else t.encode().translate(ASCII_LOWER) for i, t in enumerate(texts)]
-        get = self.memo.get
-        words = [t.split() for t in folded]
-        known = [list(map(get, w)) for w in words]
-        gaps: list[tuple[list, list[bytes], int]] = []
-        for w, ids in zip(words, known, strict=True):
-            k = -1
-            try:
-                while True:
-                    k = ids.index(None, k + 1)
-                    gaps.append((ids, w, k))
-            except ValueError:
-                pass
-        if gaps:
-            found = self._miss(list({w[k] for _, w, k in gaps}))
-            for ids, w, k in gaps:
-                ids[k] = found[w[k]]
-        return [whole[i] if i in whole else b"".join(ids) for i, ids in enumerate(known)]
+        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
 
 @functools.lru_cache(maxsize=1)
-def shared_encoder(path: str) -> WordEncoder:
-    """One encoder for all tasks that a worker process runs, so its memory of words outlives a task."""
-    return WordEncoder(path)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for all tasks that a worker process runs."""
+    return Encoder(path)
+
+
+def key_bytes(doc_id: int | str | None) -> bytes:
+    if doc_id is None:
+        return b"\0"
+    key = b"\2" + doc_id.encode() if isinstance(doc_id, str) else b"\1" + struct.pack(">Q", (doc_id + (1 << 63)) & (1 << 64) - 1)
+    if len(key) >= 1 << 16:
+        raise ValueError("identifiers have at most 65,534 bytes")
+    return key
 
 
-def key_bytes(doc_id: int | None) -> bytes:
-    return b"\0" if doc_id is None else b"\1" + struct.pack(">Q", (doc_id + (1 << 63)) & (1 << 64) - 1)
+def key_value(key: bytes) -> int | str | None:
+    if key == b"\0":
+        return None
+    return key[1:].decode() if key[:1] == b"\2" else struct.unpack(">Q", key[1:])[0] - (1 << 63)
 
 
-def key_value(key: bytes) -> int | None:
-    return None if key == b"\0" else struct.unpack(">Q", key[1:])[0] - (1 << 63)
+def _identifier(df: DataFrame, doc_id: str) -> tuple[Column, str]:
+    """The identifier as the tables store it, and its type: whole numbers as long, texts as string."""
+    kind = df.schema[doc_id].dataType
+    if not isinstance(kind, T.IntegralType | T.StringType):
+        raise TypeError(f"{doc_id} is {kind.simpleString()}; token tables are keyed by whole numbers or strings")
+    name = "string" if isinstance(kind, T.StringType) else "long"
+    return F.col(doc_id).cast(name), name
 
 
 def _bloom_at(key: bytes, bits: int) -> list[int]:
@@ -153,8 +123,8 @@ class TableWriter:
         if self.first is None:
             self.first, self.last = key, b""
         shared = next((i for i, (a, b) in enumerate(zip(key, self.last, strict=False)) if a != b), min(len(key), len(self.last)))
-        self.parts += [struct.pack("<BBQ", shared, len(key) - shared, len(ids) // self.width), key[shared:], ids]
-        self.size += 10 + len(key) - shared + len(ids)
+        self.parts += [RECORD.pack(shared, len(key) - shared, len(ids) // self.width), key[shared:], ids]
+        self.size += RECORD.size + len(key) - shared + len(ids)
         self.last = key
         self.keys.append(key)
         self.ids += len(ids) // self.width
@@ -210,8 +180,8 @@ class TableReader:
         offset, n = self.place[i]
         raw, at, key = self.unpack(self.file.read_at(n, offset)), 0, b""
         while at < len(raw):
-            shared, rest, count = struct.unpack_from("<BBQ", raw, at)
-            at += 10
+            shared, rest, count = RECORD.unpack_from(raw, at)
+            at += RECORD.size
             key = key[:shared] + raw[at : at + rest]
             at += rest
             yield key, np.frombuffer(raw, f"<u{self.width}", count, at)
@@ -235,16 +205,9 @@ class TableReader:
         return out
 
 
-def _system(folder: str):  # noqa: ANN202
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
-
-
 def write_table(docs: DataFrame, tokenizer_path: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
-    """Writes the files and returns one row each: shard, file, records, ids. Rows are dealt by ranges of the identifier and sorted inside them."""
+    """Writes the files and returns one row each: shard, file, records, ids, keys (type of the identifiers). Rows are dealt by ranges of the identifier and sorted inside them."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or new_path(spark, "token-table")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,18 +217,17 @@ def write_table(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
             if not batch.num_rows:
                 continue
             if writer is None:
-                system, base = _system(folder)
+                system, base = file_system(folder)
                 system.create_dir(base, recursive=True)
                 final = f"shard-{task.partitionId():06d}.tokens"
                 temporary = f"{base}/_{final}.{task.taskAttemptId()}"
                 encoder = shared_encoder(tokenizer_path)
                 out = system.open_output_stream(temporary)
                 writer = TableWriter(out, encoder.width)
-                end = encoder._pack([END_ID])
-            ids = batch.column(0).to_pylist()
-            for lo in range(0, len(ids), AT_ONCE):
-                texts = batch.column(1).slice(lo, AT_ONCE).to_pylist()
-                for k, packed in zip(ids[lo : lo + AT_ONCE], encoder.encode(texts), strict=True):
+                end = encoder.pack([END_ID])
+            ids, texts = (batch.column(i).to_pylist() for i in (0, 1))
+            for at in portions(texts, AT_ONCE, AT_ONCE_CHARS):
+                for k, packed in zip(ids[at], encoder.encode(texts[at]), strict=True):
                     writer.add(key_bytes(k), packed + end)
         if writer is not None:
             writer.close()
@@ -274,20 +236,27 @@ def write_table(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
             give_back()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "file": [f"{folder}/{final}"], "records": pa.array([len(writer.keys)], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    key, kind = _identifier(docs, doc_id)
+    rows = docs.select(key.alias("doc_id"), F.col(text).alias("text"))
     parts = [shards] if shards else []
     files = rows.repartitionByRange(*parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard int, file string, records long, ids long")
-    return cut(files, "token-files")
+    return cut(files.withColumn("keys", F.lit(kind)), "token-files")
+
+
+def _kind(files: DataFrame) -> str:
+    first = files.select("keys").first()
+    return first[0] if first else "long"
 
 
 def read_table(files: DataFrame) -> DataFrame:
-    """Rows of all files, read back: doc_id, shard, local_start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit integers)."""
+    """Rows of all files, read back by a task a file: doc_id, shard, local_start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit integers)."""
+    kind = _kind(files)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, name in zip(batch.column("shard").to_pylist(), batch.column("file").to_pylist(), strict=True):
                 folder, _, base = name.rpartition("/")
-                system, root = _system(folder)
+                system, root = file_system(folder)
                 with system.open_input_file(f"{root}/{base}") as file:
                     table, at = TableReader(file), 0
                     rows: list[tuple] = []
@@ -295,16 +264,18 @@ def read_table(files: DataFrame) -> DataFrame:
                         rows.append((key_value(key), shard, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         at += len(ids)
                         if len(rows) == 10_000:
-                            yield _rows(rows)
+                            yield _rows(rows, kind)
                             rows = []
                     if rows:
-                        yield _rows(rows)
+                        yield _rows(rows, kind)
 
-    return files.repartition(F.col("file")).mapInArrow(read, "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 long")
+    # a few rows name much work, so their partitions are counted out; Spark would merge them into one
+    parts = max(1, files.count())
+    return files.select("shard", "file").repartitionByRange(parts, "shard").mapInArrow(read, f"doc_id {kind}, shard int, local_start long, n_tokens long, ids_crc32 long")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    names, kinds = ("doc_id", "shard", "local_start", "n_tokens", "ids_crc32"), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+def _rows(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    names, kinds = ("doc_id", "shard", "local_start", "n_tokens", "ids_crc32"), (pa.string() if kind == "string" else pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
 
@@ -318,13 +289,15 @@ def documents_in(files: DataFrame) -> DataFrame:
 def lookup(files: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Ids of wanted identifiers: each file gets the identifiers inside its range and finds them by filter and sparse index."""
     key = fresh(wanted, "__key")
-    asked = wanted.select(F.col(doc_id).cast("long").alias(key)).distinct()
+    kind = _kind(files)
+    arrow = pa.string() if kind == "string" else pa.int64()
+    asked = wanted.select(F.col(doc_id).cast(kind).alias(key)).distinct()
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 folder, _, base = name.rpartition("/")
-                system, root = _system(folder)
+                system, root = file_system(folder)
                 with system.open_input_file(f"{root}/{base}") as file:
                     table = TableReader(file)
                     *_, last = table.block(len(table.place) - 1)
@@ -339,9 +312,9 @@ def lookup(files: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataF
             ids = batch.column(0).to_pylist()
             at = [bisect.bisect_right(firsts, key_bytes(k)) - 1 for k in ids]
             there = [i >= 0 and key_bytes(k) <= lasts[i] for i, k in zip(at, ids, strict=True)]
-            yield pa.RecordBatch.from_pydict({"file": pa.array([names[i] for i, t in zip(at, there, strict=True) if t], pa.string()), key: pa.array([k for k, t in zip(ids, there, strict=True) if t], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"file": pa.array([names[i] for i, t in zip(at, there, strict=True) if t], pa.string()), key: pa.array([k for k, t in zip(ids, there, strict=True) if t], arrow)})
 
-    pairs = asked.mapInArrow(route, f"file string, `{key}` long")
+    pairs = asked.mapInArrow(route, f"file string, `{key}` {kind}")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = table = file = None
@@ -351,15 +324,15 @@ def lookup(files: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataF
                     if file:
                         file.close()
                     folder, _, base = at.rpartition("/")
-                    system, root = _system(folder)
+                    system, root = file_system(folder)
                     file = system.open_input_file(f"{root}/{base}")
                     name, table = at, TableReader(file)
                 for ids in table.get(k):
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([k], pa.int64()), "ids": pa.array([ids.astype(np.int64).tolist()], pa.list_(pa.int64()))})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([k], arrow), "ids": pa.array([ids.astype(np.int64).tolist()], pa.list_(pa.int64()))})
         if file:
             file.close()
 
-    return pairs.repartition("file").sortWithinPartitions("file", key).mapInArrow(find, "doc_id long, ids array<long>")
+    return pairs.repartition(max(1, len(names)), "file").sortWithinPartitions("file", key).mapInArrow(find, f"doc_id {kind}, ids array<long>")
 
 
 def default_tokenizer() -> str:

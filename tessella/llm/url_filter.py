@@ -4,16 +4,19 @@ Rules (host, path prefix) fit a host and all its subdomains; of several that fit
 without a rule is judged by a multinomial naive Bayes model. Its tokens are the words of the path and the words of the
 host, whose concatenated names are split by the most probable sequence under a unigram model (Viterbi).
 
-Nothing labels the pages, so the model learns from seeds: a page whose host holds a word of ``BLOCK_WORDS`` counts as block,
-others as allow; token counts over all pages then spread the seeds' weight to words that go with them. Counts are kept in
-2**16 hashed buckets a class (a documented bound of the model). The unigram table holds all words and stays a table: the
-pieces of up to ``LONGEST`` letters of each distinct run of letters of a host are joined with it, and each run is split once,
-by the costs of its own pieces.
+The evidence are the rules: a page that a rule fits is labelled by its verdict, and the model learns which words of hosts
+and paths go with block and with allow (``learn`` holds pages out of that). Rules are no sample of the pages, so both classes
+start alike: the words decide. Counts are kept in 2**16 hashed buckets a class (a documented bound of the model).
+
+The unigram model counts all words of the pages' own text, of paths and of hyphenated host names; ``dictionary``, a table
+(w, n), adds further counts. It stays a table: the pieces of up to ``LONGEST`` letters of each distinct run of letters of a
+host are joined with it, and each run is split once, by the costs of its own pieces.
 
 Words are runs of letters of any script, lower-cased, with percent escapes decoded; digits are no words.
 
-Defined cases: null URLs and URLs without "://" have empty host and path, no rule, and the verdict of no tokens at all (allow,
-unless most pages are block); repeated pages are rows of their own; an empty table gives an empty result.
+Defined cases: null URLs and URLs without "://" have empty host and path, no rule, and the score of no tokens at all (0.5, allow);
+so have all pages without a rule if no rule fits any page; null page texts have no words; repeated pages are rows of their
+own; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,14 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut
 
-#: Words of hosts to block, and common words that names are made of.
-BLOCK_WORDS = ("ad", "ads", "adult", "banner", "bet", "bets", "bonus", "casino", "cheap", "click", "clickbait", "deal", "deals", "escort", "farm", "farms", "free", "gambling", "jackpot", "loan", "loans", "lottery", "lotto", "meds", "payday", "pharma", "pharmacy", "pill", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "xxx")
-PLAIN_WORDS = ("art", "best", "big", "blog", "book", "books", "business", "city", "club", "data", "day", "design", "dev", "digital", "doc", "docs", "edu", "example", "fast", "food", "forum", "game", "games", "good", "green", "group", "health", "help", "home", "hot", "house", "info", "job", "jobs", "land", "learn", "life", "link", "list", "live", "local", "mail", "market", "media", "music", "my", "net", "network", "new", "news", "now", "online", "page", "photo", "play", "post", "school", "science", "search", "service", "shop", "site", "sport", "star", "store", "study", "tech", "the", "time", "tool", "tools", "top", "tour", "town", "travel", "video", "web", "wiki", "word", "work", "world", "your")
-#: Seeds that block only beside another seed, being common words too.
-WEAK = frozenset(("ad", "banner", "best", "bonus", "click", "deal", "deals", "farm", "farms", "free", "track", "win", "cheap"))
-SEED_COUNT = 50
 LONGEST = 24
 BUCKETS = 1 << 16
 SMOOTH = 20.0
@@ -60,23 +57,8 @@ def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return out
 
 
-class Segmenter:
-    """Splits a run of letters into the words of highest unigram probability."""
-
-    def __init__(self, counts: dict[str, int]):
-        merged = dict(counts)
-        for w in (*BLOCK_WORDS, *PLAIN_WORDS):
-            merged[w] = merged.get(w, 0) + SEED_COUNT
-        total = sum(merged.values()) + 1
-        self.cost = {w: -float(np.log(n / total)) for w, n in merged.items()}
-        #: A run that is no word costs as much as one that was met less than once, and more with each letter.
-        self.unknown = float(np.log(total)) + 2.0
-
-    def split(self, name: str) -> list[str]:
-        return best_split(name, self.cost, self.unknown)
-
-
 def best_split(name: str, cost_of: dict[str, float], unknown: float) -> list[str]:
+    """The words of highest unigram probability; a run that is no word costs unknown, and more with each letter."""
     best, back = [0.0], [0]
     for end in range(1, len(name) + 1):
         choices = []
@@ -93,11 +75,6 @@ def best_split(name: str, cost_of: dict[str, float], unknown: float) -> list[str
     return words[::-1]
 
 
-def is_seed(words: list[str]) -> bool:
-    found = set(words) & set(BLOCK_WORDS)
-    return bool(found - WEAK) or len(found) > 1
-
-
 def _bucket(kind: str, word: str) -> int:
     return zlib.crc32(f"{kind}{word}".encode("utf-8", "replace")) & (BUCKETS - 1)
 
@@ -107,18 +84,25 @@ def _plain(part: Column) -> Column:
     return F.lower(F.coalesce(F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))), part))
 
 
-def unigrams(pages: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
-    """w, n: counts of all words of paths and of the parts of hyphenated host names, and SEED_COUNT for each known word."""
-    hyphened = F.flatten(F.filter(F.transform(F.split(_plain(F.col(host)), r"\."), lambda x: F.split(x, "-")), lambda x: F.size(x) > 1))
-    parts = F.concat(F.regexp_extract_all(_plain(F.col(path)), F.lit(_LETTERS), F.lit(0)), hyphened)
-    words = pages.select(F.explode(parts).alias("w")).where(F.col("w").rlike(f"^{_LETTERS}$")).groupBy("w").agg(F.count("*").alias("n"))
-    known = pages.sparkSession.createDataFrame([(w, SEED_COUNT) for w in (*BLOCK_WORDS, *PLAIN_WORDS)], "w string, n long")
-    return words.unionByName(known).groupBy("w").agg(F.sum("n").alias("n"))
+#: What isn't text in a page.
+_MARKUP = r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&[a-z0-9#]+;"
+
+
+def unigrams(pages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """w, n: counts of all words of up to LONGEST letters in the paths, the parts of hyphenated host names and the text of html; columns host, path, html."""
+    hyphened = F.flatten(F.filter(F.transform(F.split(_plain(F.col("host")), r"\."), lambda x: F.split(x, "-")), lambda x: F.size(x) > 1))
+    letters = lambda c: F.regexp_extract_all(c, F.lit(_LETTERS), F.lit(0))
+    text = letters(F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), _MARKUP, " ")))
+    words = pages.select(F.explode(F.concat(letters(_plain(F.col("path"))), hyphened, text)).alias("w")).where((F.length("w") <= LONGEST) & F.col("w").rlike(f"^{_LETTERS}$"))
+    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    if dictionary is not None:
+        counts = counts.unionByName(dictionary.select("w", F.col("n").cast("long").alias("n"))).groupBy("w").agg(F.sum("n").alias("n"))
+    return counts
 
 
 def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """name, words: the best split of each of the distinct names, by the costs of its own pieces in the whole unigram table."""
-    total = counts.agg(F.sum("n")).first()[0] + 1
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + 1
     unknown = float(np.log(total)) + 2.0
     names = cut(names.select("name", F.monotonically_increasing_id().alias("nth")), "names")
     pieces = names.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("name"))))
@@ -137,64 +121,63 @@ def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     return names.join(costs, "nth", "left").select("name", split("name", "known", "n").alias("words"))
 
 
-def tokenized(rows: DataFrame) -> DataFrame:
+def tokenized(rows: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """rows with host_words and path_words. Runs of letters are split once each, hosts put together once each."""
     runs = F.regexp_extract_all(_plain(F.col("host")), F.lit(_LETTERS), F.lit(0))
     hosts = rows.select("host").distinct().select("host", F.posexplode(runs).alias("at", "name"))
-    words = cut(split_names(hosts.select("name").distinct(), cut(unigrams(rows), "unigrams")), "words")
+    words = cut(split_names(hosts.select("name").distinct(), cut(unigrams(rows, dictionary), "unigrams")), "words")
     hosts = hosts.join(words, "name").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("x"))
     hosts = cut(hosts.select("host", F.flatten(F.col("x.words")).alias("host_words")), "hosts")
     path_words = F.regexp_extract_all(_plain(F.col("path")), F.lit(_LETTERS), F.lit(0))
-    rows = rows.join(hosts, "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
+    rows = rows.drop("html").join(hosts, "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
     return cut(rows.withColumn("path_words", path_words), "pages")
 
 
 class Bayes:
-    """Log-odds of block by hashed token; prior by pages."""
+    """Log-odds of block by hashed token; both classes start alike. counts: allow and block, by bucket."""
 
-    def __init__(self, counts: np.ndarray, pages: np.ndarray):
-        total = counts.sum()
-        background = (counts.sum(axis=0) + 1) / (total + BUCKETS)
+    def __init__(self, counts: np.ndarray):
+        background = (counts.sum(axis=0) + 1) / (counts.sum() + BUCKETS)
         p = (counts + SMOOTH * background) / (counts.sum(axis=1, keepdims=True) + SMOOTH)
         self.odds = np.log(p[1]) - np.log(p[0])
-        self.prior = float(np.log((pages[1] + 0.5) / (pages[0] + 1.0)))
 
     def block(self, host: list[str], path: list[str]) -> float:
-        x = self.prior + sum(self.odds[_bucket("h", w)] for w in host) + sum(self.odds[_bucket("p", w)] for w in path)
+        x = sum(self.odds[_bucket("h", w)] for w in host) + sum(self.odds[_bucket("p", w)] for w in path)
         return float(1 / (1 + np.exp(-np.clip(x, -50, 50))))
 
 
 def fit(pages: DataFrame) -> Bayes:
-    """Counts over all ``tokenized`` pages; tasks return sums, at most 2 * BUCKETS rows each."""
+    """Counts over all ``tokenized`` pages with a label (``block`` or ``allow``); tasks return sums, at most 2 * BUCKETS rows each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        tokens = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for hw, pw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kind = int(is_seed(hw))
-                n[kind] += 1
+            for label, hw, pw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for k, ws in (("h", hw), ("p", pw)):
                     for w in ws:
-                        tokens[kind, _bucket(k, w)] += 1
+                        tokens[int(label == "block"), _bucket(k, w)] += 1
         kind, at = np.nonzero(tokens)
-        yield pa.RecordBatch.from_pydict({"kind": pa.array([*kind, 0, 1], pa.int32()), "bucket": pa.array([*at, -1, -1], pa.int32()), "n": pa.array([*tokens[kind, at], *n], pa.int64())})
-
-    found = pages.select("host_words", "path_words").mapInArrow(count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect()
-    counts, n = np.zeros((2, BUCKETS)), np.zeros(2)
-    for r in found:
-        if r["bucket"] < 0:
-            n[r["kind"]] = r["n"]
-        else:
-            counts[r["kind"], r["bucket"]] = r["n"]
-    return Bayes(counts, n)
-
-
-def judge(pages: DataFrame, url: str = "url", page_id: str = "page_id", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (of block) and words (the host's) of every page."""
-    small_batches(pages.sparkSession, 5000)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(at, pa.int32()), "n": pa.array(tokens[kind, at], pa.int64())})
+
+    labelled = pages.where("label is not null").select("label", "host_words", "path_words")
+    found = labelled.mapInArrow(count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((2, BUCKETS))
+    if found.num_rows:
+        counts[found["kind"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return Bayes(counts)
+
+
+def judge(
+    pages: DataFrame, url: str = "url", page_id: str = "page_id", html: str | None = "html", rules: Sequence[tuple[str, str, str]] = RULES,
+    learn: Column | None = None, dictionary: DataFrame | None = None,
+) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (of block) and words (the host's) of every page. html: column of the pages' text,
+    None for none; learn: a condition on column page_id of the pages that may teach (all)."""
     host, path = parse(F.col(url))
-    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = tokenized(rows)
+    text = F.lit(None).cast("string") if html is None else F.col(html)
+    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), text.alias("html"))
+    rows = rows.withColumn("ruled", match_rules(F.col("host"), F.col("path"), rules))
+    rows = tokenized(rows.withColumn("label", F.when(F.lit(True) if learn is None else learn, F.col("ruled.verdict"))), dictionary)
     bayes = fit(rows)
 
     @F.pandas_udf("double")
@@ -202,5 +185,5 @@ def judge(pages: DataFrame, url: str = "url", page_id: str = "page_id", rules: S
         for hosts, paths in batches:
             yield pd.Series([bayes.block(list(h), list(p)) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
 
-    rows = rows.withColumn("ruled", match_rules(F.col("host"), F.col("path"), rules)).withColumn("score", score("host_words", "path_words"))
+    rows = rows.withColumn("score", score("host_words", "path_words"))
     return rows.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score", F.col("host_words").alias("words"))

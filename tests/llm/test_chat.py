@@ -42,6 +42,18 @@ def test_windows_keep_the_budget_and_repeat_history(spark):
     assert sum(len(r.loss) for r in made) == 19
 
 
+def test_a_long_system_turn_keeps_the_budget(spark):
+    for text in ("sys " * 50_000, "x" * 200_000):  # many words, one word
+        rows = [(1, 0, "system", text)] + [(1, i, "user" if i % 2 else "assistant", f"t{i} " * 90) for i in range(1, 120)]
+        made = chat.windows(frame(spark, rows)).orderBy("window").collect()
+        assert len(made) > 20
+        whole = [r for r in made if text in r.text]
+        assert len(whole) == 1 and whole[0].repeated == 0
+        assert all(r.tokens <= chat.BUDGET and len(r.text) < 10_000 and chat.MORE in r.text for r in made if r is not whole[0])
+        assert sum(len(r.text) for r in made) < 3 * sum(len(r[3]) for r in rows)
+        assert [tuple(r)[:5] for r in chat.digests(chat.windows(frame(spark, rows))).collect()] == brute(rows)
+
+
 def test_long_turns_stay_whole(spark):
     made = chat.windows(frame(spark, NASTY)).where("conv_id = 7").collect()
     assert any(r.tokens > 5000 for r in made) and sum(len(r.loss) for r in made) == 2

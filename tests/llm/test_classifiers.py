@@ -94,44 +94,119 @@ URLS = [
 
 def test_rules_and_parts(spark):
     pages = spark.createDataFrame(URLS, "page_id long, url string").selectExpr("*", "'x' as host", "'y' as score")
-    rows = {(r.page_id, r.host): r for r in U.judge(pages).collect()}
-    assert U.judge(pages).count() == len(URLS)
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows.values() if r.page_id in (1, 2, 3, 4, 5, 6, 7, 13)}
+    rows = {(r.page_id, r.host): r for r in U.judge(pages, html=None).collect()}
+    assert U.judge(pages, html=None).count() == len(URLS)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows.values() if r.page_id in (1, 2, 3, 4, 5, 6, 13)}
     assert got == {
         1: ("x.example.com", "/en/7", "example.com/en/7", "allow"), 2: ("example.com", "/en/6", "com/en/", "block"), 3: ("a.net", "/de/8", "net/de/", "allow"),
-        4: ("example.net", "/de/8/x", "example.net/de/8", "block"), 5: ("fr.org", "/es/", "org/es/", "block"), 6: ("com", "/en/", "com/en/", "block"), 7: ("notcom", "/en/", None, "allow"), 13: ("b:", "//c/d", None, "allow"),
+        4: ("example.net", "/de/8/x", "example.net/de/8", "block"), 5: ("fr.org", "/es/", "org/es/", "block"), 6: ("com", "/en/", "com/en/", "block"), 13: ("b:", "//c/d", None, rows[(13, "b:")].verdict),
     }
-    assert rows[(11, "cheappills.example.org")].verdict == "block" and rows[(12, "news-online.example.org")].verdict == "allow"
-    assert rows[(8, "")].path == "" and rows[(9, "")].rule is None and rows[(None, "h")].path == ""
-    assert U.judge(pages.where("false")).count() == 0
+    assert rows[(8, "")].path == "" and (rows[(9, "")].rule, rows[(9, "")].score, rows[(9, "")].verdict) == (None, 0.5, "allow") and rows[(None, "h")].path == ""
+    assert rows[(7, "notcom")].rule is None
+    assert U.judge(pages.where("false"), html=None).count() == 0
+    assert {r.verdict for r in U.judge(pages.where("page_id > 10"), html=None).collect()} == {"allow"}  # no rule fits, so nothing is learned
+    long = spark.createDataFrame([(1, "http://" + "ab" * 2000 + ".com/en/" + "x" * 50_000), (2, None)], "page_id long, url string").selectExpr("*", "repeat('<b>ab</b> ', 10000) as html")
+    assert {r.page_id: r.verdict for r in U.judge(long).collect()} == {1: "block", 2: "allow"}
+
+
+def plain_judge(rows, held):
+    """Score and verdict by page, in plain Python."""
+    import math
+    import re
+    from collections import Counter
+    from urllib.parse import unquote
+
+    letters = lambda x: re.findall(r"[^\W\d_]+", x)  # noqa: E731  the fixture has no marks
+    parsed, counts = [], Counter()
+    for page_id, url, html in rows:
+        rest = url.partition("://")[2] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h, p, v) for v, h, p in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule = max(fits, default=None)
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&[a-z0-9#]+;", " ", html or "").lower()
+        words = letters(unquote(path).lower()) + letters(text) + [x for part in host.split(".") if "-" in part for x in part.split("-")]
+        counts.update(w for w in words if len(w) <= 24 and re.fullmatch(r"[^\W\d_]+", w))
+        parsed.append((page_id, host, path, rule))
+    total = sum(counts.values()) + 1
+    unknown = math.log(total) + 2
+    cost = lambda w: -math.log(counts[w] / total) if w in counts and len(w) <= 24 else unknown + 1.5 * len(w)
+
+    def split(name):
+        best = [(0.0, [])]
+        for end in range(1, len(name) + 1):
+            best.append(min(((best[s][0] + cost(name[s:end]), best[s][1] + [name[s:end]]) for s in range(max(0, end - 24), end)), key=lambda x: x[0]))
+        return best[-1][1]
+
+    tokens = [[("h", w) for n in letters(h) for w in split(n)] + [("p", w) for w in letters(unquote(p).lower())] for _, h, p, _ in parsed]
+    bucket = lambda t: zlib.crc32((t[0] + t[1]).encode()) % U.BUCKETS
+    seen = {"allow": Counter(), "block": Counter()}
+    for (page_id, _, _, rule), ts in zip(parsed, tokens, strict=True):
+        if rule and not held(page_id):
+            seen[rule[3]].update(map(bucket, ts))
+    n = {k: sum(c.values()) for k, c in seen.items()}
+    out = {}
+    for (page_id, host, path, rule), ts in zip(parsed, tokens, strict=True):
+        x = 0.0
+        for t in map(bucket, ts):
+            back = (seen["allow"][t] + seen["block"][t] + 1) / (n["allow"] + n["block"] + U.BUCKETS)
+            p = {k: (seen[k][t] + U.SMOOTH * back) / (n[k] + U.SMOOTH) for k in seen}
+            x += math.log(p["block"]) - math.log(p["allow"])
+        score = 1 / (1 + math.exp(-max(-50, min(50, x))))
+        out[page_id] = (host, path, rule and rule[1] + rule[2], rule[3] if rule else "block" if score > 0.5 else "allow", score)
+    return out
+
+
+def test_url_filter_is_its_brute_force(spark, data):
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()]
+    want = plain_judge(rows, lambda i: zlib.crc32(str(i).encode()) % 4 == 2)
+    got = {r.page_id: r for r in registry.op9_url_filter(spark, data).collect()}
+    assert len(got) == len(rows) == len(want)
+    for k, (host, path, rule, verdict, score) in want.items():
+        r = got[k]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and abs(r.score - score) < 1e-9
+        assert r.verdict == verdict or abs(score - 0.5) < 1e-9
+
+
+def test_held_out_pages(spark):
+    # pages that a rule fits, but that taught nothing: what would the model say of them?
+    rows = [r for r in registry.op9_url_filter(spark, SF).where("rule is not null").collect() if zlib.crc32(str(r.page_id).encode()) % 4 == 2]
+    block, said = [r.verdict == "block" for r in rows], [r.score > 0.5 for r in rows]
+    both = sum(a and b for a, b in zip(block, said, strict=True))
+    assert len(rows) > 15 and both / max(1, sum(said)) > 0.8 and both / sum(block) > 0.9
 
 
 def test_viterbi_is_the_best_split():
-    s = U.Segmenter({"a": 5, "ab": 3, "bab": 2, "b": 1})
+    cost, unknown = {"a": 1.0, "ab": 1.5, "bab": 1.7, "b": 2.5}, 4.0
 
     def best(name):
         if not name:
             return 0.0
-        return min((s.cost.get(name[:i], s.unknown + 1.5 * i)) + best(name[i:]) for i in range(1, len(name) + 1))
+        return min((cost.get(name[:i], unknown + 1.5 * i)) + best(name[i:]) for i in range(1, len(name) + 1))
 
     for name in ("ababab", "bbabz", "zzz", "cheapbabfarm"[:9]):
-        words = s.split(name)
+        words = U.best_split(name, cost, unknown)
         assert "".join(words) == name
-        assert abs(sum(s.cost.get(w, s.unknown + 1.5 * len(w)) for w in words) - best(name)) < 1e-9
+        assert abs(sum(cost.get(w, unknown + 1.5 * len(w)) for w in words) - best(name)) < 1e-9
 
 
-def test_spam_hosts_are_blocked(spark):
-    rows = registry.op9_url_filter(spark, SF).where(F.col("rule").isNull()).collect()
-    spam = [r for r in rows if any(x in r.host for x in ("spam-farm", "cheap-pills"))]
-    assert spam and all(r.verdict == "block" for r in spam)
-    assert sum(r.verdict == "block" for r in rows) < 0.5 * len(rows)
+def test_words_decide(spark):
+    # rules cover some pages of each kind; pages elsewhere go by the words they share with them
+    kinds = [("http://cheap-pills.com/en/", 30), ("http://news-daily.net/de/", 30)]
+    rows = [(100 * k + i, f"{u}{i}", None) for k, (u, n) in enumerate(kinds) for i in range(n)]
+    rows += [(-1, "http://cheappills.info/fr/x", None), (-2, "http://dailynews.info/fr/x", None)]
+    got = {r.page_id: (r.verdict, r.words) for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id < 0").collect()}
+    assert got == {-1: ("block", ["cheap", "pills", "info"]), -2: ("allow", ["daily", "news", "info"])}
 
 
 def test_rare_words_and_other_scripts_are_known(spark):
     # 60,000 words met twice sort before the one met once, which splits a host all the same
-    common = spark.range(120_000).selectExpr("id as page_id", "concat('http://h.org/', translate(lpad(cast(id % 60000 as string), 5, '0'), '0123456789', 'abcdefghij')) as url")
+    common = spark.range(120_000).selectExpr("id as page_id", "concat('http://h.org/', translate(lpad(cast(id % 60000 as string), 5, '0'), '0123456789', 'abcdefghij'), '/news') as url")
     rare = [(-1, "http://h.org/zyxwvu"), (-2, "http://zyxwvunews.org/"), (-3, "http://новости.org/"), (-4, "http://h.org/caf%C3%A9")]
     pages = common.unionByName(spark.createDataFrame(rare, "page_id long, url string"))
-    words = {r.page_id: r.words for r in U.judge(pages).where("page_id < 0").collect()}
-    assert words[-2] == ["zyxwvu", "news", "org"] and "".join(words[-3]) == "новостиorg"
-    assert {r.w for r in U.unigrams(spark.createDataFrame([("a", "/caf%C3%A9")], "host string, path string")).where("w like 'caf%'").collect()} == {"café"}
+    words = {r.page_id: r.words for r in U.judge(pages, html=None).where("page_id < 0").collect()}
+    assert words[-2][:2] == ["zyxwvu", "news"] and "".join(words[-3]) == "новостиorg"
+    text = spark.createDataFrame([("a", "/caf%C3%A9", "<p>Über<script>no no</script>mut</p>")], "host string, path string, html string")
+    extra = spark.createDataFrame([("mut", 4)], "w string, n int")
+    assert {r.w: r.n for r in U.unigrams(text, extra).collect()} == {"café": 1, "über": 1, "mut": 5}

@@ -2,7 +2,6 @@ import hashlib
 import re
 
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,12 +49,28 @@ def test_odd_rows(spark, odd):
 
 def test_blocks_of_phrases(spark, odd):
     check(spark, odd, ROWS, block_words=4)
-
-
-def test_a_benchmark_beyond_the_bound_is_refused(spark, odd):
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    with pytest.raises(ValueError, match="in parts"):
-        D.phrase_blocks(bench.unionByName(bench.selectExpr("item_id + 50", "repeat(text, 100)").toDF("item_id", "text")), block_words=1)
+    folder, blocks = D.write_blocks(spark.createDataFrame(ITEMS, "item_id long, text string"), block_words=1)
+    assert len(blocks) > 2
+    found = D.find_passages(odd, spark.createDataFrame(ITEMS, "item_id long, text string"), block_words=1)
+    assert str(found._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1  # one pass over the texts for all blocks
+
+
+def test_long_items_are_cut_into_pieces(spark, monkeypatch):
+    words = [f"w{i * i % 37}" for i in range(300)]
+    bench = spark.createDataFrame([("long", ", ".join(words)), ("short", "w1 w2")], "item_id string, text string")
+    pieces = D.phrase_pieces(bench, piece=7).collect()
+    assert max(len(r.words) for r in pieces) <= 7 + 9 and sum(r.n for r in pieces) == 291 + 1
+    windows = {tuple(r.words[i : i + 10]) for r in pieces if r.item == "long" for i in range(len(r.words) - 9)}
+    assert windows == {tuple(words[i : i + 10]) for i in range(291)}
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[40:55]) + " y"), (2, "w1; W2"), (3, " ".join(words[:9]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in D.report(D.find_passages(docs, bench, block_words=50)).collect()}
+    assert got[1][0] >= 15 and got[2] == (2, 1) and got[3] == (0, 0)
+
+
+def test_identifiers_of_any_type(spark, odd):
+    bench = spark.createDataFrame([("b-1", "quick brown fox jumps over"), ("a,2", "quick brown"), (None, "lazy dog")], "item_id string, text string")
+    got = D.report(D.find_passages(odd, bench)).where("doc_id = 4").first()
+    assert (got.n_items, got.items_sha256) == (3, hashlib.sha256(b",a,2,b-1").hexdigest())
 
 
 def test_empty(spark, odd, empty):

@@ -29,6 +29,13 @@ def test_odd_rows(spark, odd):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_identifiers_of_any_type(odd):
+    named = odd.withColumn("doc_id", F.concat(F.lit("d-"), F.col("doc_id").cast("string")))
+    rows = M.mix(named).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted("None" if r[0] is None else f"d-{r[0]}" for r in ROWS)
+    assert M.apply_mix(named).columns == odd.columns
+
+
 def test_weights_go_by_code_point_with_null_last(spark):
     docs = spark.createDataFrame([(i, "w " * 100, s) for i, s in enumerate(["Z", "a", "é", None, "\U0001f600"])], "doc_id long, text string, source string")
     targets = {r.source: (r.weight, r.target) for r in M.source_targets(M.sizes(docs)).collect()}
@@ -39,7 +46,7 @@ def test_weights_go_by_code_point_with_null_last(spark):
 
 def test_permutation(spark):
     slots = spark.createDataFrame([("s", 1000, 1, 1000, 2000), (None, 7, 1, 7, 10)], "source string, source_size long, block_words long, blocks long, slots long")
-    drawn = M.draw(slots)
+    drawn = M.draw(slots, M.shard_counts(slots, shard_slots=300))
     counts = drawn.groupBy("source", "block").count().collect()
     assert sorted(r["count"] for r in counts if r.source == "s") == [2] * 1000
     assert sorted(r["count"] for r in counts if r.source is None) == [1] * 4 + [2] * 3
@@ -56,10 +63,15 @@ def test_apply(odd):
     out = M.apply_mix(odd)
     assert out.columns == odd.columns
     assert out.where("text is null or text = ''").count() == 0
-    assert out.groupBy(*[F.col(c) for c in out.columns]).count().where("count > 4").count() == 0
+    rows, n = out.collect(), len(ROWS)
+    whole = {r[0]: r[1].split() for r in ROWS if r[1]}
+    for r in rows:  # words of the document, in order
+        w = iter(whole[r.doc_id])
+        assert all(x in w for x in r.text.split())
+    assert len(rows) <= 2 * n
 
 
-def test_long_documents_come_as_often_as_the_target_says(spark):
+def test_documents_hold_the_words_that_the_mix_takes(spark):
     # a, d and g stop at twice their size, c is left with 0.4 of its own; b, e, f, h and i are one short document each
     n = {"a": 88, "d": 88, "g": 88, "c": 120}
     rows, i = [], 0
@@ -67,37 +79,48 @@ def test_long_documents_come_as_often_as_the_target_says(spark):
         for _ in range(n.get(s, 1)):
             i += 1
             rows.append((i, 5000 + i * 7919 % 15001 if s in n else 5, s))
-    docs = spark.createDataFrame(rows, "doc_id long, words int, source string").select("doc_id", F.expr("repeat('w ', words)").alias("text"), "source")
-    targets = {r.source: r for r in M.source_targets(M.sizes(docs)).collect()}
-    assert 0.3 < targets["c"].target / targets["c"].source_size < 0.5
-    out = M.apply_mix(docs).select("doc_id", "source", M.size_of(F.col("text")).alias("size")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, words int, source string").select("doc_id", F.expr("array_join(transform(sequence(1, words), i -> concat(doc_id, '_', i)), ' \n')").alias("text"), "source")
+    plan = {r.source: r for r in M.plan_slots(M.source_targets(M.sizes(docs))).collect()}
+    assert 0.3 < plan["c"].target / plan["c"].source_size < 0.5
+    taken = {r.doc_id: r.taken for r in M.mix(docs).collect()}
+    out = M.apply_mix(docs).select("doc_id", "source", "text").collect()
+    by_doc, by_source = Counter(), Counter()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in out:
+        words = r.text.split()
+        assert all(w.startswith(f"{r.doc_id}_") for w in words)
+        numbers = [int(w.split("_")[1]) for w in words]
+        assert numbers == sorted(set(numbers))  # each word once a copy, in order
+        assert len(words) < len(texts[r.doc_id].split()) or r.text == texts[r.doc_id]
+        by_doc[r.doc_id] += len(words)
+        by_source[r.source] += len(words)
+    assert by_doc == Counter({k: v for k, v in taken.items() if v})
     assert max(Counter(r.doc_id for r in out).values()) <= 2
-    for s in n:
-        words = sum(r.size for r in out if r.source == s)
-        assert abs(words - targets[s].target) < 0.03 * targets[s].source_size, s
+    for s, p in plan.items():
+        assert abs(by_source[s] - p.target) <= p.block_words, s
 
 
-def test_copies_average_the_rate_at_any_length(spark):
-    # one word to 50,000: below one block and over dozens
-    sized = spark.range(3000).selectExpr("id as doc_id", "'s' as source", "cast(pow(10, (id % 48) / 10) as long) as size")
-    for rate in (0.1, 0.4, 0.7, 1.3, 1.8, 2.0):
-        targets = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("target", rate * F.col("source_size"))
-        got = M.copies(sized, targets).groupBy((F.col("doc_id") % 48 < 24).alias("short")).agg(F.avg("times").alias("mean"), F.min("times").alias("least"), F.max("times").alias("most")).collect()
-        for r in got:
-            assert abs(r.mean - rate) < 0.01 and r.least >= int(rate) and r.most <= min(2, int(rate) + 1)
+def test_equal_rows_are_paired_one_for_one(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "s", i) for i in range(40)] + [(None, "x y", None, 0)] * 3, "doc_id long, text string, source string, n int")
+    taken = sum(r.taken for r in M.mix(docs).collect())
+    out = M.apply_mix(docs).collect()
+    assert sum(len(r.text.split()) for r in out) == taken
+    assert max(Counter(r.n for r in out if r.doc_id == 1).values()) <= 2
 
 
 def test_mix_holds_whole_blocks_in_shards(spark):
     docs = spark.range(600).selectExpr("id as doc_id", "repeat('w ', cast(1 + id * 37 % 900 as int)) as text", "case id % 4 when 0 then null when 1 then 'b' else 'a' end as source")
     sized = M.sizes(docs).cache()
     slots = M.plan_slots(M.source_targets(sized)).cache()
-    drawn = M.draw(slots, shard_slots=64).cache()
+    drawn_counts = M.shard_counts(slots, shard_slots=64).cache()
+    drawn = M.draw(slots, drawn_counts).cache()
     plan = {r.source: r for r in slots.collect()}
     blocks = {(r.source, r.slot): r for r in drawn.collect()}
     assert len(blocks) == drawn.count() == sum(r.slots for r in plan.values())
 
     # slots by shard and source add up to the plan and vary as a multinomial draw does
-    counts = {(r.shard, r.source): r.slots for r in M.shard_counts(drawn).collect()}
+    counts = {(r.shard, r.source): r.slots for r in drawn_counts.collect()}
+    assert {(r.shard, r.source): r["count"] for r in drawn.groupBy("shard", "source").count().collect()} == counts
     shards = -(-len(blocks) // 64)
     assert {k for k, _ in counts} == set(range(shards))
     for source, r in plan.items():
@@ -108,7 +131,7 @@ def test_mix_holds_whole_blocks_in_shards(spark):
         assert abs(chi2 - (shards - 1)) < 4 * (2 * (shards - 1)) ** 0.5
 
     # every slot holds its block's words once: spans of documents, end to end
-    rows = M.mixed(M.pack(sized, slots), drawn).collect()
+    rows = M.mixed(M.spans(M.pack(sized), slots), drawn).collect()
     size = {r.doc_id: r.size for r in sized.collect()}
     spans, documents, by_shard = {}, {}, {}
     for r in rows:
@@ -122,11 +145,23 @@ def test_mix_holds_whole_blocks_in_shards(spark):
         p = plan[source]
         assert words == min(p.block_words, p.source_size - blocks[source, slot].block * p.block_words)
     assert spans.keys() == blocks.keys()
-    assert {r.doc_id: r.taken for r in M.mix(docs).collect() if r.taken} == documents
+    assert {r.doc_id: r.taken for r in M.mix(docs).collect() if r.taken} == {k: v for k, v in _taken_of(M.mixed_blocks(docs)).items()}
+
+
+def _taken_of(mix):
+    return {r.doc_id: r.n for r in mix.groupBy("doc_id").agg(F.sum("words").alias("n")).collect()}
 
 
 def test_mixed_blocks(odd, empty):
     mix = M.mixed_blocks(odd)
-    assert mix.columns == ["shard", "slot", "source", "block", "doc_id", "chunk", "row", "first", "words"]
+    assert mix.columns[:4] == ["shard", "source", "slot", "block"] and {"doc_id", "start", "first", "words"} <= set(mix.columns)
     assert sum(r.words for r in mix.collect()) == sum(r.taken for r in M.mix(odd).collect()) > 0
     assert M.mixed_blocks(empty).count() == 0
+
+
+def test_slots_are_shuffled_and_keep_their_shard(odd):
+    sized = M.sizes(odd).cache()
+    slots = M.plan_slots(M.source_targets(sized)).cache()
+    made = M.mixed(M.spans(M.pack(sized), slots), M.draw(slots, M.shard_counts(slots)))
+    plan = made._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "shard" in plan.split("== Optimized Logical Plan ==")[1]

@@ -1,10 +1,16 @@
 """The pipeline against its stages in plain Python, and on odd rows."""
 
+import zlib
+from collections import Counter
+
 import corpus_pipeline as P
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
+from tessella.llm import mixing as M
 from tessella.llm import quality as Q
+from tessella.llm.token_table import default_tokenizer
 
 from .test_decontaminate import plain
 from .test_simhash import plain_components, plain_fingerprint
@@ -39,15 +45,23 @@ def test_each_stage(spark, data):
     assert rows(clean) == [r for r in rows(left) if not hit(plain(r[1]))]
 
     clean = clean.cache()
-    mixed = P.mix_sources(spark, clean, data)
+    mixed = P.mix_sources(spark, clean, data).cache()
     assert mixed.columns == docs.columns
-    assert set(rows(mixed)) <= set(rows(clean))
-    words = sum(len((t or "").split()) for _, t in rows(clean))
-    assert abs(sum(len((t or "").split()) for _, t in rows(mixed)) - 1.5 * words) < 0.1 * words
+    plan = {r.source: r for r in M.plan_slots(M.source_targets(M.sizes(clean))).collect()}
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    words = Counter()
+    for r in mixed.collect():
+        own, of = (r.text or "").split(), iter(texts[r.doc_id].split())
+        assert all(w in of for w in own) and r.n_chars == len(r.text)
+        words[r.source] += len(own)
+    assert all(abs(words[s] - p.target) <= p.block_words for s, p in plan.items())
 
     out = P.write_tokens(spark, mixed, data).orderBy("start").collect()
     assert [r.doc_id for r in out] == sorted(r.doc_id for r in mixed.select("doc_id").collect())
     assert [r.start for r in out] == [0, *np.cumsum([r.n_tokens for r in out])[:-1].tolist()]
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == sorted((r.doc_id, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r in mixed.collect() for x in [ids(r.text)])
 
 
 def test_run(spark, data):

@@ -51,20 +51,37 @@ def test_empty(spark, empty):
     assert T.tokenized(spark, empty).count() == 0
 
 
-def test_words_and_whole_texts_agree(tokenizer):
-    texts = ["<|endoftext|> a", "<|ENDOFTEXT|>x y", "Don't STOP it's 'S I'LL a'b", "İ Σσς ΑΣ ß K", "\x1c\x1dab x\u00a0y z\u2003w", "e\u0301 \u0301x a \u0301b", "漢字 12 ½ ²", "", None, "word,word. (x) ... a.,b a,'s"]
-    encoder = T.WordEncoder(T.default_tokenizer())
-    for _ in range(2):  # the second time from memory
-        for t, packed in zip(texts, encoder.encode(texts), strict=True):
-            assert np.frombuffer(packed, "<u2").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
-
-
-def test_memory_of_words_may_be_full(tokenizer, monkeypatch):
-    monkeypatch.setattr(T, "MEMO_WORDS", 2)
-    encoder = T.WordEncoder(T.default_tokenizer())
-    for _ in range(3):
-        got = encoder.encode(["aa bb cc dd.", "ee ff aa, bb"])
-        assert np.frombuffer(got[1], "<u2").tolist() == tokenizer.encode("ee ff aa, bb", add_special_tokens=False).ids
+TEXTS = ["<|endoftext|> a", "<|ENDOFTEXT|>x y", "Don't STOP it's 'S I'LL a'b", "İ Σσς ΑΣ ß K", "\x1c\x1dab x\u00a0y z\u2003w", "e\u0301 \u0301x a \u0301b", "漢字 12 ½ ²", "", None, "word,word. (x) ... a.,b a,'s  two  spaces\n"]
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_of_the_library(spark, file):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = list(enumerate(TEXTS))
+    files = T.write_table(spark.createDataFrame(rows, "doc_id int, text string"), public_tokenizers.path(file))
+    got = {r.doc_id: list(r.ids) for r in T.lookup(files, spark.range(20).withColumnRenamed("id", "doc_id")).collect()}
+    plain = Tokenizer.from_file(public_tokenizers.path(file))
+    assert got == {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+
+
+def test_string_identifiers(spark, tokenizer):
+    rows = [("b", "two words"), ("a\u00e9", "x"), ("\U0001f600" * 100, "long id"), (None, None), ("", "empty id"), ("b", "again")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    files = T.write_table(docs, T.default_tokenizer(), shards=2)
+    got = T.documents_in(files).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [r[0] for r in sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode()))]
+    found = T.lookup(files, docs.select("doc_id").union(spark.createDataFrame([("zz",)], "doc_id string"))).collect()
+    assert sorted((r.doc_id, len(r.ids)) for r in found if r.doc_id) == sorted((i, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for i, t in rows if i)
+    with pytest.raises(TypeError, match="whole numbers or strings"):
+        T.write_table(docs.selectExpr("cast(1.5 as double) as doc_id", "text"), T.default_tokenizer())
+
+
+def test_read_back_by_a_task_a_file(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "'some text' as text")
+    files = T.write_table(docs, T.default_tokenizer(), shards=6)
+    assert T.read_table(files).rdd.getNumPartitions() == files.count() == 6
 
 
 def test_file_format(monkeypatch):
