@@ -8,9 +8,10 @@ that driver and executors share and reads it back as the next one's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, mixing, quality, simhash, token_table
-from tessella.llm.common import cut, fresh
+from tessella.llm.common import cut, discard, fresh, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: not at all, once or twice."""
-    return mixing.apply_mix(docs)
+    """The words that the mix of sources takes of each document, in up to two copies; n_chars counts what they hold."""
+    mixed = mixing.apply_mix(docs)
+    counted = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return mixed if counted is None else mixed.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), counted))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written for itself goes once its result is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = set(written(spark))
+        out = stage(spark, docs, sf_dir)
+        own = set(written(spark)) - before
+        docs = cut(out, name.replace(" ", "-"))
+        discard(spark, *own)
     return docs
