@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +28,20 @@ def duplicated(df: DataFrame, cols: Sequence[str], order_by: str, keep: str | bo
     The kept row of a value is found by map-side minimum or maximum of order_by (unique) and joined back, so a value of any
     frequency is aggregated before it moves.
     """
-    if keep is False:
-        stat, flag = F.count("*"), F.col("__x") > 1
-    elif keep in ("first", "last"):
-        stat, flag = (F.min(order_by) if keep == "first" else F.max(order_by)), F.col("__x") != F.col(order_by)
-    else:
+    return duplicates(df, cols, order_by, {out: keep})
+
+
+def duplicates(df: DataFrame, cols: Sequence[str], order_by: str, flags: Mapping[str, str | bool]) -> DataFrame:
+    """Several flags of duplicated() (name -> keep) by one aggregate and one join."""
+    if set(flags.values()) - {"first", "last", False}:
         raise ValueError("keep must be 'first', 'last' or False")
-    stats = df.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(cols)]).agg(stat.alias("__x"))
+    stats = df.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(cols)]).agg(F.count("*").alias("__n"), F.min(order_by).alias("__first"), F.max(order_by).alias("__last"))
     same = None
     for i, c in enumerate(cols):
         term = F.col(c).eqNullSafe(F.col(f"__k{i}"))
         same = term if same is None else same & term
-    return df.join(stats, same).withColumn(out, flag).select(*df.columns, out)
+    flag = {"first": F.col("__first") != F.col(order_by), "last": F.col("__last") != F.col(order_by), False: F.col("__n") > 1}
+    return df.join(stats, same).select(*df.columns, *[flag[keep].alias(out) for out, keep in flags.items()])
 
 
 def factorize(df: DataFrame, c: str, order_by: str, prior: DataFrame | None = None, out: str = "code") -> DataFrame:

@@ -25,13 +25,14 @@ def minmax_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def kfold(df: DataFrame, k: int, seed: int, key: str, out: str = "fold", slices: int = 256) -> DataFrame:
     """Fold 0..k-1 by a seeded random order of keys (unique); folds are equal, the n mod k rows that come last drop out.
 
-    Positions are counted in slices of the hash range and shifted by the slices before, so no task orders all rows.
+    The order is that of 60 bits of an md5 of key and seed. Positions are counted in slices of the hash range and shifted by the
+    slices before, so no task orders all rows; more rows than some million a slice call for more slices.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    rows = df.withColumn("__h", h).withColumn("__s", F.shiftright("__h", 56))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+    rows = df.withColumn("__h", h).withColumn("__s", F.floor(F.col("__h") / F.lit(float(1 << 60) / slices)))
     sizes = rows.groupBy("__s").agg(F.count("*").alias("__n"))
     all_ = Window.partitionBy()
-    before = sizes.select("__s", (F.sum("__n").over(Window.orderBy("__s")) - F.col("__n")).alias("__before"), F.sum("__n").over(all_).alias("__all"))  # at most 256 rows
+    before = sizes.select("__s", (F.sum("__n").over(Window.orderBy("__s")) - F.col("__n")).alias("__before"), F.sum("__n").over(all_).alias("__all"))  # one row a slice
     pos = F.col("__before") + F.row_number().over(Window.partitionBy("__s").orderBy("__h", key)) - 1
     numbered = rows.join(F.broadcast(before), "__s").withColumn("__pos", pos).where(F.col("__pos") < F.floor(F.col("__all") / k) * k)
     return numbered.withColumn(out, F.pmod("__pos", F.lit(k)).cast("int")).drop("__h", "__s", "__n", "__before", "__all", "__pos")
@@ -74,9 +75,10 @@ def accuracy(df: DataFrame, actual: str = "label", predicted: str = "predicted",
 
 
 def cross_validate(df: DataFrame, features: Sequence[str] | str, label: str, key: str, k: int = 5, seed: int = 1, epochs: int = 100, lr: float = 0.1) -> DataFrame:
-    """Rows (fold, accuracy) of models that were trained without the fold."""
+    """Rows (fold, accuracy) of models that were trained without the fold, and their mean in the row without fold."""
     rows = kfold(df, k, seed, key)
     coef = fit_logistic(rows, features, label, epochs, lr, "fold", k)
     models = F.element_at(F.array(*[F.array(*[F.lit(v) for v in coef[h]]) for h in range(k)]), F.col("fold") + 1)
     scored = rows.withColumn("predicted", F.rint(S.sigmoid_dot(F.transform(_features(features), lambda v: v.cast("double")), models)))
-    return accuracy(scored.withColumn("label_", F.col(label).cast("double")), "label_", "predicted", "fold").orderBy("fold")
+    by = accuracy(scored.withColumn("label_", F.col(label).cast("double")), "label_", "predicted", "fold")
+    return by.rollup("fold").agg(F.avg("accuracy").alias("accuracy")).orderBy(F.asc_nulls_last("fold"))

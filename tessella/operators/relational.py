@@ -72,6 +72,11 @@ def with_group_avg(df: DataFrame, key: str, val: str, out: str = "group_avg") ->
     return df.join(means, F.col(key) == F.col("__k")).drop("__k")
 
 
+def parts_for(*dfs: DataFrame, rows_each: int = 1_000_000) -> int:
+    """Partitions for a deal of the larger table: one for so many rows, the session's shuffle partitions at least."""
+    return max(int(dfs[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), *[-(-d.count() // rows_each) for d in dfs])
+
+
 def partitioned_join(left: DataFrame, right: DataFrame, key: str, n: int) -> DataFrame:
     """Both sides dealt into n partitions by the key, then joined partition by partition without a further shuffle."""
     return clean_keys(left, key).repartition(n, key).join(clean_keys(right, key).repartition(n, key).hint("merge"), key)
@@ -93,7 +98,7 @@ def keys_with_many(df: DataFrame, key: str, val: str, n: int = 1) -> DataFrame:
 
 
 def group_apply(df: DataFrame, keys: str | Sequence[str], fn, schema: str) -> DataFrame:  # noqa: ANN001
-    """fn(pandas frame of a group) -> pandas frame; a group must fit into a task."""
+    """fn(pandas frame of a group) -> pandas frame, for functions that only the caller knows; a group must fit into a task. What Spark's own aggregates can say belongs to them."""
     return drop_missing(df, keys).groupBy(*_list(keys)).applyInPandas(fn, schema)
 
 

@@ -11,7 +11,7 @@ from .relational import running_totals
 
 
 def counter_rate(df: DataFrame, key: str, ts: str, c: str, order: Sequence[str] = (), out: str = "rate") -> DataFrame:
-    """Percent of elapsed time that a cumulative counter advanced; 0 for the first sample and for no elapsed time."""
+    """Percent of elapsed time that a cumulative counter advanced; 0 for the first sample and for no elapsed time. A key's samples are one task's, sorted on disk where needed."""
     w = Window.partitionBy(key).orderBy(ts, *order)
     gone, grown = F.col(ts) - F.lag(ts).over(w), F.col(c) - F.lag(c).over(w)
     return df.withColumn(out, F.coalesce(F.when(gone > 0, grown * 100.0 / gone), F.lit(0.0)))
@@ -48,7 +48,7 @@ def minute_rate(df: DataFrame, key: str, ts: str, limit: int, order: Sequence[st
 
 
 def concurrency(df: DataFrame, key: str, start: str, end: str, limit: int, order: Sequence[str] = ()) -> DataFrame:
-    """Others in flight at each arrival, allowed while below the limit. What ends at an instant has ended when another starts then."""
+    """Others in flight at each arrival, allowed while below the limit. What ends at an instant has ended when another starts then. A key's arrivals are one task's."""
     ends = df.select(F.col(key).alias(key), F.col(end).alias("__t"), F.lit(0).alias("__kind"), F.lit(-1).alias("__d"))
     starts = df.withColumns({"__t": F.col(start), "__kind": F.lit(1), "__d": F.lit(1)})
     w = Window.partitionBy(key).orderBy("__t", "__kind", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -78,13 +78,14 @@ def overhead(df: DataFrame, total: str, units: str) -> DataFrame:
 
 
 def cdf(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
-    """Share of values at or below each distinct value, zeros included: counts first, then a running sum over distinct values, by ranges if there are no groups."""
+    """Share of values at or below each distinct value, zeros included: counts first, then a running sum over distinct values by
+    ranges of group and value, so no task holds all of a group."""
     keys = [by] if by else []
     counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("n"))
+    run = running_totals(counts, [*keys, c], "n", "__before")
     if by:
-        w = Window.partitionBy(by)
-        return counts.select(by, c, "n", (F.sum("n").over(w.orderBy(c)) / F.sum("n").over(w)).alias("cdf"))
-    run = running_totals(counts, [c], "n", "__before")
+        of = run.groupBy(F.col(by).alias("__by")).agg(F.min("__before").alias("__from"), F.sum("n").alias("__all"))
+        return run.join(of, F.col(by).eqNullSafe(F.col("__by"))).select(by, c, "n", ((F.col("__before") - F.col("__from") + F.col("n")) / F.col("__all")).alias("cdf"))
     return run.crossJoin(F.broadcast(run.agg(F.sum("n").alias("__all")))).select(c, "n", ((F.col("__before") + F.col("n")) / F.col("__all")).alias("cdf"))
 
 

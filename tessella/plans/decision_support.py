@@ -21,7 +21,7 @@ def returns_above_average(returns: DataFrame, stores: DataFrame, customers: Data
     total = R.group_sum(returns, [customer, store], amount, "total")
     total = total.join(customers.select(F.col(customer_key).alias("__c"), F.col(customer_id).alias("__id")), F.col(customer) == F.col("__c"))
     total = total.join(stores.where(store_filter).select(F.col(store_key).alias("__s")), F.col(store) == F.col("__s"))
-    # dealt once by store; the aggregate and the join back share that shuffle
+    # the joins go before both the mean and the join back to it; the totals are small beside the returns they come from
     above = R.with_group_avg(total, store, "total").where(F.col("total").cast("double") > F.col("group_avg").cast("double") * (1.2 if strict_spec else 1.0))
     ids = above.select(F.col("__id").alias(customer_id)).distinct().orderBy(customer_id)
     return ids.limit(100) if strict_spec else ids

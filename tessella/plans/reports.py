@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import series
 from ..sources.logs import RESOURCES, parse_resource_log
+from ..sources.tables import shared_path
 
 LATENCIES = ("ta", "ad", "oea", "oer", "ora", "rtt", "ortt", "d")
 COUNTERS = ("attempts", "invocations", "activations", "requests")
@@ -28,12 +29,18 @@ def peer_profile(points: DataFrame, peer: str, element: str = "name", activation
 
 
 def utilisation_report(lines: DataFrame, pools: Sequence[str] = ("pool1", "pool2", "pool3"), offset: float = 0.0, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Resource log lines to elapsed seconds and percent used of each pool's resources."""
-    rows = parse_resource_log(lines, pools)
+    """Resource log lines to elapsed seconds and percent used of each pool's resources. Lines are parsed once into a written stage, which the minimum, the maxima and the rows read."""
+    parsed = parse_resource_log(lines, pools)
+    rows = parsed.sparkSession.read.schema(parsed.schema).parquet(_stage(parsed, "resources"))
     cols = [f"{p}_{r}" for p in pools for r in RESOURCES]
     return series.utilisation(series.elapsed(rows, F.col("ts") / 1000.0, offset, low, high), cols)
 
 
+def _stage(df: DataFrame, name: str) -> str:
+    df.write.parquet(path := shared_path(df.sparkSession, name))
+    return path
+
+
 def overhead_report(df: DataFrame, labels: Sequence[str] | None = None, skip_time: float | None = None) -> DataFrame:
     """Overhead by element of each configuration (chain_length / func_time), one column a label, largest group first."""
     rows = series.overhead(df, "func_time", "chain_length")

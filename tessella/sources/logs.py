@@ -29,8 +29,9 @@ def parse_resource_log(df: DataFrame, pools: Sequence[str] = ("pool1", "pool2",
     All whole numbers of a line are read by position: seven of the time stamp, then for each pool the processors, their
     decimals (skipped), memory and storage.
     """
-    n = F.regexp_extract_all(F.col(col), F.lit(r"\d+"), F.lit(0)).alias("n")
-    rows = df.select(F.transform(n, lambda x: x.try_cast("bigint")).alias("n")).where(F.size("n") == 7 + 4 * len(pools))
+    n = F.regexp_extract_all(F.col(col), F.lit(r"\d+"), F.lit(0))
+    # exploding one array keeps Spark from writing the pattern out once for each number
+    rows = df.select(F.explode(F.array(F.transform(n, lambda x: x.try_cast("bigint")))).alias("n")).where(F.size("n") == 7 + 4 * len(pools))
     at = lambda i: F.get("n", i)
     ts = F.unix_millis(F.try_make_timestamp(at(0).cast("int"), at(1).cast("int"), at(2).cast("int"), at(3).cast("int"), at(4).cast("int"), (at(5) + at(6) / 1000.0).cast("decimal(8,6)"), F.lit("UTC")))
     measures = [at(7 + 4 * p + (0, 2, 3)[m]).alias(f"{pool}_{name}") for p, pool in enumerate(pools) for m, name in enumerate(RESOURCES)]

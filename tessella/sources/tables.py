@@ -11,9 +11,13 @@ from pyspark.sql import types as T
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only where that is unset, as in local tests, a temporary folder is set."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where that is unset, a temporary folder is set
+    for a local session, whose executors are the driver; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,9 +47,10 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").option("header", header).csv(path)
 
 
-def append_metrics(df: DataFrame, table: str) -> None:
-    """Adds rows to a metric table, made if absent."""
-    df.write.mode("append").format("parquet").saveAsTable(table)
+def append_metrics(df: DataFrame, table: str, path: str | None = None) -> None:
+    """Adds rows to a metric table, made if absent: in the warehouse, or at a path."""
+    writer = df.write.mode("append").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

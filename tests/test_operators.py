@@ -219,6 +219,62 @@ def test_learns(spark):
     assert score > 85 and not math.isnan(score)
 
 
+def plain_fit(x, y, epochs, lr):
+    """Full-batch descent on the squared error through the sigmoid, row by row."""
+    c = [0.0] * (len(x[0]) + 1)
+    for _ in range(epochs):
+        g = [0.0] * len(c)
+        for row, label in zip(x, y, strict=True):
+            p = 1 / (1 + math.exp(-(c[0] + sum(a * b for a, b in zip(c[1:], row, strict=True)))))
+            e = (label - p) * p * (1 - p)
+            g = [a + e * b for a, b in zip(g, [1.0, *row], strict=True)]
+        c = [a + lr * b / len(x) for a, b in zip(c, g, strict=True)]
+    return c
+
+
+def test_descent_is_its_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 2))
+    y = (x[:, 0] + 0.2 * rng.random(60) > 0.6).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, y double")
+    assert np.allclose(ML.fit_logistic(df, ["a", "b"], "y", epochs=7, lr=0.9)[None], plain_fit(x.tolist(), y.tolist(), 7, 0.9))
+    fold = {r.id: r.fold for r in ML.kfold(df, 5, 1, "id").collect()}
+    want = []
+    for f in range(5):
+        c = plain_fit(*([v[i].tolist() for i in range(60) if fold[i] != f] for v in (x, y)), 7, 0.9)
+        hits = [round(1 / (1 + math.exp(-(c[0] + c[1] * x[i, 0] + c[2] * x[i, 1])))) == y[i] for i in range(60) if fold[i] == f]
+        want.append(100 * sum(hits) / len(hits))
+    got_ = ML.cross_validate(df, ["a", "b"], "y", "id", epochs=7, lr=0.9).collect()
+    assert [r.fold for r in got_] == [0, 1, 2, 3, 4, None] and np.allclose([r.accuracy for r in got_], [*want, sum(want) / 5])
+
+
+def test_folds_are_seeded_disjoint_and_whatever_the_slices(spark):
+    df = spark.range(103)
+    a, b, c = ({r.id: r.fold for r in ML.kfold(df, 5, seed, "id", slices=n).collect()} for seed, n in ((1, 256), (1, 3), (2, 256)))
+    assert a == b != c and len(a) == 100 and sorted(a.values()).count(0) == 20
+
+
+def test_hash_buckets(spark):
+    df = spark.range(4000).selectExpr("id as a", "cast(id % 3 as string) as b", "cast(null as string) as n")
+    rows = df.select(S.hash_bucket(16, "a").alias("one"), S.hash_bucket(16, "a", "b").alias("two"), S.hash_bucket(16, "b", "a").alias("turned"), S.hash_bucket(16, "a", "n").alias("with_null"), S.hash_bucket(16, "b").alias("few")).collect()
+    for name in ("one", "two", "turned", "with_null"):
+        n = np.bincount([r[name] for r in rows], minlength=16)
+        assert len(n) == 16 and ((n - 250) ** 2 / 250).sum() < 45  # even, as chi square of 15 degrees has it
+    assert len({r.few for r in rows}) <= 3
+    assert sum(r.one != r.two for r in rows) > 3000 and sum(r.two != r.turned for r in rows) > 3000 and [r.one for r in rows] == [r.with_null for r in rows]
+
+
+def test_grouped_distribution(spark):
+    rng = np.random.default_rng(4)
+    rows = [("ab"[i % 2] if i % 9 else None, int(v)) for i, v in enumerate(rng.integers(0, 40, 500))]
+    found = {(r.g, r.v): (r.n, r.cdf) for r in SE.cdf(spark.createDataFrame(rows, "g string, v int"), "v", "g").collect()}
+    for g in ("a", "b", None):
+        values = [v for k, v in rows if k == g]
+        for v in set(values):
+            n, share = found[g, v]
+            assert n == values.count(v) and abs(share - sum(x <= v for x in values) / len(values)) < 1e-12
+
+
 def test_exposition(spark):
     df = spark.createDataFrame([("m", {"b": 'q"', "a": "x"}, 2), ("n", {}, 3)], "name string, labels map<string,string>, value long")
     assert got(LOGS.format_exposition(df)) == [('m{a="x",b="q\\""} 2',), ("n 3",)]
