@@ -35,6 +35,93 @@ def test_language_mixture_shares():
     assert model.infer(None) == model.infer("12 !") == ("und", 0.0, {})
 
 
+def plain_counts(text):
+    """Hashed n-grams, character by character."""
+    fold = lambda c: " " if not c.isalpha() else "\U0010ffff" if ord(c) > 0xFFFF else c.lower() if len(c.lower()) == 1 else c
+    codes = [ord(fold(c)) for c in f" {text} "]
+    out, m = {}, 1 << 32
+    for a, b, d in zip(codes, codes[1:], codes[2:]):
+        two = (a * 2654435761 % m ^ b * 40503 % m) * 2246822519 % m
+        three = (two ^ d * 3266489917 % m) * 668265263 % m
+        for key in [two] * (a != 32 or b != 32) + [three] * (b != 32):
+            out[key >> 17] = out.get(key >> 17, 0) + 1
+    return out
+
+
+def plain_infer(counts, p, languages):
+    """Languages taken in one at a time while the penalised likelihood grows; p: language -> bucket -> probability."""
+    import math
+
+    total = sum(counts.values())
+
+    def value(pi):
+        return sum(n * math.log(sum(w * p[k][g] for k, w in pi.items())) for g, n in counts.items())
+
+    def em(pi):
+        before = -math.inf
+        for _ in range(L.STEPS):
+            now = value(pi)
+            new = dict.fromkeys(pi, 0.0)
+            for g, n in counts.items():
+                whole = sum(w * p[k][g] for k, w in pi.items())
+                for k, w in pi.items():
+                    new[k] += n * w * p[k][g] / whole
+            pi = {k: x / total for k, x in new.items()}
+            if now - before < 1e-3:
+                break
+            before = now
+        return pi, now
+
+    single = {k: value({k: 1.0}) for k in languages}
+    first = max(languages, key=lambda k: single[k])
+    pi, best = {first: 1.0}, single[first]
+    while len(pi) < len(languages):
+        gain = {k: sum(n * p[k][g] / sum(w * p[j][g] for j, w in pi.items()) for g, n in counts.items()) for k in languages if k not in pi}
+        k = max(gain, key=gain.get)
+        new, now = em({**{j: 0.9 * w for j, w in pi.items()}, k: 0.1})
+        if now - best <= L.PENALTY * math.log(total + 1):
+            break
+        pi, best = new, now
+    top = min(pi, key=lambda k: (-pi[k], k))
+    weight = 1.0 if len(pi) > 1 else 1 / sum(math.exp(max(-50, (x - single[first]) / math.sqrt(total + 1))) for x in single.values())
+    return top, pi[top] * weight, pi
+
+
+def test_language_inference_is_its_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = L.fit(docs, learn=~Q.held_out())
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text and len(r.text) < 1500]
+    learned = {}
+    for r in docs.collect():
+        if r.text and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            mine = learned.setdefault(r.lang, {})
+            for g, n in plain_counts(r.text).items():
+                mine[g] = mine.get(g, 0) + n
+    assert sorted(learned) == model.languages
+    p = {}
+    for k, c in learned.items():
+        whole = sum(c.values()) + 0.5 * L.BUCKETS
+        p[k] = [(c.get(g, 0) + 0.5) / whole for g in range(L.BUCKETS)]
+    texts = [r.text for r in rows[:60]] + [rows[0].text + next(r.text for r in rows if r.lang != rows[0].lang), "a"]
+    seen = set()
+    for t in texts:
+        if not any(map(str.isalpha, t)):
+            continue
+        want, got = plain_infer(plain_counts(t), p, model.languages), model.infer(t)
+        seen.add(len(want[2]))
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-6 and got[2].keys() == want[2].keys()
+        assert all(abs(got[2][k] - want[2][k]) < 1e-6 for k in want[2])
+    assert len(seen) > 1  # single languages and mixtures
+
+
+def test_too_many_languages_are_refused(spark):
+    import pytest
+
+    docs = spark.range(L.MAX_LANGUAGES + 1).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="values"):
+        L.fit(docs)
+
+
 def test_language_chunks_agree(monkeypatch):
     text = "Éa bc\U0001d400d. " * 100
     whole = L.ngram_counts(text)
@@ -58,6 +145,61 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted == r.quality for r in held]) > 0.95
 
 
+def plain_statistics(text):
+    import math
+    import string
+    from collections import Counter
+
+    raw = (text or "").encode()
+    space = {9, 10, 11, 12, 13, 32}
+    part = lambda f: sum(map(f, raw))
+    low, up, dig, high = part(lambda c: 97 <= c <= 122), part(lambda c: 65 <= c <= 90), part(lambda c: 48 <= c <= 57), part(lambda c: c > 127)
+    blank = part(lambda c: c in space)
+    words = raw.split()
+    n, m, counts = max(1, len(raw)), max(1, len(words)), Counter(words)
+    ends = lambda w: w[-1] < 128 and not chr(w[-1]).isalnum()
+    marks = string.punctuation.encode()
+    lines = [x for x in raw.split(b"\n") if x]
+    return [
+        math.log1p(len(raw)), math.log1p(len(words)), (low + up + high) / n, up / n, dig / n, (len(raw) - low - up - dig - high - blank) / n, blank / n, high / n,
+        (n - blank) / m, len(counts) / m, max(counts.values(), default=0) / m, sum(a == b for a, b in zip(words, words[1:])) / m, sum(map(ends, words)) / m,
+        sum(len(w) > 1 and w.isupper() for w in words) / m, sum(len(w) <= 2 for w in words) / m, sum(ends(w) and not w.strip(marks) for w in words) / m, math.log1p(len(lines)),
+        len(set(lines)) / max(1, len(lines)), (raw.count(b".") + raw.count(b",")) / m, -sum(c / m * math.log(c / m) for c in counts.values()) / math.log(m + 1), sum(c in raw for c in marks),
+    ]
+
+
+def test_statistics_are_their_brute_force(spark, data):
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()] + [r[1] for r in ROWS]
+    for t in texts:
+        assert np.allclose(Q.document_statistics(t), plain_statistics(t), atol=1e-9), (t or "")[:80]
+
+
+def test_quality_query_is_its_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{data}/labels.parquet").collect():
+        if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            labels.setdefault(r.doc_id, []).append(r.quality)
+    mean = {k: sum(v) / len(v) for k, v in labels.items()}
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect() if mean.get(r.doc_id, 0.5) != 0.5]
+    model = Q.fit_trees(np.array([plain_statistics(texts[i]) for i in order]), np.array([float(mean[i] > 0.5) for i in order]))
+
+    def walk(row):
+        x = model.base
+        for n in model.roots:
+            while model.left[n] != n:
+                n = model.left[n] if row[model.feature[n]] <= model.threshold[n] + 1e-12 else model.right[n]
+            x += model.value[n]
+        return 1 / (1 + np.exp(-x))
+
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in registry.op7_quality(spark, data).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        score = walk(plain_statistics(t))
+        assert got[i][0] == (zlib.crc32(str(i).encode()) % 4 == 2) and abs(got[i][1] - score) < 1e-6 and (got[i][2] == int(score >= 0.7) or abs(score - 0.7) < 1e-6)
+
+
 def test_trees_walk_like_their_nodes():
     rng = np.random.default_rng(0)
     x = rng.random((400, 5))
