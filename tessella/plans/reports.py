@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -127,15 +127,20 @@ def pipeline_cdfs(lines: DataFrame, pairs: Sequence[tuple[str, str]], tid_at: in
 
 
 def dashboard(ev: DataFrame, k: int = 10) -> DataFrame:
-    """Panels (panel, label, value) over activation events: totals, means, starts by state and top-k lists. One pass over grouped sums."""
-    act = ev.where(F.col("metricName").isNull())
-    base = act.groupBy("namespace", "kind", "memory", "name").agg(
+    """Panels (panel, label, value) over activation events: totals, means, starts by state and top-k lists; none of an empty table.
+
+    One pass over grouped sums: grouping sets make all panels at once, and one ranked window keeps the k largest of each list.
+    """
+    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    tops = ("namespace", "memory", "kind", "name")
+    base = ev.where(F.col("metricName").isNull()).groupBy(*[label(c) for c in tops]).agg(
         F.count("*").alias("n"), F.sum("waitTime").alias("wait"), F.sum("size").alias("size"), F.count("size").alias("sized"), F.count_if(S.is_cold_start("initTime")).alias("cold"))
-    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    one = base.agg(F.sum("n").alias("n"), F.sum("wait").alias("wait"), F.sum("size").alias("size"), F.sum("sized").alias("sized"), F.sum("cold").alias("cold"))
-    panels = F.array(*[F.struct(F.lit(p).alias("panel"), F.lit(l).alias("label"), v.cast("double").alias("value")) for p, l, v in (
-        ("activations", "", F.col("n")), ("mean_wait", "", F.try_divide("wait", "n")), ("mean_size", "", F.try_divide("size", "sized")), ("starts", "cold", F.col("cold")), ("starts", "warm", F.col("n") - F.col("cold")))])
-    out = one.select(F.explode(panels).alias("p")).select("p.*")
-    for c in ("namespace", "memory", "kind", "name"):
-        out = out.unionByName(base.groupBy(label(c).alias("label")).agg(F.sum("n").cast("double").alias("value")).orderBy(F.desc("value"), "label").limit(k).select(F.lit(f"top_{c}").alias("panel"), "label", "value"))
-    return out
+    sums = base.groupingSets([*[[c] for c in tops], []], *tops).agg(F.grouping_id().alias("of"), *[F.sum(c).alias(c) for c in ("n", "wait", "size", "sized", "cold")])
+    row = lambda panel, name, value: F.struct(F.lit(panel).alias("panel"), name.alias("label"), value.cast("double").alias("value"))
+    none = F.lit("")
+    rows = F.array(row("activations", none, F.col("n")), row("mean_wait", none, F.try_divide("wait", "n")), row("mean_size", none, F.try_divide("size", "sized")), row("starts", F.lit("cold"), F.col("cold")), row("starts", F.lit("warm"), F.col("n") - F.col("cold")))
+    for i, c in enumerate(tops):
+        rows = F.when(F.col("of") == (15 ^ (8 >> i)), F.array(row(f"top_{c}", F.col(c), F.col("n")))).otherwise(rows)
+    out = sums.select(F.explode(rows).alias("p")).select("p.*")
+    nth = F.row_number().over(Window.partitionBy("panel").orderBy(F.desc("value"), "label"))
+    return out.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
