@@ -59,6 +59,25 @@ def test_long_turns_stay_whole(spark):
     assert any(r.tokens > 5000 for r in made) and sum(len(r.loss) for r in made) == 2
 
 
+def test_slices_give_the_same_windows(spark):
+    rows = NASTY + [(None, i // 3, ("user", "assistant", "system")[i % 3 if i > 40 else i % 2], f"t{i % 7} " * (i * i % 90)) for i in range(150)]
+    rows += [(9, None, "user", "same")] * 25 + [(8, i, "assistant", "w " * (i % 5)) for i in range(60)]
+    turns = frame(spark, rows)
+    for budget, history in ((512, 128), (60, 17), (40, 0)):
+        whole = sorted(map(str, chat.windows(turns, budget, history).collect()))
+        for hot, part in ((20, 7), (0, 1000)):
+            assert sorted(map(str, chat.windows(turns, budget, history, hot_turns=hot, slice_turns=part).collect())) == whole
+
+
+def test_no_task_orders_a_long_conversation(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(3000)] + [(2, 0, "user", "x")]
+    made = chat.windows(frame(spark, rows), hot_turns=1000, slice_turns=200)
+    assert "chat-slices" in "".join(made.inputFiles())
+    folder = next(f for f in made.inputFiles() if "chat-slices" in f).rsplit("/", 1)[0]
+    counts = [r["count"] for r in spark.read.parquet(folder).groupBy("slice").count().collect()]
+    assert len(counts) > 10 and sum(counts) == 3000 and max(counts) < 600
+
+
 def test_empty(spark):
     assert chat.digests(chat.windows(frame(spark, NASTY).where("false"))).count() == 0
 
