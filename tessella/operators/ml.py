@@ -51,14 +51,13 @@ def fit_logistic(df: DataFrame, features: Sequence[str] | str, label: str, epoch
     coef = {h: [0.0] * (width + 1) for h in held}
     try:
         for _ in range(epochs):
-            models = F.array(*[F.struct(F.lit(-2 if h is None else h).alias("h"), F.array(*[F.lit(v) for v in coef[h]]).alias("c")) for h in held])
+            models = F.expr("array({})".format(", ".join("named_struct('h', {}, 'c', array({}))".format(-2 if h is None else h, ", ".join(f"{v!r}D" for v in coef[h])) for h in held)))
             each = rows.select("x", "y", "f", F.explode(models).alias("m")).where("f <> m.h")
-            p = S.sigmoid_dot("x", F.col("m.c"))
-            each = each.withColumn("p", p).withColumn("g", (F.col("y") - F.col("p")) * F.col("p") * (1 - F.col("p")))
-            grads = each.groupBy("m.h").agg(F.avg("g").alias("g0"), *[F.avg(F.col("g") * F.get("x", i)).alias(f"g{i + 1}") for i in range(width)]).collect()
-            for r in grads:
-                h = None if r["h"] == -2 else r["h"]
-                coef[h] = [c + lr * r[f"g{i}"] for i, c in enumerate(coef[h])]
+            each = each.withColumn("p", S.sigmoid_dot("x", F.col("m.c"))).withColumn("g", (F.col("y") - F.col("p")) * F.col("p") * (1 - F.col("p")))
+            # one mean by model and coefficient, combined before the shuffle: one small plan however many features there are
+            parts = F.concat(F.array("g"), F.transform("x", lambda v: F.col("g") * v))
+            for r in each.select("m.h", F.posexplode(parts).alias("i", "d")).groupBy("h", "i").agg(F.avg("d").alias("mean")).where("mean is not null").collect():
+                coef[None if r["h"] == -2 else r["h"]][r["i"]] += lr * r["mean"]
     finally:
         rows.unpersist()
     return coef

@@ -1029,21 +1029,42 @@ def ml2_kfold(spark: SparkSession, d: str) -> DataFrame:
     return ML.kfold(t(spark, d, "embeddings"), 5, 1, "vec_id").select("vec_id", "fold")
 
 
-@query()
+_DESCENT = """v AS (SELECT vec_id, list_prepend(1.0::DOUBLE, embedding::DOUBLE[]) AS x, (label = 0)::INTEGER::DOUBLE AS y FROM embeddings),
+folds AS (SELECT vec_id, (pos % 5)::INTEGER AS fold FROM (SELECT vec_id, count(*) OVER () AS n, row_number() OVER (ORDER BY ('0x' || substr(md5(vec_id || '|1'), 1, 15))::BIGINT, vec_id) - 1 AS pos FROM embeddings) WHERE pos < n // 5 * 5),
+r AS ({rows}),
+fit AS (SELECT 0 AS epoch, h, list_transform(range(65), lambda z: 0.0::DOUBLE) AS c FROM ({held}) k(h)
+  UNION ALL
+  SELECT epoch, h, list(ci ORDER BY i) AS c FROM (
+    SELECT epoch + 1 AS epoch, h, i, any_value(c[i]) + {rate}::DOUBLE * avg(g * x[i]) AS ci FROM (
+      SELECT epoch, h, c, x, (y - p) * p * (1 - p) AS g, unnest(range(1, 66)) AS i FROM (
+        SELECT epoch, h, c, x, y, 1 / (1 + exp(-list_dot_product(c, x))) AS p FROM fit JOIN r ON fold <> h WHERE epoch < {epochs}))
+    GROUP BY epoch, h, i) GROUP BY epoch, h)"""
+_DESCENT_ALL = _DESCENT.format(rows="SELECT *, -1 AS fold FROM v", held="VALUES (-2)", rate=0.1, epochs=100)
+_DESCENT_TWO = _DESCENT.format(rows="SELECT v.*, -1 AS fold FROM v JOIN embeddings USING (vec_id) WHERE label IN (0, 1)", held="VALUES (-2)", rate=20.0, epochs=20)
+
+
+@query(f"WITH RECURSIVE {_DESCENT_ALL} SELECT (SELECT count(*) FROM embeddings) AS rows, unnest(range(65))::INTEGER AS nth, round(unnest(c), 9) AS coefficient FROM fit WHERE epoch = 100")
 def ml3_fit_logistic(spark: SparkSession, d: str) -> DataFrame:
-    coef = ML.fit_logistic(_vectors(spark, d), "x", "y", epochs=10, lr=1.0)[None]
-    return t(spark, d, "embeddings").agg(F.count("*").alias("rows")).select("rows", F.posexplode(F.array(*[F.lit(c) for c in coef])).alias("nth", "coefficient"))
+    coef = ML.fit_logistic(_vectors(spark, d), "x", "y")[None]
+    out = t(spark, d, "embeddings").agg(F.count("*").alias("rows")).select("rows", F.posexplode(F.array(*[F.lit(c) for c in coef])).alias("nth", "coefficient"))
+    return out.withColumn("coefficient", F.round("coefficient", 9))
 
 
-@query("SELECT vec_id, round_even(1 / (1 + exp(-(0.1::DOUBLE + 4 * embedding[1]::DOUBLE - 3 * embedding[2]::DOUBLE))), 0) AS predicted FROM embeddings")
+@query(f"WITH RECURSIVE {_DESCENT_TWO} SELECT vec_id, round_even(1 / (1 + exp(-list_dot_product(c, x))), 0) AS predicted FROM v, fit WHERE epoch = 20")
 def ml4_predict(spark: SparkSession, d: str) -> DataFrame:
-    two = _vectors(spark, d).withColumn("x", F.slice("x", 1, 2))
-    return ML.predict_logistic(two, "x", [0.1, 4.0, -3.0]).select("vec_id", "predicted")
+    """Learned on the vectors of two labels, alike in number, and said of all."""
+    two = t(spark, d, "embeddings").where("label IN (0, 1)").select(F.col("vec_id").alias("id"))
+    coef = ML.fit_logistic(R.semi_join(_vectors(spark, d), two, "vec_id", "id"), "x", "y", epochs=20, lr=20.0)[None]
+    return ML.predict_logistic(_vectors(spark, d), "x", coef).select("vec_id", "predicted")
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + _DESCENT.format(rows="SELECT v.*, fold FROM v JOIN folds USING (vec_id)", held="SELECT unnest(range(5))", rate=0.1, epochs=100)
+    + """, scores AS (SELECT fold, avg((round_even(1 / (1 + exp(-list_dot_product(c, x))), 0) = y)::INTEGER) * 100 AS accuracy FROM r JOIN fit ON h = fold WHERE epoch = 100 GROUP BY fold)
+SELECT fold, round(avg(accuracy), 9) AS accuracy FROM scores GROUP BY ROLLUP (fold)"""
+)
 def ml5_cross_validate(spark: SparkSession, d: str) -> DataFrame:
-    return ML.cross_validate(_vectors(spark, d), "x", "y", "vec_id", epochs=5, lr=1.0)
+    return ML.cross_validate(_vectors(spark, d), "x", "y", "vec_id").withColumn("accuracy", F.round("accuracy", 9))
 
 
 # ---- query programs ----
