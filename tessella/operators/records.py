@@ -34,6 +34,10 @@ def summarize(acts: DataFrame) -> DataFrame:
 def _matching(acts: DataFrame, namespace: str | None, path: str | None, since: int | None, upto: int | None) -> DataFrame:
     out = acts.where(S.in_time_range("start", since, upto))
     if path is not None:
+        # what namespace and name can be in this path; stored columns, so it reaches the scan and few paths are put together
+        parts = path.split("/")
+        for c, ends in (("namespace", [parts[:i] for i in range(1, len(parts) + 1)]), ("name", [parts[i:] for i in range(len(parts))])):
+            out = out.where(F.col(c).isNull() | F.col(c).isin(["/".join(x) for x in ends]))
         return out.where(S.filter_path("namespace", "name", "annotations") == path)
     return out.where(F.col("namespace") == namespace) if namespace is not None else out
 

@@ -175,6 +175,9 @@ def test_activation_lists(spark):
     assert ids(REC.list_activations(acts, "ns", skip=5)) == []
     assert ids(REC.list_activations(acts, path="ns/pkg/a")) == ["2"]
     assert ids(REC.list_activations(acts, path="ns/bound/b")) == ["3"]
+    assert ids(REC.list_activations(acts, path="ns/b")) == [] and ids(REC.list_activations(acts, path="ns/a")) == ["1"]
+    odd = acts.where("activationId = '1'").select(F.explode(F.array(F.struct(F.lit(None).cast("string").alias("s"), F.lit("x/y").alias("m")), F.struct(F.lit("x").alias("s"), F.lit("y").alias("m")))).alias("o"), "*").withColumns({"namespace": F.col("o.s"), "name": F.col("o.m")}).drop("o")
+    assert ids(REC.list_activations(odd, path="x/y")) == ["1", "1"]
     assert [(r.end, r.duration, r.statusCode) for r in REC.list_activations(acts, "ns").collect()] == [(350, 7, 3), (None, None, None), (200, 100, 0)]
     assert REC.count_activations(acts, "ns", skip=2).first()[0] == 1 and REC.count_activations(acts, "ns", skip=9).first()[0] == 0
     assert ids(REC.retain(acts, 86_400_250, 1)) == ["3", "4"]
