@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat, decontaminate, language_mixture, license_scan, mixing, quality, simhash, token_table, url_filter
+from . import ball_tree, chat, decontaminate, language_mixture, license_scan, mixing, quality, simhash, substring_dedup, token_table, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found).drop("spans")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_windows, op2_token_table, op3_mixing, op4_language_mixture, op5_simhash, op6_license_scan, op7_quality, op8_ball_tree, op9_url_filter, op10_decontaminate)
+    for f in (op1_chat_windows, op2_token_table, op3_mixing, op4_language_mixture, op5_simhash, op6_license_scan, op7_quality, op8_ball_tree, op9_url_filter, op10_decontaminate, op11_substring_dedup)
 }
 
 _OP1 = r"""
@@ -185,10 +191,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, r, i, array_to_string(list_slice(w, i, i + 12), ' ') AS seq FROM (SELECT doc_id, r, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT seq, min(doc_id) AS first FROM win GROUP BY seq HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + o AS i FROM (SELECT r, i, unnest(range(13)) AS o FROM win JOIN firsts USING (seq) WHERE first < doc_id)),
+cuts AS (SELECT r, list(i ORDER BY i) AS cut FROM gone GROUP BY r),
+words AS (SELECT r, i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d JOIN cuts USING (r))),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(cut), 0)::BIGINT AS n_removed, sha256(CASE WHEN cut IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN cuts USING (r) LEFT JOIN kept USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_windows": _OP1,
     "op3_mixing": _OP3,
     "op6_license_scan": _OP6,
     "op8_ball_tree": _OP8,
     "op10_decontaminate": _OP10,
+    "op11_substring_dedup": _OP11,
 }
