@@ -27,13 +27,23 @@ def unsqueeze(data: bytes) -> bytes:
 
 def pack(x: np.ndarray) -> bytes:
     """Whole numbers as compressed differences, byte planes apart."""
-    step = np.diff(np.asarray(x, np.int64), prepend=np.int64(0))
-    return squeeze(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return pack_codes(np.diff(np.asarray(x, np.int64), prepend=np.int64(0)))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(unsqueeze(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()) if len(raw) else np.zeros(0, np.int64)
+    return np.cumsum(unpack_codes(data))
+
+
+def pack_codes(x: np.ndarray) -> bytes:
+    """Whole numbers of no order, compressed, byte planes apart; their own width is kept."""
+    x = np.ascontiguousarray(x)
+    return bytes([x.itemsize]) + squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(unsqueeze(data[1:]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<i{width}").ravel()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

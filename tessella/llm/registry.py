@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat, decontaminate, language_mixture, license_scan, mixing, quality, simhash, substring_dedup, token_table, url_filter
+from . import ball_tree, chat, cross_tokenizer, decontaminate, language_mixture, license_scan, mixing, quality, simhash, spelling, substring_dedup, token_table, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +72,20 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return cross_tokenizer.align(_read(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_windows, op2_token_table, op3_mixing, op4_language_mixture, op5_simhash, op6_license_scan, op7_quality, op8_ball_tree, op9_url_filter, op10_decontaminate, op11_substring_dedup)
+    for f in (op1_chat_windows, op2_token_table, op3_mixing, op4_language_mixture, op5_simhash, op6_license_scan, op7_quality, op8_ball_tree, op9_url_filter, op10_decontaminate, op11_substring_dedup, op12_cross_tokenizer, op13_spelling_variants)
 }
 
 _OP1 = r"""
