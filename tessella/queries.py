@@ -6,9 +6,11 @@ decimals before they are summed, or rounded after.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +22,12 @@ from .operators import relational as R
 from .operators import series as SE
 from .plans import decision_support as DS
 from .plans import reports as REP
+from .sources import event_log as LOG
 from .sources import logs as LOGS
 from .sources import tables as TAB
 from .streaming import events as EV
 from .streaming import health as HL
+from .streaming import sinks as SK
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,8 +84,8 @@ def flat_summary(df: DataFrame) -> DataFrame:
     return df.drop("annotations", "cause")
 
 
-def event_stream_rows(spark: SparkSession, d: str) -> DataFrame:
-    """events as raw JSON event messages; signups are limit metrics."""
+def event_stream_rows(spark: SparkSession, d: str, *more: Column) -> DataFrame:
+    """events as raw JSON event messages, with more columns if asked; signups are limit metrics."""
     e = t(spark, d, "events")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     metric = F.col("event_type") == "signup"
@@ -92,11 +96,12 @@ def event_stream_rows(spark: SparkSession, d: str) -> DataFrame:
         F.when(~metric & (F.col("event_id") % 2 == 0), F.length("props")).alias("size"), F.when(metric, F.when(F.col("event_id") % 2 == 0, "ConcurrentRateLimit").otherwise("TimedRateLimit")).alias("metricName"), F.when(metric, F.lit(1)).alias("metricValue"),
     )
     env = F.struct(F.lit("invoker0").alias("source"), body.alias("body"), F.col("user_id").cast("string").alias("subject"), F.concat(F.lit("user"), F.col("user_id") % 20).alias("namespace"), F.col("user_id").cast("string").alias("userId"), F.when(metric, "Metric").otherwise("Activation").alias("eventType"), ms.alias("timestamp"))
-    return e.select(F.when(F.col("event_id") % 97 == 0, F.lit("not json")).otherwise(F.to_json(env)).alias("value"))
+    return e.select(F.when(F.col("event_id") % 97 == 0, F.lit("not json")).otherwise(F.to_json(env)).alias("value"), *more)
 
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
-    return EV.with_watermark(EV.parse_events(event_stream_rows(spark, d)))
+    """Counters take what the source delivers; copies are dropped in str1_parse_events and str3_streamed_counters."""
+    return EV.parse_events(event_stream_rows(spark, d))
 
 
 EVS = """raw AS (SELECT *, event_type = 'signup' AS metric FROM events WHERE event_id % 97 <> 0),
@@ -243,13 +248,28 @@ def src9_parse_profile_points(spark: SparkSession, d: str) -> DataFrame:
     return p.select("name", "point", "timestamp", "cpu", "memory", F.try_element_at("network", F.lit("peerA"))["rx"].alias("rx_a"), F.try_element_at("network", F.lit("peerB"))["tx"].alias("tx_b"))
 
 
+#: events arrive in four parts: by time, and every eleventh a part later.
+PART = "CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END"
+
+
+def _arrivals(spark: SparkSession, d: str, log: str, again: bool = False) -> Iterator[int]:
+    """Appends the parts of events to a log, one before each number it gives. again: each part brings some rows of the one before once more."""
+    rows = event_stream_rows(spark, d, F.expr(PART).alias("part"), (F.col("event_id") % 13 == 0).alias("again"))
+    for part in range(4):
+        now = F.col("part") == part
+        LOG.append_events(rows.where(now | (F.col("part") == part - 1) & F.col("again") if again else now).select("value"), log, 4)
+        yield part
+
+
 @query(f"WITH {EVS} SELECT namespace, count(*) AS events, count(metricName) AS metrics FROM ev GROUP BY 1")
 def src10_read_events(spark: SparkSession, d: str) -> DataFrame:
-    """The event source as a stream over files: what is there is parsed and appended to a table, which is read when the stream has ended."""
-    rows = event_stream_rows(spark, d)
-    rows.write.text(f"{(base := _written(rows, 'events'))}/in")
-    ev = EV.parse_events(EV.read_events(spark, {"format": "text", "path": f"{base}/in"})).select("activationId", "namespace", "metricName")
-    EV.write_stream(ev, f"{base}/out", f"{base}/offsets").awaitTermination()
+    """A replayable log read as a stream, at most a fifth of it a batch. The query is stopped and started again from its checkpoint each
+    time the log has grown; the table it appends to is read at the end."""
+    base = _written(t(spark, d, "events"), "events")
+    most = max(1, t(spark, d, "events").count() // 5)
+    for _ in _arrivals(spark, d, log := f"{base}/log"):
+        ev = EV.parse_events(EV.read_events(spark, {"format": "event_log", "path": log, "group": "src10", "most": str(most)})).select("activationId", "namespace", "metricName")
+        SK.drain(ev.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/offsets"))
     out = spark.read.schema(ev.schema).parquet(f"{base}/out")
     return out.groupBy("namespace").agg(F.count("*").alias("events"), F.count("metricName").alias("metrics"))
 
@@ -910,7 +930,7 @@ _HOUR = "(epoch_us(window_start) // 1000) AS window_start"
 
 @query(f"WITH {EVS} SELECT event_id, namespace, initiator, action, code, duration, wait, init, metricName FROM ev")
 def str1_parse_events(spark: SparkSession, d: str) -> DataFrame:
-    p = parsed(spark, d)
+    p = EV.with_watermark(parsed(spark, d))
     return p.select(F.col("activationId").cast("bigint").alias("event_id"), "namespace", "initiator", "action", F.col("statusCode").cast("bigint").alias("code"), "duration", F.col("waitTime").alias("wait"), F.col("initTime").alias("init"), "metricName")
 
 
@@ -926,6 +946,49 @@ def str3_action_counters(spark: SparkSession, d: str) -> DataFrame:
     return _ms(EV.action_counters(parsed(spark, d)))
 
 
+_COUNTS = """count(*) FILTER (metricName IS NULL) AS activations, count(metricName) AS metrics, count(*) FILTER (code = 0) AS success, count(*) FILTER (code = 1) AS application_error,
+  count(*) FILTER (code = 2) AS action_developer_error, count(*) FILTER (code = 3) AS whisk_internal_error, count(*) FILTER (code <> 0) AS failures, count(*) FILTER (init <> 0) AS cold_starts"""
+
+
+@query(f"""WITH {EVS}, p AS (SELECT *, {PART} AS part FROM ev), m AS (SELECT part, max(ts) AS top FROM p GROUP BY part),
+  w AS (SELECT part, max(top) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS passed FROM m),
+  k AS (SELECT p.* FROM p JOIN w USING (part) WHERE passed IS NULL OR window_start + INTERVAL 1 HOUR > passed)
+  SELECT {_HOUR}, {_COUNTS} FROM k WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM p) - INTERVAL 2 HOUR GROUP BY window_start""")
+def str2_streamed_counters(spark: SparkSession, d: str) -> DataFrame:
+    """The global counters as a stream in four parts, restarted between them: hours are written when the watermark, two hours behind,
+    has passed them, and rows of hours that it has passed before they came are dropped."""
+    base = _written(t(spark, d, "events"), "counters")
+    for _ in _arrivals(spark, d, log := f"{base}/log"):
+        ev = EV.with_watermark(EV.parse_events(EV.read_events(spark, {"format": "event_log", "path": log})), "2 hours", once=False)
+        out = EV.global_counters(ev)
+        SK.drain(out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/offsets"))
+    return _ms(spark.read.schema(out.schema).parquet(f"{base}/out"))
+
+
+@query(ORACLE_SQL["str3_action_counters"])
+def str3_streamed_counters(spark: SparkSession, d: str) -> DataFrame:
+    """The counters by action as a stream of updates in four parts, some rows delivered twice; copies are dropped inside the watermark,
+    batches are folders of their own, and the last state of each key counts."""
+    base = _written(t(spark, d, "events"), "updates")
+    for _ in _arrivals(spark, d, log := f"{base}/log", again=True):
+        ev = EV.with_watermark(EV.parse_events(EV.read_events(spark, {"format": "event_log", "path": log})), "60 days")
+        SK.drain(SK.write_once(out := EV.action_counters(ev), f"{base}/out", f"{base}/offsets", "update"))
+    every = SK.read_batches(spark, f"{base}/out", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema))
+    return _ms(SK.latest(every, ["window_start", "namespace", "initiator", "action", "kind", "memory"]))
+
+
+@query(f"WITH {EVS} SELECT namespace, count(*) AS n, true AS q50, true AS q90, true AS q99 FROM ev WHERE metricName IS NULL GROUP BY 1")
+def str4_quantile_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Run times as sketches of an hour, merged over the whole time; whether each quantile's exact rank is within 0.02 of what was asked."""
+    ev = parsed(spark, d)
+    found = EV.merged_quantiles(EV.timing_sketches(ev, window="1 hour", keys=("namespace",)), "36500 days", keys=("namespace",)).drop("window_start")
+    act = ev.where("metricName IS NULL").select(F.col("namespace").alias("__ns"), "duration").join(found, F.col("__ns") == F.col("namespace"))
+    # the rank of a value that occurs often is a range
+    near = [F.bool_and((F.col(f"below{q}") / F.col("n") <= q / 100 + 0.02) & (F.col(f"upto{q}") / F.col("n") >= q / 100 - 0.02)).alias(f"q{q}") for q in (50, 90, 99)]
+    ranks = act.groupBy("namespace", "n").agg(*[x for q in (50, 90, 99) for x in (F.count_if(F.col("duration") < F.col(f"q{q}")).alias(f"below{q}"), F.count_if(F.col("duration") <= F.col(f"q{q}")).alias(f"upto{q}"))])
+    return ranks.groupBy("namespace", "n").agg(*near)
+
+
 def _timing_sql() -> str:
     cols = ", ".join(f"count({v}) AS {n}_count, coalesce(sum({v}), 0) AS {n}_sum, " + ", ".join(f"count(*) FILTER ({v} <= {e}) AS {n}_le_{e}" for e in (10, 100, 1000)) for n, v in (("wait", "wait"), ("run", "duration"), ("init", "nullif(init, 0)"), ("size", "size")))
     return f"WITH {EVS} SELECT {_HOUR}, namespace, action, {cols} FROM ev WHERE metricName IS NULL GROUP BY window_start, namespace, action"
@@ -954,7 +1017,8 @@ def str7_minute_requests(spark: SparkSession, d: str) -> DataFrame:
 _KIND = "CASE event_type WHEN 'view' THEN 'ping' WHEN 'error' THEN 'error' WHEN 'click' THEN 'timeout' ELSE 'success' END"
 
 
-@query(f"""WITH k AS (SELECT user_id % 7 AS worker, epoch_us(ts) // 1000 AS ms, {_KIND} AS kind FROM events),
+@query(f"""WITH every AS (SELECT user_id % 7 AS worker, epoch_us(ts) // 1000 AS ms, {_KIND} AS kind FROM events), w AS (SELECT max(ms) - 5000 AS passed FROM every),
+k AS (SELECT every.* FROM every, w WHERE ms < passed),
 n AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY ms, kind) AS nth FROM k),
 o AS (SELECT worker, nth, CASE WHEN count(*) FILTER (kind = 'error') OVER w > 5 THEN 'unhealthy' WHEN count(*) FILTER (kind = 'timeout') OVER w > 5 THEN 'unresponsive' ELSE 'healthy' END AS by_last
   FROM n WHERE kind <> 'ping' WINDOW w AS (PARTITION BY worker ORDER BY nth ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
@@ -966,15 +1030,18 @@ u AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY worker ORDER BY nth), 'un
 last AS (SELECT worker, max(CASE WHEN kind = 'ping' THEN ms END) AS pinged, arg_max(after, nth) AS state FROM u GROUP BY worker)
 SELECT worker::VARCHAR AS worker, pinged + 10000 AS ms, 'offline' AS state FROM u WHERE off AND before <> 'offline'
 UNION ALL SELECT worker::VARCHAR, ms, after FROM u WHERE after <> CASE WHEN off THEN 'offline' ELSE before END
-UNION ALL SELECT worker::VARCHAR, pinged + 10000, 'offline' FROM last WHERE state <> 'offline' AND pinged IS NOT NULL AND pinged + 10001 < (SELECT max(ms) FROM k) - 5000""")
+UNION ALL SELECT worker::VARCHAR, pinged + 10000, 'offline' FROM last WHERE state <> 'offline' AND pinged IS NOT NULL AND pinged + 10000 < (SELECT passed FROM w)""")
 def str8_health_states(spark: SparkSession, d: str) -> DataFrame:
-    """Events as pings and outcomes of seven workers, read as a stream of files; changes of state, silence included."""
+    """Events as pings and outcomes of seven workers, a stream of files that grows twice, restarted each time; changes of state up to the
+    watermark, silence included."""
     kinds = F.create_map(*[F.lit(x) for x in ("view", "ping", "error", "error", "click", "timeout", "signup", "success", "purchase", "success")])
     ev = t(spark, d, "events").select((F.col("user_id") % 7).cast("string").alias("worker"), F.date_trunc("millisecond", "ts").cast("timestamp").alias("ts"), kinds[F.col("event_type")].alias("kind"))
     base = _written(ev, "health")
-    ev.write.parquet(f"{base}/in")
-    stream = HL.health_changes(spark.readStream.schema(ev.schema).parquet(f"{base}/in"))
-    EV.write_stream(stream, f"{base}/out", f"{base}/offsets").awaitTermination()
+    for low, high in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+        ev.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(f"{base}/in")
+        with HL.rocksdb_state(spark):
+            stream = HL.health_changes(spark.readStream.schema(ev.schema).parquet(f"{base}/in"), slot_ms=3_600_000)
+            SK.drain(stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/offsets"))
     return spark.read.schema(HL.OUT).parquet(f"{base}/out").select("worker", F.unix_millis("ts").alias("ms"), "state")
 
 
@@ -985,13 +1052,62 @@ def str8_health_by_window(spark: SparkSession, d: str) -> DataFrame:
     return HL.health_by_window(ev, "user_id", order=("event_id",)).select("event_id", "state")
 
 
-QUERIES["str9_pair_begin_finish"], ORACLE_SQL["str9_pair_begin_finish"] = jn11_pair_begin_finish, ORACLE_SQL["jn11_pair_begin_finish"]
+@query("""WITH b AS (SELECT o_orderkey AS id, o_orderdate::TIMESTAMP AS began FROM orders), f AS (SELECT l_orderkey AS id, l_shipdate::TIMESTAMP AS finished FROM lineitem WHERE l_linenumber = 1),
+  w AS (SELECT least((SELECT max(began) FROM b), (SELECT max(finished) FROM f)) - INTERVAL 10 MINUTE AS passed),
+  p AS (SELECT b.id, began, finished FROM b JOIN f ON b.id = f.id AND finished >= began AND finished <= began + INTERVAL 30 DAY)
+  SELECT id, epoch_us(began) // 1000 AS began, epoch_us(finished) // 1000 AS finished, epoch_us(finished) // 1000 - epoch_us(began) // 1000 AS duration_ms FROM p
+  UNION ALL SELECT id, epoch_us(began) // 1000, NULL, NULL FROM b, w WHERE began + INTERVAL 30 DAY < passed AND id NOT IN (SELECT id FROM p)""")
+def str9_streamed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as begins and first lines' shipments as finishes, two streams of files that grow once, joined in time, restarted between;
+    begins that met no finish come out when both watermarks have passed their bound."""
+    b = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    f = t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    base = _written(b, "pairs")
+    for when in (F.col("ts") < "1995-06-17", F.col("ts") >= "1995-06-17"):
+        for side, name in ((b, "begin"), (f, "finish")):
+            side.where(when).write.mode("append").parquet(f"{base}/{name}")
+        read = lambda name: spark.readStream.schema(b.schema).parquet(f"{base}/{name}")
+        out = EV.pair_or_time_out(read("begin"), read("finish"), "30 days")
+        EV.write_stream(out, f"{base}/out", f"{base}/offsets").awaitTermination()
+    rows = spark.read.schema(out.schema).parquet(f"{base}/out")
+    return rows.withColumns({c: F.unix_millis(F.col(c).cast("timestamp")) for c in ("began", "finished")})
+
+
+_CHANGES = "SELECT doc_id::VARCHAR AS _id, source AS clusterId, n_chars - doc_id AS lag FROM documents WHERE source IS DISTINCT FROM 'src2'"
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    """documents as rows of a change feed."""
+    return t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("clusterId"), F.concat(F.lit("0:1#"), "n_chars").alias("token"), F.col("doc_id").alias("lsn"))
 
 
-@query("SELECT doc_id::VARCHAR AS _id, source AS clusterId, n_chars - doc_id AS lag FROM documents WHERE source IS DISTINCT FROM 'src2'")
+@query(_CHANGES)
 def str10_change_messages(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("clusterId"), F.concat(F.lit("0:1#"), "n_chars").alias("token"), F.col("doc_id").alias("lsn"))
-    return EV.change_messages(rows, "src2")
+    return EV.change_messages(_changes(spark, d), "src2")
+
+
+@query(_CHANGES)
+def str10_streamed_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The change feed as a stream of batches to a sink of batch folders. The query breaks once, after its second batch is written and
+    before that is noted down; started again, it takes that batch again, which is there once."""
+    rows = _changes(spark, d)
+    base = _written(rows, "changes")
+    LOG.append_events(rows.select(F.to_json(F.struct(*rows.columns)).alias("value")), log := f"{base}/log", 4)
+    most = max(1, rows.count() // 3)
+    broken: list[int] = []
+
+    def break_once(batch: int) -> None:
+        if batch == 1 and not broken:
+            broken.append(batch)
+            raise RuntimeError("a sink that is lost after it has written")
+
+    feed = LOG.stream_log(spark, log, "str10", most)
+    out = EV.change_messages(EV.read_changes(feed), "src2")
+    writer = lambda: SK.write_once(out, f"{base}/out", f"{base}/offsets", after=break_once)
+    with contextlib.suppress(StreamingQueryException):
+        SK.drain(writer())
+    SK.drain(writer())
+    return SK.read_batches(spark, f"{base}/out", "_id string, clusterId string, lag bigint").drop("batch")
 
 
 @query(f"WITH {PAYLOAD} SELECT name, count(*) AS points, sum(cpu) AS cpu FROM pts GROUP BY 1")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..sources.event_log import stream_log
 
 BODY = "name string, activationId string, statusCode int, duration bigint, waitTime bigint, initTime bigint, kind string, conductor boolean, memory int, causedBy string, size int, userDefinedStatusCode int, metricName string, metricValue bigint"
 ENVELOPE = f"source string, body struct<{BODY.replace(' ', ': ').replace(',:', ',')}>, subject string, namespace string, userId string, eventType string, timestamp bigint"
@@ -20,8 +21,11 @@ LIMIT_METRICS = ("ConcurrentRateLimit", "TimedRateLimit")
 
 
 def read_events(spark: SparkSession, source: Mapping[str, str]) -> DataFrame:
-    """Stream of raw event texts: ``{"format": "kafka", ...options}`` or ``{"format": "text", "path": folder}``. Offsets live in the query's checkpoint."""
+    """Stream of raw event texts: ``{"format": "kafka", ...options}``, ``{"format": "event_log", "path": log, ...options}`` (sources.event_log)
+    or ``{"format": "text", "path": folder}``. Offsets live in the query's checkpoint."""
     options = {k: v for k, v in source.items() if k not in ("format", "path")}
+    if source["format"] == "event_log":
+        return stream_log(spark, source["path"], options.get("group"), int(options.get("most", 0))).select("value")
     reader = spark.readStream.format(source["format"]).options(**options)
     if source["format"] == "kafka":
         return reader.option("subscribe", options.get("subscribe", "events")).load().select(F.col("value").cast("string").alias("value"))
@@ -29,8 +33,9 @@ def read_events(spark: SparkSession, source: Mapping[str, str]) -> DataFrame:
 
 
 def parse_events(raw: DataFrame, col: str = "value") -> DataFrame:
-    """Envelope and body fields; times not above zero are read as zero. Texts that aren't events drop out (see bad_events)."""
-    e = raw.withColumn("e", F.from_json(col, ENVELOPE)).where("e.body is not null and e.timestamp is not null")
+    """Envelope and body fields; times not above zero are read as zero. Texts that aren't events drop out (see bad_events). A text is
+    parsed once: what comes out of explode() isn't put together with the filter and the fields, as a plain column would be."""
+    e = raw.select(F.explode(F.array(F.from_json(col, ENVELOPE))).alias("e")).where("e.body is not null and e.timestamp is not null")
     b = F.col("e.body")
     times = {c: F.when(b["metricName"].isNull(), F.greatest(F.coalesce(b[c], F.lit(0)), F.lit(0))) for c in ("duration", "waitTime", "initTime")}
     fields = [times.get(n, b[n]).alias(n) for n in [x.split()[0] for x in BODY.split(", ")]]
@@ -127,6 +132,36 @@ def change_messages(changes: DataFrame, own: str | None) -> DataFrame:
     return foreign_changes(changes, own).select("_id", "clusterId", S.change_lag("token", "lsn").alias("lag"))
 
 
+def timing_sketches(ev: DataFrame, value: str = "duration", window: str = "1 minute", keys: Sequence[str] = ("namespace", "action"), k: int = 400) -> DataFrame:
+    """A mergeable KLL sketch of a time by window and keys: window_start, keys, n, sketch. Sketches are small whatever they count."""
+    act = ev.where(F.col("metricName").isNull() & F.col(value).isNotNull())
+    return _flat(_windowed(act, window, *keys).agg(F.count(value).alias("n"), F.kll_sketch_agg_bigint(value, k).alias("sketch")))
+
+
+def merged_quantiles(sketches: DataFrame, window: str = "1 hour", quantiles: Sequence[float] = (0.5, 0.9, 0.99), keys: Sequence[str] = ("namespace", "action"), k: int = 400) -> DataFrame:
+    """Sketches of short windows merged to longer ones, and their quantiles: window_start, keys, n, q50, q90 and so on."""
+    merged = sketches.groupBy(F.window("window_start", window).alias("w"), *keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+    at = {f"q{q * 100:g}".replace(".", "_"): F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(q))) for q in quantiles}
+    return merged.select(F.col("w.start").alias("window_start"), *keys, "n", *[v.alias(n) for n, v in at.items()])
+
+
+def pair_or_time_out(begin: DataFrame, finish: DataFrame, within: str = "1 hour", delay: str = WATERMARK, key: str = "id") -> DataFrame:
+    """pair_begin_finish() with a row for each begin that no finish met in time (finished and duration null). On streams such a row comes
+    when the watermark has passed the begin's time and the bound."""
+    b = begin.select(F.col(key).alias("id"), F.col("ts").alias("began"))
+    f = finish.select(F.col(key).alias("__id"), F.col("ts").alias("finished"))
+    if b.isStreaming:
+        b, f = b.withWatermark("began", delay), f.withWatermark("finished", delay)
+    out = b.join(f, F.expr(f"id = __id AND finished >= began AND finished <= began + INTERVAL {within}"), "left")
+    return out.select("id", "began", "finished", (F.unix_millis(F.col("finished").cast("timestamp")) - F.unix_millis(F.col("began").cast("timestamp"))).alias("duration_ms"))
+
+
+def read_changes(raw: DataFrame, col: str = "value") -> DataFrame:
+    """Change feed messages (JSON: _id, clusterId, token, lsn) to rows; other texts drop out."""
+    kind = "_id string, clusterId string, token string, lsn bigint"
+    return raw.select(F.explode(F.array(F.from_json(col, kind))).alias("c")).where("c._id is not null").select("c.*")
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):  # noqa: ANN201
     """Starts a query that takes what is there and ends; files are the sink."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 SILENCE_MS = 10_000
+#: Rows that a task takes from a batch before it puts them into the state.
+HELD = 5_000
+PROVIDER, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LAST, TOLERANCE = 10, 5
 OUT = "worker string, ts timestamp, state string"
 
@@ -52,28 +55,97 @@ class Health:
         return []
 
 
-def _rows(worker: str, changes: list[tuple[int, str]]) -> pd.DataFrame:
-    return pd.DataFrame({"worker": [worker] * len(changes), "ts": pd.to_datetime([t for t, _ in changes], unit="ms"), "state": [s for _, s in changes]})
+class HealthProcessor(StatefulProcessor):
+    """Rows (worker, ms, kind) to changes of state, in event time. Rows wait in a map state by slots of time until the watermark has
+    passed them; then a timer takes the slots in order, one in memory at a time. A batch's rows are read one by one and put into
+    their slots ``HELD`` at a time, so neither a batch nor a worker's backlog is held. What comes out doesn't depend on how the rows
+    were dealt into batches."""
+
+    def __init__(self, slot_ms: int):
+        self.slot_ms = slot_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.health = handle.getValueState("health", "outcomes string, last_ping bigint, state string")
+        self.timer = handle.getValueState("timer", "at bigint")
+        self.waiting = handle.getMapState("waiting", "slot bigint", "rows string")
+
+    def _wake(self, at: int) -> None:
+        now = self.timer.get()
+        if now is not None and now[0] <= at:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def _put(self, slots: dict[int, list[str]]) -> None:
+        for slot, rows in slots.items():
+            before = self.waiting.getValue((slot,))
+            self.waiting.updateValue((slot,), (",".join([before[0], *rows] if before else rows),))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        slots: dict[int, list[str]] = {}
+        held, first = 0, None
+        for r in rows:
+            slots.setdefault(r["ms"] // self.slot_ms, []).append(f"{r['ms']}:{r['kind']}")
+            first = r["ms"] if first is None else min(first, r["ms"])
+            held += 1
+            if held >= HELD:
+                self._put(slots)
+                slots, held = {}, 0
+        self._put(slots)
+        if first is not None:
+            self._wake(first + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        h = Health(*self.health.get()) if self.health.exists() else Health()
+        self.timer.clear()
+        ahead = None
+        for slot in sorted(k[0] for k in self.waiting.keys()):
+            if slot * self.slot_ms >= now:
+                ahead = slot * self.slot_ms
+                break
+            rows = sorted((int(ms), kind) for ms, _, kind in (x.partition(":") for x in self.waiting.getValue((slot,))[0].split(",")))
+            self.waiting.removeKey((slot,))
+            later = [(ms, kind) for ms, kind in rows if ms >= now]
+            for ms, kind in rows[: len(rows) - len(later)]:
+                for at, state in h.see(ms, kind):
+                    yield Row(worker=key[0], ms=at, state=state)
+            if later:
+                self._put({slot: [f"{ms}:{kind}" for ms, kind in later]})
+                ahead = later[0][0]
+                break
+        for at, state in h.silence(now):
+            yield Row(worker=key[0], ms=at, state=state)
+        self.health.update(("".join(h.outcomes), h.last_ping, h.state))
+        if ahead is not None:
+            self._wake(max(ahead, now) + 1)
+        if h.last_ping >= 0 and h.state != "offline":
+            self._wake(max(h.last_ping + SILENCE_MS, now) + 1)
 
+    def close(self) -> None:
+        pass
 
-def health_changes(events: DataFrame, delay: str = "5 seconds") -> DataFrame:
-    """Stream of (worker, ts, kind: ping, success, error, timeout) to changes of state, with an event-time timer for silence."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        h = Health(*state.get) if state.exists else Health()
-        changes = []
-        if state.hasTimedOut:
-            changes += h.silence(state.getCurrentWatermarkMs())
-        else:
-            rows = pd.concat(list(frames))
-            for ms, kind in sorted(zip((rows["ts"].astype("datetime64[ms]").astype("int64")).tolist(), rows["kind"].tolist(), strict=True)):
-                changes += h.see(ms, kind)
-        state.update(("".join(h.outcomes), h.last_ping, h.state))
-        if h.last_ping >= 0 and h.state != "offline":
-            state.setTimeoutTimestamp(max(h.last_ping + SILENCE_MS + 1, state.getCurrentWatermarkMs() + 1))
-        yield _rows(key[0], changes)
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, as keyed state with timers needs; a restart finds that in its checkpoint."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
 
-    return events.withWatermark("ts", delay).groupBy("worker").applyInPandasWithState(step, OUT, "outcomes string, last_ping long, state string", "append", GroupStateTimeout.EventTimeTimeout)
+def health_changes(events: DataFrame, delay: str = "5 seconds", slot_ms: int = 60_000) -> DataFrame:
+    """Stream of (worker, ts, kind: ping, success, error, timeout) to changes of state up to the watermark; start it inside rocksdb_state()."""
+    rows = events.withWatermark("ts", delay).select("worker", "ts", F.unix_millis("ts").alias("ms"), "kind")
+    out = rows.groupBy("worker").transformWithState(HealthProcessor(slot_ms), "worker string, ms bigint, state string", "Append", "EventTime")
+    return out.select("worker", F.timestamp_millis("ms").alias("ts"), "state")
 
 
 def health_by_window(events: DataFrame, worker: str = "worker", ts: str = "ts", kind: str = "kind", order: tuple[str, ...] = ()) -> DataFrame:
