@@ -6,7 +6,7 @@ into B's ends, farther and farther from the middle; both sides of it are interva
 leaf, a group. All intervals of a chunk of documents take each step together.
 
 Inside a group no ends agree, so tokens of A and B overlap in one staircase: each stretch between neighbouring ends of either is
-one link. Links are counted by pair of ids in each chunk of some 4 MB of text, pairs are summed over all chunks by Spark, the
+one link. Links are counted by pair of ids in each chunk of some 2 MB of text, pairs are summed over all chunks by Spark, the
 highest count of each id of B is joined (a row for each id of its vocabulary), and the sums go back to the chunks that asked;
 texts are encoded once and don't move.
 
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import cut, give_back, portions
 from .packing import chunk_numbers, gathered, pack, pack_codes, squeeze, unpack, unpack_codes, unsqueeze
 
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 #: Pieces of a byte-level tokenizer before merging: fixed value, the published pattern of that kind of tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = "chunk long, ids binary, known binary, n_a binary, n_b binary, n_groups binary, n_links binary, groups binary, pairs binary, counts binary, links binary"
@@ -61,13 +61,7 @@ class ByteLevel(Vocabulary):
     in a row) go through the library."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -85,6 +79,18 @@ class ByteLevel(Vocabulary):
 
             self.fast = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks={t: i for i, t in words.items()}, special_tokens={})
 
+    @functools.cached_property
+    def library(self):  # noqa: ANN202
+        """The library's own encoder, loaded when a text needs it."""
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [self._one(" " + t) for t in texts]
 
