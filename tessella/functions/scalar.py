@@ -135,6 +135,12 @@ def hash_bucket(n: int, *keys: str | Column) -> Column:
     return F.pmod(F.xxhash64(*[_col(k) for k in keys]), F.lit(n))
 
 
+def portable_bucket(n: int, *keys: str | Column) -> Column:
+    """Bucket of keys that other engines find as well: the first 60 bits of an md5 of the keys as texts, modulo n. A missing key is empty."""
+    said = F.concat_ws("|", *[F.coalesce(_col(k).cast("string"), F.lit("")) for k in keys])
+    return F.pmod(F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("bigint"), F.lit(n)).cast("int")
+
+
 def seconds(millis: str | Column) -> Column:
     return _col(millis) / 1000.0
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +24,13 @@ def minmax_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return scaled.drop(*stats.columns)
 
 
-def kfold(df: DataFrame, k: int, seed: int, key: str, out: str = "fold", slices: int = 256) -> DataFrame:
+def kfold(df: DataFrame, k: int, seed: int, key: str, out: str = "fold", slice_rows: int = 500_000) -> DataFrame:
     """Fold 0..k-1 by a seeded random order of keys (unique); folds are equal, the n mod k rows that come last drop out.
 
-    The order is that of 60 bits of an md5 of key and seed. Positions are counted in slices of the hash range and shifted by the
-    slices before, so no task orders all rows; more rows than some million a slice call for more slices.
+    The order is that of 60 bits of an md5 of key and seed. Positions are counted in slices of the hash range of some ``slice_rows``
+    rows and shifted by the slices before, so no task orders all rows.
     """
+    slices = max(1, -(-df.count() // slice_rows))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
     rows = df.withColumn("__h", h).withColumn("__s", F.floor(F.col("__h") / F.lit(float(1 << 60) / slices)))
     sizes = rows.groupBy("__s").agg(F.count("*").alias("__n"))
@@ -54,10 +57,11 @@ def fit_logistic(df: DataFrame, features: Sequence[str] | str, label: str, epoch
             models = F.expr("array({})".format(", ".join("named_struct('h', {}, 'c', array({}))".format(-2 if h is None else h, ", ".join(f"{v!r}D" for v in coef[h])) for h in held)))
             each = rows.select("x", "y", "f", F.explode(models).alias("m")).where("f <> m.h")
             each = each.withColumn("p", S.sigmoid_dot("x", F.col("m.c"))).withColumn("g", (F.col("y") - F.col("p")) * F.col("p") * (1 - F.col("p")))
-            # one mean by model and coefficient, combined before the shuffle: one small plan however many features there are
+            # one vector mean a model, combined before the shuffle
             parts = F.concat(F.array("g"), F.transform("x", lambda v: F.col("g") * v))
-            for r in each.select("m.h", F.posexplode(parts).alias("i", "d")).groupBy("h", "i").agg(F.avg("d").alias("mean")).where("mean is not null").collect():
-                coef[None if r["h"] == -2 else r["h"]][r["i"]] += lr * r["mean"]
+            for r in each.where("g IS NOT NULL").select("m.h", array_to_vector(parts).alias("d")).groupBy("h").agg(Summarizer.mean(F.col("d")).alias("mean")).collect():
+                held_out = None if r["h"] == -2 else r["h"]
+                coef[held_out] = [c + lr * float(m) for c, m in zip(coef[held_out], r["mean"], strict=True)]
     finally:
         rows.unpersist()
     return coef

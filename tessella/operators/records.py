@@ -117,8 +117,9 @@ def from_index(df: DataFrame) -> DataFrame:
 
 
 def write_activations(acts: DataFrame, path: str) -> None:
-    """One folder an index, so a namespace's queries read only its own files."""
-    to_index(acts).write.mode("overwrite").partitionBy("index").parquet(path)
+    """One folder an index, so a namespace's queries read only its own files. Rows are dealt by index first, a large one to several tasks
+    and small ones together, so a folder has few files."""
+    to_index(acts).hint("rebalance", "index").write.mode("overwrite").partitionBy("index").parquet(path)
 
 
 def read_activations(spark: SparkSession, path: str) -> DataFrame:

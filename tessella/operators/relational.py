@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 from ..sources.tables import shared_path
 
+#: Rows of a group up to which a window takes the group in one task; larger ones go by ranges.
+WINDOW_ROWS = 1_000_000
+
 
 def _list(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
@@ -127,17 +130,33 @@ def concat_tables(dfs: Sequence[DataFrame], ordinal: str = "part") -> DataFrame:
     return out
 
 
-def medians(df: DataFrame, c: str, by: str | None = None, out: str = "median") -> DataFrame:
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group: one aggregate, combined before the shuffle."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+
+
+def group_totals(counts: DataFrame, by: str | None, c: str, n: str, before: str, whole: str, most: int = WINDOW_ROWS) -> DataFrame:
+    """Rows (by, c, n), distinct in (by, c), with the sum of n over the smaller c of their group and over the whole group: by a window
+    while the largest group has at most ``most`` rows, else by ranges of (by, c), so a task never has more than its range."""
+    keys = [by] if by else []
+    if largest_group(counts, keys) <= most:
+        w = Window.partitionBy(*keys)
+        return counts.withColumn(before, F.sum(n).over(w.orderBy(c)) - F.col(n)).withColumn(whole, F.sum(n).over(w))
+    run = running_totals(counts, [*keys, c], n, "__upto")
+    if not by:
+        return run.crossJoin(F.broadcast(run.agg(F.sum(n).alias(whole)))).withColumnRenamed("__upto", before)  # one row
+    of = run.groupBy(F.col(by).alias("__by")).agg(F.min("__upto").alias("__from"), F.sum(n).alias(whole))
+    return run.join(of, F.col(by).eqNullSafe(F.col("__by"))).withColumn(before, F.col("__upto") - F.col("__from")).drop("__by", "__from", "__upto")
+
+
+def medians(df: DataFrame, c: str, by: str | None = None, out: str = "median", most: int = WINDOW_ROWS) -> DataFrame:
     """Exact median of present values: one row, or one a group (column ``by``). Equal values are counted before they move; distinct ones
-    are summed by ranges, or by a window that spills, so no task holds them all."""
+    are summed by group_totals()."""
     keys = [by] if by else []
     counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("__n"))
-    if by:
-        w = Window.partitionBy(by)
-        run = counts.withColumn("__before", F.sum("__n").over(w.orderBy(c)) - F.col("__n")).withColumn("__all", F.sum("__n").over(w))
-    else:
-        run = running_totals(counts, [c], "__n", "__before")
-        run = run.crossJoin(F.broadcast(run.agg(F.sum("__n").alias("__all"))))  # one row
+    run = group_totals(counts, by, c, "__n", "__before", "__all", most)
     holds = lambda at: (F.col("__before") <= at) & (at < F.col("__before") + F.col("__n"))
     low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
     two = run.where(holds(low) | holds(high)).groupBy(*keys).agg(F.max(F.when(holds(low), F.col(c))).alias("__l"), F.max(F.when(holds(high), F.col(c))).alias("__h"))

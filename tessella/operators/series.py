@@ -2,43 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .relational import running_totals
+from .relational import WINDOW_ROWS, group_totals, largest_group, running_totals, with_positions
 
+#: Rows of a block that a hot key is cut into.
+BLOCK = 262_144
 
-def counter_rate(df: DataFrame, key: str, ts: str, c: str, order: Sequence[str] = (), out: str = "rate") -> DataFrame:
-    """Percent of elapsed time that a cumulative counter advanced; 0 for the first sample and for no elapsed time. A key's samples are one task's, sorted on disk where needed."""
-    w = Window.partitionBy(key).orderBy(ts, *order)
-    gone, grown = F.col(ts) - F.lag(ts).over(w), F.col(c) - F.lag(c).over(w)
-    return df.withColumn(out, F.coalesce(F.when(gone > 0, grown * 100.0 / gone), F.lit(0.0)))
 
+def look_back(df: DataFrame, key: str, order: Sequence[str], k: int, columns: Callable[[WindowSpec], Mapping[str, Column]], most: int = WINDOW_ROWS, block: int = BLOCK) -> DataFrame:
+    """Adds columns that look at up to k rows before a row of its key, in an order.
 
-def increase(df: DataFrame, key: str, ts: str, c: str, interval: str, order: Sequence[str] = ()) -> DataFrame:
+    While no key has more than ``most`` rows, a window by key. Otherwise rows are numbered in the order of (key, order) by ranges and cut
+    into blocks of ``block`` rows (more than k), each of which also gets the last k rows of the block before it: a hot key is as many
+    tasks as it has blocks.
+    """
+    if largest_group(df, [key]) <= most:
+        return df.withColumns(dict(columns(Window.partitionBy(key).orderBy(*order))))
+    own, at = F.expr(f"__pos div {block}"), F.col("__pos") % block
+    rows = with_positions(df, [key, *order], "__pos").withColumn("__block", F.explode(F.when(at >= block - k, F.array(own, own + 1)).otherwise(F.array(own))))
+    out = rows.withColumns(dict(columns(Window.partitionBy("__block", key).orderBy("__pos"))))
+    return out.where(F.col("__block") == own).drop("__block", "__pos")
+
+
+def counter_rate(df: DataFrame, key: str, ts: str, c: str, order: Sequence[str] = (), out: str = "rate", most: int = WINDOW_ROWS, block: int = BLOCK) -> DataFrame:
+    """Percent of elapsed time that a cumulative counter advanced; 0 for the first sample and for no elapsed time."""
+
+    def rate(w: WindowSpec) -> dict[str, Column]:
+        gone, grown = F.col(ts) - F.lag(ts).over(w), F.col(c) - F.lag(c).over(w)
+        return {out: F.coalesce(F.when(gone > 0, grown * 100.0 / gone), F.lit(0.0))}
+
+    return look_back(df, key, [ts, *order], 1, rate, most, block)
+
+
+def _steps(df: DataFrame, key: str, ts: str, counters: Mapping[str, str], interval: str, order: Sequence[str], most: int, block: int) -> DataFrame:
+    """Growth of counters by key and interval (w): one look back for all of them, then one aggregate."""
+
+    def step(w: WindowSpec) -> dict[str, Column]:
+        before = {n: F.lag(c).over(w) for n, c in counters.items()}
+        return {f"__{n}": F.when(before[n].isNull(), 0.0).when(F.col(c) < before[n], F.col(c)).otherwise(F.col(c) - before[n]) for n, c in counters.items()}
+
+    rows = look_back(df, key, [ts, *order], 1, step, most, block)
+    return rows.groupBy(key, F.window(F.col(ts), interval).alias("w")).agg(*[F.sum(f"__{n}").alias(n) for n in counters])
+
+
+def increase(df: DataFrame, key: str, ts: str, c: str, interval: str, order: Sequence[str] = (), most: int = WINDOW_ROWS, block: int = BLOCK) -> DataFrame:
     """Growth of a counter by interval: key, window_start, increase and rate per second. A fall is a restart from 0."""
-    w = Window.partitionBy(key).orderBy(ts, *order)
-    before = F.lag(c).over(w)
-    step = F.when(before.isNull(), 0.0).when(F.col(c) < before, F.col(c)).otherwise(F.col(c) - before)
-    win = F.window(F.col(ts), interval)
-    out = df.withColumn("__step", step).groupBy(key, win.alias("w")).agg(F.sum("__step").alias("increase"))
+    out = _steps(df, key, ts, {"increase": c}, interval, order, most, block)
     long = F.unix_timestamp(F.col("w.end").cast("timestamp")) - F.unix_timestamp(F.col("w.start").cast("timestamp"))
     return out.select(key, F.col("w.start").alias("window_start"), "increase", (F.col("increase") / long).alias("rate"))
 
 
-def mean_from_counters(df: DataFrame, key: str, ts: str, total: str, count: str, interval: str, order: Sequence[str] = ()) -> DataFrame:
+def mean_from_counters(df: DataFrame, key: str, ts: str, total: str, count: str, interval: str, order: Sequence[str] = (), most: int = WINDOW_ROWS, block: int = BLOCK) -> DataFrame:
     """Growth of a sum over growth of its count, by interval; null where nothing was counted."""
-    a = increase(df, key, ts, total, interval, order).select(key, "window_start", F.col("increase").alias("__a"))
-    b = increase(df, key, ts, count, interval, order).select(key, "window_start", F.col("increase").alias("__b"))
-    return a.join(b, [key, "window_start"]).select(key, "window_start", F.try_divide("__a", "__b").alias("mean"))
+    out = _steps(df, key, ts, {"total": total, "count": count}, interval, order, most, block)
+    return out.select(key, F.col("w.start").alias("window_start"), F.try_divide("total", "count").alias("mean"))
 
 
-def recent_error_state(df: DataFrame, key: str, ts: str, is_error: Column, last: int = 10, tolerance: int = 5, order: Sequence[str] = ()) -> DataFrame:
+def recent_error_state(df: DataFrame, key: str, ts: str, is_error: Column, last: int = 10, tolerance: int = 5, order: Sequence[str] = (), most: int = WINDOW_ROWS, block: int = BLOCK) -> DataFrame:
     """Errors among the last outcomes of each key; more than the tolerance is unhealthy."""
-    w = Window.partitionBy(key).orderBy(ts, *order).rowsBetween(1 - last, 0)
-    return df.withColumn("recent_errors", F.count_if(is_error).over(w)).withColumn("healthy", F.col("recent_errors") <= tolerance)
+    out = look_back(df, key, [ts, *order], last - 1, lambda w: {"recent_errors": F.count_if(is_error).over(w.rowsBetween(1 - last, 0))}, most, block)
+    return out.withColumn("healthy", F.col("recent_errors") <= tolerance)
 
 
 def minute_rate(df: DataFrame, key: str, ts: str, limit: int, order: Sequence[str] = ()) -> DataFrame:
@@ -47,13 +74,23 @@ def minute_rate(df: DataFrame, key: str, ts: str, limit: int, order: Sequence[st
     return df.withColumn("nth", F.row_number().over(w)).withColumn("allowed", F.col("nth") <= limit)
 
 
-def concurrency(df: DataFrame, key: str, start: str, end: str, limit: int, order: Sequence[str] = ()) -> DataFrame:
-    """Others in flight at each arrival, allowed while below the limit. What ends at an instant has ended when another starts then. A key's arrivals are one task's."""
+def concurrency(df: DataFrame, key: str, start: str, end: str, limit: int, order: Sequence[str] = (), most: int = WINDOW_ROWS) -> DataFrame:
+    """Others in flight at each arrival, allowed while below the limit. What ends at an instant has ended when another starts then.
+
+    Arrivals are +1, ends -1, and their running sum by key counts who is there; of a key with more than ``most`` of them the sum goes by
+    ranges of time, each range beginning with what those before it have left open.
+    """
     ends = df.select(F.col(key).alias(key), F.col(end).alias("__t"), F.lit(0).alias("__kind"), F.lit(-1).alias("__d"))
-    starts = df.withColumns({"__t": F.col(start), "__kind": F.lit(1), "__d": F.lit(1)})
-    w = Window.partitionBy(key).orderBy("__t", "__kind", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = starts.unionByName(ends, allowMissingColumns=True).withColumn("in_flight", F.sum("__d").over(w) - 1)
-    return both.where("__kind = 1").drop("__t", "__kind", "__d").withColumn("allowed", F.col("in_flight") < limit)
+    both = df.withColumns({"__t": F.col(start), "__kind": F.lit(1), "__d": F.lit(1)}).unionByName(ends, allowMissingColumns=True)
+    places = ["__t", "__kind", *order]
+    if largest_group(both, [key]) <= most:
+        w = Window.partitionBy(key).orderBy(*places).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = both.withColumn("in_flight", F.sum("__d").over(w) - 1)
+    else:
+        run = running_totals(both, [key, *places], "__d", "__open")
+        first = run.groupBy(F.col(key).alias("__key")).agg(F.min_by("__open", F.struct(*places)).alias("__from"))
+        run = run.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn("in_flight", F.col("__open") - F.col("__from")).drop("__key", "__from", "__open")
+    return run.where("__kind = 1").drop("__t", "__kind", "__d").withColumn("allowed", F.col("in_flight") < limit)
 
 
 def elapsed(df: DataFrame, ts: Column, offset: float = 0.0, low: float | None = None, high: float | None = None, out: str = "elapsed") -> DataFrame:
@@ -77,16 +114,12 @@ def overhead(df: DataFrame, total: str, units: str) -> DataFrame:
     return df.withColumn("per_unit", F.try_divide(F.col("overhead"), F.col(units))).withColumn("percent", F.try_divide(F.col("overhead") * 100.0, F.col(total)))
 
 
-def cdf(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
-    """Share of values at or below each distinct value, zeros included: counts first, then a running sum over distinct values by
-    ranges of group and value, so no task holds all of a group."""
+def cdf(df: DataFrame, c: str, by: str | None = None, most: int = WINDOW_ROWS) -> DataFrame:
+    """Share of values at or below each distinct value, zeros included: counts first, then a running sum over distinct values."""
     keys = [by] if by else []
     counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("n"))
-    run = running_totals(counts, [*keys, c], "n", "__before")
-    if by:
-        of = run.groupBy(F.col(by).alias("__by")).agg(F.min("__before").alias("__from"), F.sum("n").alias("__all"))
-        return run.join(of, F.col(by).eqNullSafe(F.col("__by"))).select(by, c, "n", ((F.col("__before") - F.col("__from") + F.col("n")) / F.col("__all")).alias("cdf"))
-    return run.crossJoin(F.broadcast(run.agg(F.sum("n").alias("__all")))).select(c, "n", ((F.col("__before") + F.col("n")) / F.col("__all")).alias("cdf"))
+    run = group_totals(counts, by, c, "n", "__before", "__all", most)
+    return run.select(*keys, c, "n", ((F.col("__before") + F.col("n")) / F.col("__all")).alias("cdf"))
 
 
 def histogram(df: DataFrame, c: str, low: float, width: float, n: int, by: str | None = None) -> DataFrame:

@@ -144,3 +144,28 @@ def dashboard(ev: DataFrame, k: int = 10) -> DataFrame:
     out = sums.select(F.explode(rows).alias("p")).select("p.*")
     nth = F.row_number().over(Window.partitionBy("panel").orderBy(F.desc("value"), "label"))
     return out.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+
+
+#: Panels of counters, by the labels that their lines keep, and of gauges, a line an instance.
+COUNTER_PANELS = {"expired_prewarms": ("containerPool_prewarmExpired", ("kind", "memory")), "prewarm_coldstarts": ("containerPool_prewarmColdstart", ("kind", "memory")), "container_starts": ("invoker_containerStart", ("containerState",))}
+GAUGE_PANELS = {"prewarm_containers": "containerPool_prewarmCount", "active_containers": "containerPool_activeCount"}
+
+
+def container_panels(samples: DataFrame, interval: str, order: Sequence[str] = ()) -> DataFrame:
+    """Container panels of scraped samples (metric, instance, kind, memory, containerState, ts, value): panel, label, window_start, value.
+
+    Counters are the growth of each series, restarts included, by interval, summed over the instances by the panel's labels; gauges are
+    the last value of an instance in each interval. Panels of one interval are one pass over the samples.
+    """
+    labels = ("metric", "instance", "kind", "memory", "containerState")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    counters = samples.where(F.col("metric").isin([m for m, _ in COUNTER_PANELS.values()])).withColumn("series", F.concat_ws("\x1f", *[text(c) for c in labels]))
+    grown = series.increase(counters.select("series", "ts", "value", *order), "series", "ts", "value", interval, order)
+    part = F.split("series", "\x1f")
+    grown = grown.select(*[part[i].alias(c) for i, c in enumerate(labels)], "window_start", "increase")
+    line = F.coalesce(*[F.when(F.col("metric") == m, F.struct(F.lit(p).alias("panel"), F.concat_ws(" ", *[F.col(c) for c in by]).alias("label"))) for p, (m, by) in COUNTER_PANELS.items()])
+    rows = grown.groupBy(line.alias("line"), "window_start").agg(F.sum("increase").alias("value")).select("line.*", "window_start", "value")
+    gauges = samples.where(F.col("metric").isin(list(GAUGE_PANELS.values())))
+    panel = F.coalesce(*[F.when(F.col("metric") == m, F.lit(p)) for p, m in GAUGE_PANELS.items()])
+    last = gauges.groupBy(panel.alias("panel"), F.col("instance").alias("label"), F.window("ts", interval).alias("w")).agg(F.max_by("value", F.struct("ts", *order)).alias("value"))
+    return rows.unionByName(last.select("panel", "label", F.col("w.start").alias("window_start"), F.col("value").cast("double").alias("value")))

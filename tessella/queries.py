@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .operators import columns as C
+from .operators import documents as DOC
 from .operators import ml as ML
 from .operators import records as REC
 from .operators import relational as R
 from .operators import series as SE
+from .operators import stores as ST
+from .operators import text_index as TI
 from .plans import decision_support as DS
 from .plans import reports as REP
 from .sources import event_log as LOG
@@ -395,6 +398,31 @@ def flt7_json_types(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", S.json_eq(doc, "$.a.b", "5").alias("eq"), S.json_true(doc, "$.t").alias("yes"))
 
 
+def _json_documents(spark: SparkSession, d: str) -> DataFrame:
+    """events as JSON documents: nested, with mistyped values, missing paths and broken texts."""
+    k = F.col("event_id")
+    b = F.when(k % 3 == 0, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).when(k % 3 == 1, "5").otherwise("true")
+    yes = F.when(k % 4 == 0, "true").when(k % 4 == 1, '"true"').when(k % 4 == 2, "1").otherwise("null")
+    tags = F.concat(F.lit('["t'), k % 5, F.lit('", 7, {"t": "t1"}]'))
+    doc = F.concat(F.lit('{"a": {"b": '), b, F.lit(', "n": '), F.when(k % 2 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit('"'), "user_id", F.lit('"'))), F.lit('}, "yes": '), yes, F.when(k % 6 == 0, "").otherwise(F.concat(F.lit(', "tags": '), tags)), F.lit("}"))
+    return t(spark, d, "events").select("event_id", F.when(k % 13 == 0, F.substring(doc, 1, 20)).otherwise(doc).alias("text"))
+
+
+@query("""SELECT event_id, event_id % 13 <> 0 AND event_id % 3 = 0 AND event_type = 'click' AS eq, event_id % 13 <> 0 AND event_id % 4 = 0 AS yes,
+  CASE WHEN event_id % 13 <> 0 AND event_id % 2 = 0 THEN user_id::DOUBLE END AS n, event_id % 13 <> 0 AND event_id % 6 <> 0 AND event_id % 5 = 1 AS tagged,
+  CASE WHEN event_id % 13 <> 0 THEN CASE event_id % 3 WHEN 0 THEN 'STRING' WHEN 1 THEN 'BIGINT' ELSE 'BOOLEAN' END END AS kind FROM events""")
+def flt7_variant(spark: SparkSession, d: str) -> DataFrame:
+    """Documents parsed once to VARIANT; texts, booleans, numbers and array elements by path and type."""
+    docs = DOC.parse(_json_documents(spark, d), "text")
+    return docs.select("event_id", DOC.has_string("doc", "$.a.b", "click").alias("eq"), DOC.is_true("doc", "$.yes").alias("yes"), DOC.number("doc", "$.a.n").alias("n"), DOC.holds_string("doc", "$.tags", "t1").alias("tagged"), DOC.kind("doc", "$.a.b").alias("kind"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_id % 13 <> 0 AND event_id % 3 = 0 AND event_id % 4 = 0 GROUP BY 1")
+def flt7_variant_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = DOC.parse(_json_documents(spark, d), "text").where(DOC.is_true("doc", "$.yes") & (DOC.kind("doc", "$.a.b") == "STRING"))
+    return docs.groupBy(F.try_variant_get("doc", "$.a.b", "string").alias("event_type")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {ACTS} SELECT activationId FROM acts WHERE sequence")
 def flt8_any_match(spark: SparkSession, d: str) -> DataFrame:
     return event_docs(spark, d).where(S.any_match("annotations", lambda a: (a["key"] == "kind") & (a["value"] == "sequence"))).select("activationId")
@@ -480,6 +508,21 @@ def jn8_partitioned_join(spark: SparkSession, d: str) -> DataFrame:
     return R.partitioned_join(left, right, "k", R.parts_for(right)).withColumnRenamed("k", "o_orderkey")
 
 
+def _bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    path = _written(df, "buckets")
+    return ST.store_bucketed(df, path.rpartition("/")[2].replace("-", "_"), key, n, path)
+
+
+@query(ORACLE_SQL["jn8_partitioned_join"])
+def jn8_bucketed_join(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides stored in buckets by the order once, and joined without moving a row."""
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber")
+    n = R.parts_for(lines)
+    left = _bucketed(t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus"), "k", n)
+    out = ST.bucketed_join(left.where("o_orderstatus = 'F'"), _bucketed(lines, "k", n), "k")
+    return out.select(F.col("k").alias("o_orderkey"), "l_linenumber")
+
+
 @query(f"WITH {MARKS} SELECT tid, count(*) AS n_lines, count(DISTINCT stage) AS n_stages FROM marks GROUP BY tid")
 def jn9_correlate_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = REP.marker_table(LOGS.marker_lines(marker_rows(spark, d), ["healthProbe"]))
@@ -876,6 +919,11 @@ def scl17_hash_bucket(spark: SparkSession, d: str) -> DataFrame:
     return k.agg(F.count("*").alias("keys"), F.count_distinct("b").cast("int").alias("buckets"), (F.min("b").between(0, 15) & F.max("b").between(0, 15)).alias("inside"))
 
 
+@query("SELECT (('0x' || substr(md5(o_custkey || '|' || o_orderstatus), 1, 15))::BIGINT % 16)::INTEGER AS bucket, count(*) AS n FROM orders GROUP BY 1")
+def scl17_portable_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "orders").groupBy(S.portable_bucket(16, "o_custkey", "o_orderstatus").alias("bucket")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_id, (epoch_us(ts) // 1000) / 1000.0 AS s FROM events")
 def scl18_seconds(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", S.seconds(F.unix_millis(F.col("ts").cast("timestamp"))).alias("s"))
@@ -1324,6 +1372,30 @@ def act6_strip_logs(spark: SparkSession, d: str) -> DataFrame:
     return REC.strip_logs(event_docs(spark, d), 1706000000000, 10).select("activationId", F.size("logs").alias("n_logs"))
 
 
+NOW_MS = 1_706_000_000_000
+
+
+@query(f"WITH {ACTS} SELECT activationId, CASE WHEN start < {NOW_MS} - 5 * 86400000 AND NOT sequence THEN 0 ELSE 1 END AS n_logs FROM acts WHERE start >= {NOW_MS} - 10 * 86400000")
+def act6_rewritten_store(spark: SparkSession, d: str) -> DataFrame:
+    """Records stored by day; retention drops whole days and rewrites one, then old logs are stripped from the days that have any."""
+    acts = event_docs(spark, d)
+    ST.write_days(acts, path := _written(acts, "store"))
+    ST.retain_days(spark, path, NOW_MS, 10)
+    ST.strip_old_logs(spark, path, NOW_MS, 5)
+    return spark.read.parquet(path).select("activationId", F.size("logs").alias("n_logs"))
+
+
+@query("""SELECT 'backup_' || epoch(date_trunc('day', ts))::BIGINT || '_' || event_type AS snapshot, count(*) AS n FROM events
+  WHERE epoch(date_trunc('day', ts))::BIGINT >= 1706000000 - 10 * 86400 OR event_type = 'view' GROUP BY 1""")
+def act7_snapshot_store(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot a day and kind of event in a store; those that have expired are dropped by their names."""
+    day = F.unix_timestamp(F.date_trunc("day", "ts").cast("timestamp"))
+    docs = t(spark, d, "events").select(F.concat(F.lit("backup_"), day, F.lit("_"), "event_type").alias("snapshot"), F.col("event_id").cast("string").alias("_id"), F.lit(False).alias("deleted"))
+    ST.write_snapshots(docs, path := _written(docs, "snapshots"))
+    ST.drop_expired(spark, path, 1_706_000_000, 10 * 86_400, exclude=("_view",))
+    return spark.read.parquet(path).groupBy("snapshot").agg(F.count("*").alias("n"))
+
+
 @query("SELECT page_id, page_id::VARCHAR AS _id FROM pages WHERE page_id % 3 <> 0")
 def act7_snapshot(spark: SparkSession, d: str) -> DataFrame:
     docs = t(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("_id"), (F.col("page_id") % 3 == 0).alias("deleted"))
@@ -1374,6 +1446,24 @@ def log2_search(spark: SparkSession, d: str) -> DataFrame:
     return REC.search(t(spark, d, "documents"), REC.term("lang", "en"), REC.phrase_prefix("text", "Th"), REC.match("text", "the with"), since=100, upto=5000, time="n_chars", desc=True, start=2, size=50, ties=("doc_id",)).select("doc_id", "n_chars")
 
 
+_TOKENS = "d AS (SELECT *, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> ''), ' ') || ' ' AS said FROM documents)"
+
+
+@query(f"""WITH {_TOKENS} SELECT 'phrase' AS search, doc_id, n_chars FROM d WHERE contains(said, ' of the ') AND lang = 'en' UNION ALL SELECT 'prefix', doc_id, n_chars FROM d WHERE contains(said, ' and th')
+  UNION ALL SELECT 'any', doc_id, n_chars FROM d WHERE (contains(said, ' license ') OR contains(said, ' und ')) AND n_chars BETWEEN 100 AND 5000 UNION ALL SELECT 'all', doc_id, n_chars FROM d WHERE contains(said, ' the ') AND contains(said, ' des ')""")
+def log2_indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same kinds of search by a positional index: postings of the asked words, and of documents the columns that are asked for."""
+    docs = t(spark, d, "documents")
+    TI.build(docs, path := _written(docs, "index"), buckets=16)
+    index, rows = TI.Index(spark, path, 16), docs.select("doc_id", "lang", "n_chars")
+    found = {"phrase": TI.search(rows.where("lang = 'en'"), index.phrase("of the")), "prefix": TI.search(rows, index.phrase_prefix("And th")), "any": TI.search(rows.where("n_chars BETWEEN 100 AND 5000"), index.match("license und")), "all": TI.search(rows, index.match_all("the des"))}
+    out = None
+    for name, part in found.items():
+        part = part.select(F.lit(name).alias("search"), "doc_id", "n_chars")
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query(_stage_sql("SELECT DISTINCT pair, latency, count(*) OVER (PARTITION BY pair, latency) AS n, round(count(*) OVER (PARTITION BY pair ORDER BY latency) / count(*) OVER (PARTITION BY pair), 9) AS cdf FROM lat"))
 def log3_pipeline_cdfs(spark: SparkSession, d: str) -> DataFrame:
     return REP.pipeline_cdfs(LOGS.marker_lines(marker_rows(spark, d), ["healthProbe"]), PAIRS).withColumn("cdf", F.round("cdf", 9))
@@ -1408,6 +1498,33 @@ def met1_dashboard(spark: SparkSession, d: str) -> DataFrame:
     return REP.dashboard(parsed(spark, d)).withColumn("value", F.round("value", 6))
 
 
+_METRICS = {"view": "containerPool_prewarmExpired", "click": "containerPool_prewarmColdstart", "signup": "invoker_containerStart", "purchase": "containerPool_prewarmCount", "error": "containerPool_activeCount"}
+_METRIC_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _METRICS.items()) + " END"
+_SERIES = "metric, instance, kind, memory, containerState"
+
+
+@query(f"""WITH e AS (SELECT event_id, ts, {_METRIC_SQL} AS metric, 'invoker' || (user_id % 2) AS instance, 'kind' || (user_id % 3) AS kind, (user_id % 2 + 1) * 128 AS memory, CASE user_id % 4 WHEN 0 THEN 'warmed' WHEN 1 THEN 'cold' ELSE 'prewarmed' END AS containerState, event_id >> 10 AS lap, round(value)::BIGINT AS v FROM events),
+  s AS (SELECT *, sum(v) OVER (PARTITION BY {_SERIES}, lap ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM e),
+  l AS (SELECT *, lag(total) OVER (PARTITION BY {_SERIES} ORDER BY ts, event_id) AS before FROM s),
+  g AS (SELECT metric, kind, memory, containerState, date_trunc('day', ts)::TIMESTAMP AS w, sum(CASE WHEN before IS NULL THEN 0 WHEN total < before THEN total ELSE total - before END)::DOUBLE AS v FROM l GROUP BY ALL)
+  SELECT panel, label, epoch_us(w) // 1000 AS window_start, value FROM (
+  SELECT 'expired_prewarms' AS panel, kind || ' ' || memory AS label, w, sum(v) AS value FROM g WHERE metric = 'containerPool_prewarmExpired' GROUP BY ALL
+  UNION ALL SELECT 'prewarm_coldstarts', kind || ' ' || memory, w, sum(v) FROM g WHERE metric = 'containerPool_prewarmColdstart' GROUP BY ALL
+  UNION ALL SELECT 'container_starts', containerState, w, sum(v) FROM g WHERE metric = 'invoker_containerStart' GROUP BY ALL
+  UNION ALL SELECT CASE metric WHEN 'containerPool_prewarmCount' THEN 'prewarm_containers' ELSE 'active_containers' END, instance, date_trunc('day', ts)::TIMESTAMP, arg_max(total, (ts, event_id))::DOUBLE FROM s WHERE metric LIKE '%Count' GROUP BY ALL)""")
+def met1_container_panels(spark: SparkSession, d: str) -> DataFrame:
+    """events as scraped samples of container counters, which restart once in a while, and gauges."""
+    from pyspark.sql import Window
+
+    u = F.col("user_id")
+    e = t(spark, d, "events").select(
+        "event_id", "ts", F.create_map(*[F.lit(x) for kv in _METRICS.items() for x in kv])[F.col("event_type")].alias("metric"), F.concat(F.lit("invoker"), u % 2).alias("instance"), F.concat(F.lit("kind"), u % 3).alias("kind"),
+        ((u % 2 + 1) * 128).alias("memory"), F.when(u % 4 == 0, "warmed").when(u % 4 == 1, "cold").otherwise("prewarmed").alias("containerState"), F.shiftright("event_id", 10).alias("lap"), F.round("value").cast("bigint").alias("v"))
+    w = Window.partitionBy(*_SERIES.split(", "), "lap").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = REP.container_panels(e.withColumn("value", F.sum("v").over(w)), "1 day", ["event_id"])
+    return out.withColumn("window_start", F.unix_millis(F.col("window_start").cast("timestamp")))
+
+
 @query(f"WITH {PAYLOAD}, a AS (SELECT name, k, avg(k % 7) AS rx, avg(k % 11) AS tx FROM pts GROUP BY 1, 2) SELECT name, max(rx) AS rx, max(tx) AS tx FROM a GROUP BY 1")
 def tel1_peer_profile(spark: SparkSession, d: str) -> DataFrame:
     points = LOGS.parse_profile_points(payload_rows(spark, d)).withColumn("activation", F.col("timestamp").cast("bigint") - (F.substring("point", 2, 1).cast("int") - 1))

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Folders given out by shared_path(), by application.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where that is unset, a temporary folder is set
@@ -20,7 +23,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Folders that were given out for this application and that discard() hasn't deleted. Once the results that come from them are
+    stored, ``discard(spark, *written(spark))`` frees the space."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    """Hadoop's path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that nothing reads any more."""
+    own = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where, fs = _hadoop(spark, path)
+        fs.delete(where, True)
+        if path in own:
+            own.remove(path)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, in order; none if it isn't there."""
+    where, fs = _hadoop(spark, path)
+    if not fs.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory() and s.getPath().getName()[0] not in "._")
 
 
 def read_dsv(spark: SparkSession, path: str | list[str], schema: str | T.StructType, sep: str = "|", null: str = "-") -> DataFrame:
