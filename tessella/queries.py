@@ -1431,8 +1431,7 @@ def ent1_entity_views(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_name AS subject, c_name AS namespace, 'u' || c_name AS uuid FROM customer WHERE c_custkey = 13 AND c_custkey % 9 <> 0 UNION ALL SELECT c_name, 'n107', 'u107' FROM customer WHERE c_nationkey = 7 AND c_custkey % 9 <> 0")
 def ent2_identities(spark: SparkSession, d: str) -> DataFrame:
     subjects, limits = _subjects(spark, d)
-    own = t(spark, d, "customer").where("c_custkey = 13").first()
-    a = REC.subject_identities(subjects, limits, "uuid", (f"u{own['c_name']}" if own else "", "k"))
+    a = REC.subject_identities(subjects, limits, "uuid", ("uCustomer#000000013", "k"))
     return a.unionByName(REC.subject_identities(subjects, limits, "uuid", ("u107", "k107"))).select("subject", "namespace", "uuid")
 
 
