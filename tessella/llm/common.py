@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z; everything else, UTF-8 bytes above 0x7F included, stays.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -62,6 +63,20 @@ def written(spark: SparkSession) -> list[str]:
     return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
 
 
+def salted_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", most: int = 200_000, salts: int = 64) -> DataFrame:
+    """Joins rows with a table of distinct keys of the same name. A key that holds over ``most`` rows, and over a thousandth of all, so at
+    most 1000 keys, is dealt over ``salts`` tasks; of the table such a key is there once for each."""
+    if (total := rows.count()) <= most:
+        return rows.join(other, key, how)
+    hot = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(most, total // 1000)).select(F.col(key).alias("__hot")), "hot")
+    if hot.isEmpty():
+        return rows.join(other, key, how)
+    mark = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")  # noqa: E731  at most 1000 rows
+    left = mark(rows).withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(salts))).cast("int")).drop("__hot")
+    each = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return left.join(mark(other).withColumn("__salt", F.explode(each)).drop("__hot"), [key, "__salt"], how).drop("__salt")
+
+
 def portions(texts: Sequence[str | None], rows: int = AT_ONCE_ROWS, chars: int = AT_ONCE_CHARS) -> Iterator[slice]:
     """Slices of a batch, each of at most so many texts and characters, one text at least."""
     lo = size = 0

@@ -5,18 +5,21 @@ without a rule is judged by a multinomial naive Bayes model. Its tokens are the
 host, whose concatenated names are split by the most probable sequence under a unigram model (Viterbi).
 
 The evidence are the rules: a page that a rule fits is labelled by its verdict, and the model learns which words of hosts
-and paths go with block and with allow (``learn`` holds pages out of that). Rules are no sample of the pages, so both classes
-start alike: the words decide. Counts are kept in 2**16 hashed buckets a class (a documented bound of the model).
+and paths go with block and with allow (``learn`` holds pages out of that). What the rule itself says, the labels of its host and
+its path prefix, isn't learned from such a page, and a top-level domain is never a token, else the model would only learn the
+rules again. Rules are no sample of the pages, so both classes start alike: the words decide. Counts are kept in 2**16 hashed
+buckets a class (a documented bound of the model).
 
 The unigram model counts all words of the pages' own text, of paths and of hyphenated host names; ``dictionary``, a table
 (w, n), adds further counts. It stays a table: the pieces of up to ``LONGEST`` letters of each distinct run of letters of a
-host are joined with it, and each run is split once, by the costs of its own pieces.
+host are joined with it, and each run is split once, by the costs of its own pieces. Pieces are made from a name at a time, so
+time and space grow with its length; keys that hold many rows of a join (a short piece, a common name, a large host) are salted.
 
 Words are runs of letters of any script, lower-cased, with percent escapes decoded; digits are no words.
 
 Defined cases: null URLs and URLs without "://" have empty host and path, no rule, and the score of no tokens at all (0.5, allow);
-so have all pages without a rule if no rule fits any page; null page texts have no words; repeated pages are rows of their
-own; an empty table gives an empty result; other columns don't matter.
+so have all pages without a rule if no rule fits any page, and hosts of one label with a path of no words; null page texts have no
+words; hosts may have any length; repeated pages are rows of their own; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, salted_join
 
 LONGEST = 24
 BUCKETS = 1 << 16
@@ -49,11 +52,13 @@ def parse(url: Column) -> tuple[Column, Column]:
 
 
 def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
-    """Struct (rule, verdict) of the longest rule that fits, or null. For up to some hundred rules, which become one expression."""
-    out = F.lit(None).cast("struct<rule: string, verdict: string>")
+    """Struct (rule, verdict, labels and prefix of the rule's host and path) of the longest rule that fits, or null. For up to some
+    hundred rules, which become one expression."""
+    out = F.lit(None).cast("struct<rule: string, verdict: string, labels: int, prefix: int>")
     for verdict, name, prefix in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(prefix)
-        out = F.when(fits, F.struct(F.lit(name + prefix).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
+        own = F.struct(F.lit(name + prefix).alias("rule"), F.lit(verdict).alias("verdict"), F.lit(name.count(".") + 1).alias("labels"), F.lit(len(prefix)).alias("prefix"))
+        out = F.when(fits, own).otherwise(out)
     return out
 
 
@@ -100,15 +105,22 @@ def unigrams(pages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame
     return counts
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names (nth, name) to their distinct pieces (nth, w), a name at a time."""
+    for batch in batches:
+        for nth, name in zip(batch.column("nth").to_pylist(), batch.column("name").to_pylist(), strict=True):
+            for lo in range(0, len(name), 10_000):  # of a long name some letters at a time; a piece met in two parts is one row more
+                found = {name[i:j] for i in range(lo, min(lo + 10_000, len(name))) for j in range(i + 1, min(i + LONGEST, len(name)) + 1)}
+                yield pa.RecordBatch.from_pydict({"nth": pa.array([nth] * len(found), pa.int64()), "w": pa.array(list(found), pa.string())})
+
+
 def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """name, words: the best split of each of the distinct names, by the costs of its own pieces in the whole unigram table."""
     total = (counts.agg(F.sum("n")).first()[0] or 0) + 1
     unknown = float(np.log(total)) + 2.0
     names = cut(names.select("name", F.monotonically_increasing_id().alias("nth")), "names")
-    pieces = names.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("name"))))
-    pieces = pieces.withColumn("long", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("at") + 1))))
-    pieces = pieces.select("nth", F.substring(F.col("name"), F.col("at"), F.col("long")).alias("w")).distinct()
-    costs = pieces.join(counts, "w").groupBy("nth").agg(F.collect_list("w").alias("known"), F.collect_list("n").alias("n"))
+    pieces = cut(names.mapInArrow(_pieces, "nth long, w string"), "pieces")
+    costs = salted_join(pieces, counts, "w").groupBy("nth").agg(F.collect_list("w").alias("known"), F.collect_list("n").alias("n"))
 
     @F.pandas_udf("array<string>")
     def split(name: pd.Series, known: pd.Series, n: pd.Series) -> pd.Series:
@@ -122,15 +134,27 @@ def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def tokenized(rows: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """rows with host_words and path_words. Runs of letters are split once each, hosts put together once each."""
-    runs = F.regexp_extract_all(_plain(F.col("host")), F.lit(_LETTERS), F.lit(0))
-    hosts = rows.select("host").distinct().select("host", F.posexplode(runs).alias("at", "name"))
-    words = cut(split_names(hosts.select("name").distinct(), cut(unigrams(rows, dictionary), "unigrams")), "words")
-    hosts = hosts.join(words, "name").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("x"))
-    hosts = cut(hosts.select("host", F.flatten(F.col("x.words")).alias("host_words")), "hosts")
-    path_words = F.regexp_extract_all(_plain(F.col("path")), F.lit(_LETTERS), F.lit(0))
-    rows = rows.drop("html").join(hosts, "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
-    return cut(rows.withColumn("path_words", path_words), "pages")
+    """rows with labels, the words of each label of the host from the left, and path_words. Runs of letters are split once each, hosts put
+    together once each."""
+    labels = F.split(_plain(F.col("host")), r"\.")
+    hosts = rows.select("host").distinct().select("host", F.posexplode(labels).alias("label", "said"))
+    runs = F.posexplode(F.regexp_extract_all("said", F.lit(_LETTERS), F.lit(0))).alias("at", "name")
+    runs = cut(hosts.select("host", "label", runs), "runs")
+    words = cut(split_names(runs.select("name").distinct(), cut(unigrams(rows, dictionary), "unigrams")), "words")
+    found = salted_join(runs, words, "name").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("label", "at", "words"))).alias("x"))
+    each = F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: F.flatten(F.transform(F.filter("x", lambda e: e["label"] == i), lambda e: e["words"])))
+    hosts = cut(found.select("host", each.alias("labels")), "hosts")
+    rows = salted_join(rows.drop("html"), hosts, "host", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<array<string>>")))
+    return cut(rows.withColumn("path_words", _path_words(F.col("path"))), "pages")
+
+
+def _path_words(path: Column) -> Column:
+    return F.regexp_extract_all(_plain(path), F.lit(_LETTERS), F.lit(0))
+
+
+def host_words(but: Column | int = 0) -> Column:
+    """Words of a host without so many labels from the right."""
+    return F.flatten(F.slice("labels", F.lit(1), F.greatest(F.lit(0), F.size("labels") - but)))
 
 
 class Bayes:
@@ -159,7 +183,8 @@ def fit(pages: DataFrame) -> Bayes:
         kind, at = np.nonzero(tokens)
         yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(at, pa.int32()), "n": pa.array(tokens[kind, at], pa.int64())})
 
-    labelled = pages.where("label is not null").select("label", "host_words", "path_words")
+    # a page doesn't teach what its rule says
+    labelled = pages.where("label is not null").select("label", host_words(F.col("ruled.labels")).alias("host_words"), _path_words(F.expr("substring(path, ruled.prefix + 1)")).alias("path_words"))
     found = labelled.mapInArrow(count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, BUCKETS))
     if found.num_rows:
@@ -185,5 +210,5 @@ def judge(
         for hosts, paths in batches:
             yield pd.Series([bayes.block(list(h), list(p)) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
 
-    rows = rows.withColumn("score", score("host_words", "path_words"))
-    return rows.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score", F.col("host_words").alias("words"))
+    rows = rows.withColumn("score", score(host_words(1), F.col("path_words")))
+    return rows.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score", host_words().alias("words"))

@@ -281,12 +281,16 @@ def plain_judge(rows, held):
             best.append(min(((best[s][0] + cost(name[s:end]), best[s][1] + [name[s:end]]) for s in range(max(0, end - 24), end)), key=lambda x: x[0]))
         return best[-1][1]
 
-    tokens = [[("h", w) for n in letters(h) for w in split(n)] + [("p", w) for w in letters(unquote(p).lower())] for _, h, p, _ in parsed]
+    def tokens_of(host, path, labels=1, prefix=0):
+        names = [n for part in host.split(".")[:-labels] for n in letters(part)]
+        return [("h", w) for n in names for w in split(n)] + [("p", w) for w in letters(unquote(path[prefix:]).lower())]
+
+    tokens = [tokens_of(h, p) for _, h, p, _ in parsed]
     bucket = lambda t: zlib.crc32((t[0] + t[1]).encode()) % U.BUCKETS
     seen = {"allow": Counter(), "block": Counter()}
-    for (page_id, _, _, rule), ts in zip(parsed, tokens, strict=True):
-        if rule and not held(page_id):
-            seen[rule[3]].update(map(bucket, ts))
+    for page_id, host, path, rule in parsed:
+        if rule and not held(page_id):  # without what the rule says itself
+            seen[rule[3]].update(map(bucket, tokens_of(host, path, rule[1].count(".") + 1, len(rule[2]))))
     n = {k: sum(c.values()) for k, c in seen.items()}
     out = {}
     for (page_id, host, path, rule), ts in zip(parsed, tokens, strict=True):
@@ -311,12 +315,43 @@ def test_url_filter_is_its_brute_force(spark, data):
         assert r.verdict == verdict or abs(score - 0.5) < 1e-9
 
 
-def test_held_out_pages(spark):
-    # pages that a rule fits, but that taught nothing: what would the model say of them?
-    rows = [r for r in registry.op9_url_filter(spark, SF).where("rule is not null").collect() if zlib.crc32(str(r.page_id).encode()) % 4 == 2]
-    block, said = [r.verdict == "block" for r in rows], [r.score > 0.5 for r in rows]
-    both = sum(a and b for a, b in zip(block, said, strict=True))
-    assert len(rows) > 15 and both / max(1, sum(said)) > 0.8 and both / sum(block) > 0.9
+def test_rules_are_not_learned_again(spark):
+    # words of hosts tell the classes apart; what the rules say, and top-level domains, tells nothing
+    words = {"block": ["casino", "pills", "lotto"], "allow": ["garden", "school", "museum"]}
+    rows, want = [], {}
+    for i in range(240):
+        kind = ("block", "allow")[i % 2]
+        a, b = words[kind][i % 3], words[kind][(i // 3) % 3]
+        rule = i % 4 < 2
+        host, path = (f"{a}{b}.{'com' if kind == 'block' else 'net'}", "/en/" if kind == "block" else "/de/") if rule else (f"{a}{b}.{'net' if kind == 'block' else 'com'}", "/es/" if kind == "allow" else "/fr/")
+        rows.append((i, f"http://{host}{path}{i}", f"<p>{a} {b}</p>"))
+        want[i] = kind
+    found = U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    free = [r for r in found if r.rule is None]
+    assert len(free) == 120 and all(r.verdict == want[r.page_id] for r in free)  # each against its domain and path
+    bare = spark.createDataFrame([*rows, (-1, "http://com/", None), (-2, "http://x.com/1", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.score for r in U.judge(bare).where("page_id < 0").collect()}[-1] == 0.5
+
+
+def test_long_hosts_take_time_by_their_length(spark):
+    import time
+
+    rows = [(1, "http://" + "thequickbrownfox" * 6_250 + ".com/fr/1", "<p>the quick brown fox</p>"), (2, "http://a.net/de/1", None)]
+    began = time.time()
+    got = {r.page_id: r.words for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert time.time() - began < 60
+    assert got[1][:5] == ["the", "quick", "brown", "fox", "the"] and len(got[1]) == 25_001
+
+
+def test_hot_keys_are_salted(spark):
+    from tessella.llm.common import salted_join
+
+    rows = spark.range(5_000).selectExpr("id", "if(id % 3 < 2, 'hot', concat('k', id % 1700)) as k").union(spark.createDataFrame([(-1, None)], "id long, k string"))
+    other = rows.where("k is not null").select("k").distinct().selectExpr("k", "upper(k) as up")
+    for how in ("inner", "left"):
+        plain, dealt = rows.join(other, "k", how), salted_join(rows, other, "k", how, most=100, salts=7)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.select(plain.columns).collect()))
+    assert "__salt" in salted_join(rows, other, "k", most=100)._jdf.queryExecution().toString()
 
 
 def test_viterbi_is_the_best_split():
