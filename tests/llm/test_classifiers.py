@@ -114,12 +114,25 @@ def test_language_inference_is_its_brute_force(spark, data):
     assert len(seen) > 1  # single languages and mixtures
 
 
-def test_too_many_languages_are_refused(spark):
-    import pytest
-
-    docs = spark.range(L.MAX_LANGUAGES + 1).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
-    with pytest.raises(ValueError, match="values"):
-        L.fit(docs)
+def test_many_languages(spark, data):
+    # 300 values of lang, each with words of its own
+    docs = spark.range(900).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 12), i -> translate(conv(substring(md5(concat(id % 300, '|', i)), 1, 12), 16, 10), '0123456789', 'abcdefghij'))) as text", "concat('l', id % 300) as lang")
+    model = L.fit(docs)
+    assert len(model.languages) == 300
+    rows = docs.select("lang", L.infer(model).alias("x")).collect()
+    assert all(r.x.lang_pred == r.lang for r in rows)
+    mixed = rows[0].lang, rows[1].lang
+    text = " ".join(r.text for r in docs.where("doc_id < 2").collect())
+    assert set(model.infer(text * 3)[2]) == set(mixed)
+
+
+def test_wide_model_is_the_full_one(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    full, wide = L.fit(docs), L.fit(docs, dense=1)
+    assert isinstance(wide, L.WideMixture) and not isinstance(full, L.WideMixture)
+    for r in docs.limit(60).collect():
+        a, b = full.infer(r.text), wide.infer(r.text)
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 and a[2].keys() == b[2].keys()
 
 
 def test_language_chunks_agree(monkeypatch):
