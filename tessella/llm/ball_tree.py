@@ -7,15 +7,21 @@ block of queries at a time, and a node is passed by for every query whose curren
 are shared: leaves of a shard and the shards that a task holds share them, and all tasks start from the kth scores that a first
 search over some ``PILOT`` candidates has found (scores of real rows, so a bound from below of each final kth score).
 
-Nothing of this passes through the driver. Queries are a written table in blocks of about ``QUERY_BLOCK`` rows, with the kth scores
-of the first search, which a task a block makes. A search task gathers up to ``HELD`` candidates and their trees, then reads
-the blocks one by one from the shared folder; candidates are read once, whatever the number of queries. Tasks return at
-most k rows a query for what they held, and a window keeps the k best of them.
+Nothing of this passes through the driver. Queries are a written table in blocks of at most ``QUERY_BLOCK`` rows, with their kth scores
+so far, which a task a block makes for the first search. A search task gathers candidates of some ``HELD_BYTES`` and their trees,
+then reads the blocks one by one from the shared folder; all that a task holds is bounded in bytes, however wide the vectors are.
+
+Candidates are searched in rounds, each ``GROW`` times as many as those before it: after a round the kth scores are those of all
+candidates so far, so of the next some k * ``GROW`` rows a query at most can be expected to reach them, whatever the number of
+tasks, and tasks return what reaches them. Up to GROW * PILOT candidates are one round. Each candidate is read in one round.
+
+Vectors with components so large that products might leave 64 bits (``LIMIT``) are multiplied in Python's whole numbers, apart from
+the others. A score beyond a long counts as the largest or smallest long, with ties to the smaller vec_id.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; a query meets only vectors of
 its own length; of several rows with a query's vec_id the least vector asks, and none of those rows is its candidate;
 other repeated rows are candidates each; rows with a null vec_id ask nothing but are candidates, last among equal scores; ties go
-to the smaller vec_id. Scores must be whole numbers of 64 bits: components beyond that are refused.
+to the smaller vec_id; components of any finite size take part.
 """
 
 from __future__ import annotations
@@ -34,9 +40,11 @@ from .common import cut, file_system, new_path
 SCALE = 1024
 LEAF = 64
 QUERY_BLOCK = 4096
-PILOT = 4096
-#: Candidates of a shard, and those that a task holds together with their trees.
-SHARD, HELD = 8192, 1 << 17
+PILOT, GROW = 4096, 32
+#: Candidates of a shard; bytes of candidates that a task holds together, and of queries or pilot candidates.
+SHARD, HELD_BYTES, BLOCK_BYTES = 8192, 1 << 26, 1 << 25
+#: Products of vectors whose components times the root of their number are below this fit 64 bits.
+LIMIT = 2.0**30.5
 NONE = np.iinfo(np.int64).min
 
 
@@ -188,7 +196,7 @@ def _searcher(queries: str, blocks: list[int], width: int, kind: type, k: int):
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                if sum(b.num_rows for b in held) >= HELD:
+                if 8 * width * sum(b.num_rows for b in held) >= HELD_BYTES:
                     yield from done()
         if held:
             yield from done()
@@ -196,36 +204,91 @@ def _searcher(queries: str, blocks: list[int], width: int, kind: type, k: int):
     return search
 
 
+def _exact(queries: str, blocks: list[int], k: int):  # noqa: ANN202
+    """Candidates (vec_id, d: whole numbers as doubles) against all queries in Python's whole numbers."""
+
+    def whole(rows: pa.ListArray) -> list[np.ndarray]:
+        top = np.finfo(float).max
+        return [np.array([int(min(max(c, -top), top)) for c in r], object) for r in rows.to_pylist()]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = batch.column("vec_id").to_pylist(), whole(batch.column("d"))
+            for b in blocks if ids else ():
+                asked = _table(queries, ["vec_id", "d"], b)
+                out = []
+                for q, v in zip(asked["vec_id"].to_pylist(), whole(asked["d"].combine_chunks()), strict=True):
+                    met = ((max(NONE + 1, min(-NONE - 1, int(v @ c))), i) for i, c in zip(ids, x, strict=True) if i != q)
+                    out += [(q, i, s) for s, i in heapq.nsmallest(k, met, key=lambda m: (-m[0], m[1] is None, m[1] or 0))]
+                yield pa.RecordBatch.from_pydict({n: pa.array([r[j] for r in out], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
+
+    return search
+
+
 def integer_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, v (array of long), width; only whole vectors."""
+    """vec_id, v (array of long), d (the same as doubles), width, large (d must be used); only whole vectors."""
     x = F.col(embedding).cast("array<double>")
     good = F.col(embedding).isNotNull() & (F.size(embedding) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return rows.where(good).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"), F.size(embedding).alias("width"))
+    # doubles from 2^53 on are whole numbers
+    d = F.transform(x, lambda c: F.when(F.abs(c * scale) >= 2.0**53, c * scale).otherwise(F.floor(c * scale).cast("double")))
+    out = rows.where(good).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"), d.alias("d"), F.size(embedding).alias("width"))
+    return out.withColumn("large", F.array_max(F.transform("d", F.abs)) * F.sqrt("width") >= LIMIT)
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
+def _top(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _search(candidates: DataFrame, asked: DataFrame, width: int, total: int, n: int, most: float, k: int, pilot_rows: int, grow: int) -> DataFrame:
+    """query_id, vec_id, score: what may be among the k best, of candidates and queries of one width."""
+    spark = candidates.sparkSession
+    kind = np.float64 if most * most * width < 1 << 53 else np.int64
+    fit = max(1, BLOCK_BYTES // (8 * width))  # rows that a block or the pilot may have
+    place, whole = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)), 1 << 30
+    share = min(whole, int(whole * min(pilot_rows, fit) / max(1, total)) + 1)
+    pilot = new_path(spark, "pilot")
+    candidates.where(place < share).limit(2 * min(pilot_rows, fit)).write.parquet(pilot)
+    blocks = -(-n // min(QUERY_BLOCK, fit))
+    block = F.pmod(F.xxhash64("vec_id", F.lit(b"block")), F.lit(blocks)).cast("int")
+    dealt = asked.select(block.alias("block"), "vec_id", "v").repartition(blocks, "block").sortWithinPartitions("block")
+    dealt.mapInArrow(_floors(pilot, width, kind, k), "block int, vec_id long, v array<long>, floor long").write.partitionBy("block").parquet(queries := new_path(spark, "queries"))
+    read = lambda path: spark.read.schema("vec_id long, v array<long>, floor long, block int").parquet(path)
+    numbers = sorted(r[0] for r in read(queries).select("block").distinct().collect())
+    low, high, best = 0, max(share * grow, int(whole * pilot_rows * grow / max(1, total)) + 1), None
+    while True:
+        part = candidates.where((place >= low) & (place < high)) if low or high < whole else candidates
+        found = part.mapInArrow(_searcher(queries, numbers, width, kind, k), "query_id long, vec_id long, score long")
+        found = found if best is None else best.unionByName(found)
+        if high >= whole:
+            return found
+        best = cut(_top(found, k).select("query_id", "vec_id", "score"), "best")
+        reached = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "kth")
+        rows = read(queries).join(reached, "vec_id", "left").select("vec_id", "v", F.greatest("floor", F.coalesce("kth", "floor")).alias("floor"), "block")
+        rows.repartition(blocks, "block").write.partitionBy("block").parquet(queries := new_path(spark, "queries"))
+        low, high = high, high * grow
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE, pilot_rows: int = PILOT, grow: int = GROW) -> DataFrame:
     """query_id, rank, vec_id, score for every row that satisfies is_query (a condition on column vec_id), against all other rows."""
     spark = rows.sparkSession
     v = cut(integer_vectors(rows, vec_id, embedding, scale), "vectors")
-    asked = cut(v.where(is_query & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("width", F.size("v")), "asked")
-    largest = F.max(F.array_max(F.transform("v", lambda c: F.greatest(F.abs(c.cast("double")), F.lit(1.0)))))
-    shape = v.groupBy("width").agg(F.count("*").alias("all"), largest.alias("most")).join(asked.groupBy("width").agg(F.count("*").alias("n")), "width").collect()  # one row for each length of vector
+    first = F.min(F.struct("d", "v", "large")).alias("x")
+    asked = cut(v.where(is_query & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(first).select("vec_id", "x.*", F.size("x.v").alias("width")), "asked")
+    largest = F.max(F.when(~F.col("large"), F.array_max(F.transform("d", lambda c: F.greatest(F.abs(c), F.lit(1.0))))))
+    is_large = F.count_if("large")
+    shape = v.groupBy("width").agg(F.count_if(~F.col("large")).alias("all"), largest.alias("most"), is_large.alias("large")).join(asked.groupBy("width").agg(F.count_if(~F.col("large")).alias("n"), F.count("*").alias("asked"), is_large.alias("large_asked")), "width").collect()  # one row for each length of vector
     out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    for width, total, most, n in ((r["width"], r["all"], r["most"], r["n"]) for r in shape):
-        if most * most * width >= 1 << 62:
-            raise ValueError(f"inner products of vectors of {width} components leave 64 bits; choose a smaller scale")
-        kind = np.float64 if most * most * width < 1 << 53 else np.int64
-        candidates = v.where(F.col("width") == width).select("vec_id", "v")
-        share = min(1 << 30, int((1 << 30) * PILOT / max(1, total)) + 1)
-        pilot = new_path(spark, "pilot")
-        candidates.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).limit(2 * PILOT).write.parquet(pilot)
-        blocks = -(-n // QUERY_BLOCK)
-        block = F.pmod(F.xxhash64("vec_id", F.lit(b"block")), F.lit(blocks)).cast("int")
-        queries = new_path(spark, "queries")
-        dealt = asked.where(F.col("width") == width).select(block.alias("block"), "vec_id", "v").repartition(blocks, "block").sortWithinPartitions("block")
-        dealt.mapInArrow(_floors(pilot, width, kind, k), "block int, vec_id long, v array<long>, floor long").write.partitionBy("block").parquet(queries)
-        numbers = sorted(r[0] for r in spark.read.schema("vec_id long, block int").parquet(queries).select("block").distinct().collect())
-        found = candidates.mapInArrow(_searcher(queries, numbers, width, kind, k), "query_id long, vec_id long, score long")
-        out = out.unionByName(found)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    for r in shape:
+        of, q = v.where(F.col("width") == r["width"]), asked.where(F.col("width") == r["width"])
+        if r["n"] and r["all"]:
+            out = out.unionByName(_search(of.where(~F.col("large")).select("vec_id", "v"), q.where(~F.col("large")), r["width"], r["all"], r["n"], r["most"], k, pilot_rows, grow))
+        # large vectors as candidates of all queries, the others as candidates of large queries
+        for candidates, queries, n in ((of.where("large"), q, r["large"] and r["asked"]), (of.where(~F.col("large")), q.where("large"), r["all"] and r["large_asked"])):
+            if n:
+                blocks = -(-n // max(1, min(QUERY_BLOCK, BLOCK_BYTES // (32 * r["width"]))))
+                dealt = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "d").repartition(blocks, "block")
+                dealt.write.partitionBy("block").parquet(path := new_path(spark, "queries"))
+                numbers = sorted(x[0] for x in spark.read.parquet(path).select("block").distinct().collect())
+                out = out.unionByName(candidates.select("vec_id", "d").mapInArrow(_exact(path, numbers, k), "query_id long, vec_id long, score long"))
+    return _top(out, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

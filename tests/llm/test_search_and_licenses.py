@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -35,7 +34,7 @@ def test_query_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(int(i * 50), rng.normal(size=3).tolist()) for i in range(20)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    monkeypatch.setattr(B, "HELD", 6)
+    monkeypatch.setattr(B, "HELD_BYTES", 6 * 24)
     got = B.top_k(df, F.col("vec_id") % 100 == 0, k=3)
     assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 3))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one pass over the candidates for all blocks
@@ -67,10 +66,40 @@ def test_products_beyond_float64(spark):
     assert sorted(map(tuple, B.top_k(df, F.col("vec_id") % 100 == 0).collect())) == sorted(brute(rows, 10))
 
 
-def test_too_large_for_64_bits(spark):
-    df = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 1e9])], "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError, match="scale"):
-        B.top_k(df, F.col("vec_id") % 100 == 0)
+def test_rounds_lose_nothing(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.integers(-40, 41, 5).astype(float).tolist()) for i in range(1500)] + [(7, [40.0] * 5)] * 40 + [(None, [39.0] * 5)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = sorted(brute(rows, 10), key=str)
+    assert sorted(map(tuple, B.top_k(df, F.col("vec_id") % 100 == 0).collect()), key=str) == want
+    assert sorted(map(tuple, B.top_k(df, F.col("vec_id") % 100 == 0, pilot_rows=20, grow=4).collect()), key=str) == want
+
+
+def test_tasks_hand_on_few_rows(spark):
+    """With rounds a query's rows don't grow with the number of tasks."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(int(i), rng.normal(size=4).tolist()) for i in range(4000)], "vec_id long, embedding array<double>").repartition(40)
+    v = B.integer_vectors(df).select("vec_id", "v").persist()
+    asked = v.where("vec_id % 100 = 0")
+    found = B._search(v, asked, 4, 4000, 40, 8192.0, 10, 40, 4)
+    assert found.count() < 40 * 10 * 12
+    v.unpersist()
+
+
+def test_large_components_and_wide_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), (rng.normal(size=3) * (1e12 if i % 7 == 0 else 1)).tolist()) for i in range(250)] + [(300, [1e300, -1e300, 5.0]), (301, [1e300, 1e300, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = 2**63 - 1
+    clipped = []
+    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    for q, qv in ((i, v) for i, v in good if i % 100 == 0):
+        found = sorted((-max(-most, min(most, sum(a * b for a, b in zip(qv, v, strict=True)))), i) for i, v in good if i != q)
+        clipped += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:10])]
+    assert sorted(map(tuple, B.top_k(df, F.col("vec_id") % 100 == 0).collect())) == sorted(clipped)
+    wide = [(int(i), rng.normal(size=4096).tolist()) for i in range(220)] + [(500, [1e6] + [0.0] * 4095)]
+    df = spark.createDataFrame(wide, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, B.top_k(df, F.col("vec_id") % 100 == 0).collect())) == sorted(brute(wide, 10))
 
 
 def test_vectors_same_as_sql(same_as_sql):
