@@ -3,7 +3,7 @@
 A text is brought to a canonical form: lower case, copyright lines dropped, everything but letters and digits read as one space,
 equivalent spellings joined. Its SHA-256 is hash-joined to the digests of known licences, so entire texts are compared
 whatever their layout. Known licences are any table (license_id, text); ``read_licenses`` makes one of a folder of texts,
-``known_licenses`` one of the short public texts in ``license_texts``.
+``known_licenses`` one of the public texts in ``license_texts``.
 
 Defined cases: null texts have a null digest and no licence; texts without letters or digits have the digest of the empty text,
 which is no licence; two known texts with one digest give the smaller license_id; repeated documents are rows of their own;
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
-from .license_texts import KNOWN
+from .license_texts import texts
 
 #: Lines that name a holder and a year, not the terms. Java and RE2 read it alike.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[ \t:]*(\(c\)|©|[0-9]{4}|<|\[)|\(c\)[^\n]*[0-9]{4}|©|all rights reserved)[^\n]*$"
@@ -42,7 +42,7 @@ def digest(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    return spark.createDataFrame(texts(), "license_id string, text string")
 
 
 def read_licenses(spark: SparkSession, folder: str) -> DataFrame:

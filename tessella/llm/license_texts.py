@@ -1,4 +1,7 @@
-"""Public short licences and notices, word for word: fixed values that a scan compares with. Any table (license_id, text) may take their place."""
+"""Public licences and notices, word for word: fixed values that a scan compares with. Short ones are here, long ones in the files of
+``licenses``. Any table (license_id, text) may take their place."""
+
+from importlib import resources
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -61,15 +64,19 @@ KNOWN = (
     ("BSD-3-Clause", BSD_3),
     ("BSD-3-Clause-titled", "BSD 3-Clause License\n\n" + BSD_3),
     ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + BOOST),
-    ("GPL-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", ISC),
     ("ISC-titled", "ISC License\n\n" + ISC),
     ("MIT", MIT),
     ("MIT-0", MIT_0),
-    ("MIT-line", "Released under the MIT License."),
     ("MIT-titled", "MIT License\n\n" + MIT),
     ("MIT-titled-the", "The MIT License (MIT)\n\n" + MIT),
     ("Unlicense", UNLICENSE),
     ("Zlib", ZLIB),
     ("Zlib-titled", "zlib License\n\n" + ZLIB),
 )
+
+
+def texts() -> list[tuple[str, str]]:
+    """All of them, by identifier."""
+    files = resources.files(__package__).joinpath("licenses").iterdir()
+    return sorted([*KNOWN, *((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files if f.name.endswith(".txt"))])

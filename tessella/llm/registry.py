@@ -160,7 +160,7 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 """
 )
 
-_OP6_KNOWN = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in license_scan.KNOWN)
+_OP6_KNOWN = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in license_scan.texts())
 
 
 def _canonical_sql(text: str) -> str:
