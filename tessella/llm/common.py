@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard, written  # noqa: F401  for those who store results
+from ..sources.tables import shared_path as new_path
+
 #: A-Z to a-z; everything else, UTF-8 bytes above 0x7F included, stays.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words of ``documents`` are maximal runs of anything but these bytes; ``bytes.split()`` splits at the same ones.
@@ -17,27 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Texts and characters of texts that a task works on at a time, one text at least. What Spark sends to a worker at once is
 #: bounded in rows and bytes by spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch, 64 MB by default.
 AT_ONCE_ROWS, AT_ONCE_CHARS = 1000, 1 << 23
-#: Folders that ``cut`` wrote, by application.
-_WRITTEN: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``. Where it is unset, a temporary one is set for a local session, whose
-    executors are the driver; on a cluster that is an error, as no local folder is seen by all."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
 
 
 def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -47,32 +27,17 @@ def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete written folders that nothing reads any more."""
-    own = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in own:
-            own.remove(path)
-
-
-def written(spark: SparkSession) -> list[str]:
-    """Folders that the operators have written for this application and that ``discard`` hasn't deleted. Once the results that
-    come from them are stored, ``discard(spark, *written(spark))`` frees the space."""
-    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
-
-
 def salted_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", most: int = 200_000, salts: int = 64) -> DataFrame:
     """Joins rows with a table of distinct keys of the same name. A key that holds over ``most`` rows, and over a thousandth of all, so at
-    most 1000 keys, is dealt over ``salts`` tasks; of the table such a key is there once for each."""
+    most 1000 keys, is dealt over ``salts`` tasks by its rows' hashes, which a task that runs again finds again; of the table such a key is there once
+    for each."""
     if (total := rows.count()) <= most:
         return rows.join(other, key, how)
     hot = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(most, total // 1000)).select(F.col(key).alias("__hot")), "hot")
     if hot.isEmpty():
         return rows.join(other, key, how)
     mark = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")  # noqa: E731  at most 1000 rows
-    left = mark(rows).withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(salts))).cast("int")).drop("__hot")
+    left = mark(rows).withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).cast("int")).drop("__hot")
     each = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
     return left.join(mark(other).withColumn("__salt", F.explode(each)).drop("__hot"), [key, "__salt"], how).drop("__salt")
 
