@@ -1,19 +1,22 @@
 """Min-max scaling, k folds, logistic regression by full-batch gradient descent, cross-validation.
 
-The gradient is that of the squared error through the sigmoid: err * p * (1 - p). Each epoch is one aggregate over all rows
-for all folds at once; only folds x (features + 1) numbers come to the driver.
+The gradient is that of the squared error through the sigmoid: err * p * (1 - p). Rows are packed once into blocks of numbers; each
+epoch is one aggregate over all blocks for all folds at once; only folds x (features + 1) numbers come to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..sources.tables import discard, shared_path
 from .columns import column_minmax
 
 
@@ -45,26 +48,61 @@ def _features(features: Sequence[str] | str) -> Column:
     return F.col(features) if isinstance(features, str) else F.array(*[F.col(c).cast("double") for c in features])
 
 
+def blocks(df: DataFrame, features: Sequence[str] | str, label: str, fold: str | None = None) -> tuple[DataFrame, int]:
+    """Rows that a model can learn from, as blocks of numbers (x row by row, y, f) of a batch each, and the number of features. Rows that
+    miss a feature, the label or the fold teach nothing."""
+    rows = df.select(_features(features).alias("x"), F.col(label).cast("double").alias("y"), (F.col(fold) if fold else F.lit(-1)).cast("long").alias("f"))
+    width = max(0, rows.select(F.max(F.size("x"))).first()[0] or 0)
+    whole = (F.size("x") == width) & F.forall("x", lambda v: v.isNotNull()) & F.col("y").isNotNull() & F.col("f").isNotNull()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y, f = b.column("x").flatten(), b.column("y"), b.column("f")
+                yield pa.RecordBatch.from_pydict({n: pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for n, c in (("x", x), ("y", y), ("f", f))})
+
+    return rows.where(whole).withColumn("x", F.transform("x", lambda v: v.cast("double"))).mapInArrow(pack, "x binary, y binary, f binary"), width
+
+
+def _gradients(parts: DataFrame, held: Sequence[int], c: np.ndarray) -> DataFrame:
+    """Sums of the gradients of all models (h, d, n): in a task, of all its blocks, a row a model."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, n = np.zeros_like(c), np.zeros(len(c), np.int64)
+        for b in batches:
+            for bx, by, bf in zip(*(b.column(k).to_pylist() for k in ("x", "y", "f")), strict=True):
+                y, f = np.frombuffer(by)[:, None], np.frombuffer(bf, np.int64)[:, None]
+                x = np.frombuffer(bx).reshape(len(y), c.shape[1] - 1)
+                with np.errstate(over="ignore"):
+                    p = 1 / (1 + np.exp(-(c[:, 0] + x @ c[:, 1:].T)))
+                learns = f != np.array(held)
+                g = np.where(learns, (y - p) * p * (1 - p), 0.0)
+                d[:, 0] += g.sum(axis=0)
+                d[:, 1:] += g.T @ x
+                n += learns.sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"h": pa.array(held, pa.int64()), "d": pa.array(d.tolist(), pa.list_(pa.float64())), "n": pa.array(n)})
+
+    each = parts.mapInArrow(of, "h long, d array<double>, n long").where("n > 0")
+    return each.groupBy("h").agg(Summarizer.sum(array_to_vector("d")).alias("d"), F.sum("n").alias("n"))
+
+
 def fit_logistic(df: DataFrame, features: Sequence[str] | str, label: str, epochs: int = 100, lr: float = 0.1, fold: str | None = None, k: int = 1) -> dict[int | None, list[float]]:
-    """Coefficients (intercept first) of a model for each held-out fold, or of one model {None: ...}. Steps are lr times the mean gradient."""
-    rows = df.select(_features(features).alias("x"), F.col(label).cast("double").alias("y"), (F.col(fold) if fold else F.lit(-1)).alias("f"))
-    width = rows.select(F.max(F.size("x"))).first()[0] or 0
-    rows = rows.withColumn("x", F.transform("x", lambda v: v.cast("double"))).persist()
-    held = list(range(k)) if fold else [None]
-    coef = {h: [0.0] * (width + 1) for h in held}
+    """Coefficients (intercept first) of a model for each held-out fold, or of one model {None: ...}. Steps are lr times the mean gradient.
+    Blocks are written first, so an epoch has as many tasks as their bytes ask for, not as the shuffle before them."""
+    spark = df.sparkSession
+    parts, width = blocks(df, features, label, fold)
+    parts.write.parquet(path := shared_path(spark, "blocks"))
+    parts = spark.read.schema(parts.schema).parquet(path).persist()
+    held = list(range(k)) if fold else [-2]
+    c = np.zeros((len(held), width + 1))
     try:
         for _ in range(epochs):
-            models = F.expr("array({})".format(", ".join("named_struct('h', {}, 'c', array({}))".format(-2 if h is None else h, ", ".join(f"{v!r}D" for v in coef[h])) for h in held)))
-            each = rows.select("x", "y", "f", F.explode(models).alias("m")).where("f <> m.h")
-            each = each.withColumn("p", S.sigmoid_dot("x", F.col("m.c"))).withColumn("g", (F.col("y") - F.col("p")) * F.col("p") * (1 - F.col("p")))
-            # one vector mean a model, combined before the shuffle
-            parts = F.concat(F.array("g"), F.transform("x", lambda v: F.col("g") * v))
-            for r in each.where("g IS NOT NULL").select("m.h", array_to_vector(parts).alias("d")).groupBy("h").agg(Summarizer.mean(F.col("d")).alias("mean")).collect():
-                held_out = None if r["h"] == -2 else r["h"]
-                coef[held_out] = [c + lr * float(m) for c, m in zip(coef[held_out], r["mean"], strict=True)]
+            for r in _gradients(parts, held, c.copy()).collect():
+                c[held.index(r["h"])] += lr * r["d"].toArray() / r["n"]
     finally:
-        rows.unpersist()
-    return coef
+        parts.unpersist()
+        discard(spark, path)
+    return {h if fold else None: row.tolist() for h, row in zip(held, c, strict=True)}
 
 
 def predict_logistic(df: DataFrame, features: Sequence[str] | str, coef: Sequence[float], out: str = "predicted") -> DataFrame:

@@ -251,6 +251,23 @@ def test_descent_is_its_brute_force(spark):
     assert [r.fold for r in got_] == [0, 1, 2, 3, 4, None] and np.allclose([r.accuracy for r in got_], [*want, sum(want) / 5])
 
 
+def test_learning_takes_blocks_of_rows_and_leaves_out_gaps(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((5000, 3))
+    y = (x[:, 0] > 0.5).astype(float)
+    rows = [(i % 5, list(map(float, r)), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))]
+    gaps = [(0, None, 1.0), (0, [1.0, None, 1.0], 1.0), (0, [1.0, 1.0], 1.0), (0, [1.0, 1.0, 1.0], None), (None, [1.0, 1.0, 1.0], 1.0)]
+    df = spark.createDataFrame(rows + gaps, "f int, x array<double>, y double").repartition(4)
+    parts, width = ML.blocks(df, "x", "y", "f")
+    got_ = parts.collect()
+    assert width == 3 and len(got_) <= 4 and sum(len(r.y) // 8 for r in got_) == 5000
+    coef = ML.fit_logistic(df, "x", "y", 3, 5.0, "f", 5)
+    for f in range(5):
+        keep = np.arange(5000) % 5 != f
+        assert np.allclose(coef[f], plain_fit(x[keep].tolist(), y[keep].tolist(), 3, 5.0))
+    assert ML.fit_logistic(df.limit(0), "x", "y") == {None: [0.0]}
+
+
 def test_folds_are_seeded_disjoint_and_whatever_the_slices(spark):
     df = spark.range(103)
     a, b, c = ({r.id: r.fold for r in ML.kfold(df, 5, seed, "id", slice_rows=n).collect()} for seed, n in ((1, 1), (1, 40), (2, 1)))
