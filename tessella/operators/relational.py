@@ -100,9 +100,18 @@ def keys_with_many(df: DataFrame, key: str, val: str, n: int = 1) -> DataFrame:
     return pairs.groupBy(key).agg(F.count("*").alias("n_distinct")).where(F.col("n_distinct") > n)
 
 
-def group_apply(df: DataFrame, keys: str | Sequence[str], fn, schema: str) -> DataFrame:  # noqa: ANN001
-    """fn(pandas frame of a group) -> pandas frame, for functions that only the caller knows; a group must fit into a task. What Spark's own aggregates can say belongs to them."""
-    return drop_missing(df, keys).groupBy(*_list(keys)).applyInPandas(fn, schema)
+def group_apply(df: DataFrame, keys: str | Sequence[str], fn, schema: str, several: bool = False, rows_each: int = 50_000) -> DataFrame:  # noqa: ANN001
+    """fn(pandas frame of a group) -> pandas frame, for functions that only the caller knows; a group must fit into a task. What Spark's own aggregates can say belongs to them.
+
+    A call for each group costs some milliseconds. A fn that groups by the keys itself can take ``several`` whole groups a call: keys are
+    dealt by hash into frames of some ``rows_each`` rows, or of one larger group."""
+    rows = drop_missing(df, keys)
+    if not several:
+        return rows.groupBy(*_list(keys)).applyInPandas(fn, schema)
+    # 0.0 and -0.0 are one key
+    floating = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("float", "double")]
+    frames = F.pmod(F.xxhash64(*[F.col(k) + F.lit(0.0) if k in floating else F.col(k) for k in _list(keys)]), F.lit(max(1, -(-rows.count() // rows_each))))
+    return rows.groupBy(frames.alias("__frame")).applyInPandas(fn, schema)
 
 
 def totals(df: DataFrame, distinct_col: str, sum_cols: Sequence[str]) -> DataFrame:

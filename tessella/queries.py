@@ -580,7 +580,7 @@ def agg4_group_apply(spark: SparkSession, d: str) -> DataFrame:
     def distinct(frame):  # noqa: ANN001, ANN202
         return frame.groupby("l_orderkey", as_index=False).agg(n=("l_suppkey", "nunique"))
 
-    return R.group_apply(t(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", distinct, "l_orderkey long, n long")
+    return R.group_apply(t(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", distinct, "l_orderkey long, n long", several=True)
 
 
 @query("SELECT count(DISTINCT l_orderkey) AS n_distinct, sum(l_extendedprice::DECIMAL(12,2)) AS sum_price, sum(l_tax::DECIMAL(12,2)) AS sum_tax FROM lineitem")

@@ -251,6 +251,22 @@ def test_descent_is_its_brute_force(spark):
     assert [r.fold for r in got_] == [0, 1, 2, 3, 4, None] and np.allclose([r.accuracy for r in got_], [*want, sum(want) / 5])
 
 
+def test_groups_are_applied_many_a_call(spark):
+    rows = [(i % 700, float(i % 3)) for i in range(3000)] + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(5)
+
+    def sums(frame):
+        return frame.groupby("k", as_index=False).agg(n=("v", "sum")).assign(groups=frame["k"].nunique())
+
+    out = R.group_apply(df, "k", sums, "k long, n double, groups long", several=True, rows_each=500).collect()
+    assert {r.k: r.n for r in out} == {k: sum(v for j, v in rows if j == k) for k in range(700)} and len(out) == 700
+    assert min(r.groups for r in out) > 50 and max(r.groups for r in out) < 300
+    whole = R.group_apply(df, "k", sums, "k long, n double, groups long").where("k < 5").collect()
+    assert [r.groups for r in whole] == [1] * 5
+    zeros = spark.createDataFrame([(0.0, 1.0), (-0.0, 2.0)], "k double, v double")
+    assert [r.n for r in R.group_apply(zeros, "k", sums, "k double, n double, groups long", several=True, rows_each=1).collect()] == [3.0]
+
+
 def test_learning_takes_blocks_of_rows_and_leaves_out_gaps(spark):
     rng = np.random.default_rng(5)
     x = rng.random((5000, 3))
