@@ -8,8 +8,8 @@ proportion, its score that proportion times the weight of the chosen set's best
 
 Learning counts n-grams of about ``FIT_DOCS`` documents a language at most and ``FIT_ALL`` in all, chosen by a hash of doc_id;
 prediction reads every whole text. The model goes to every task: up to ``DENSE`` languages as 2**15 numbers each, more of them by
-the n-grams that each has shown, 12 bytes each. All languages' single likelihoods are compared; the mixture's languages come from the
-``DENSE`` of highest single likelihood, which are all unless there are more.
+the n-grams that each has shown, 12 bytes each. All languages' single likelihoods are compared, and each may join the mixture, however
+many there are.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with nothing learned all are ``und``; ties go to
 the language that sorts first; documents with a null lang or doc_id teach nothing.
@@ -17,7 +17,7 @@ the language that sorts first; documents with a null lang or doc_id teach nothin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Documents a language learns from, at most.
 FIT_DOCS = 4_000
 FIT_ALL = 1_000_000
-#: Languages up to which the model is a full matrix, 0.26 MB each; candidates of a mixture.
+#: Languages up to which the model is a full matrix, 0.26 MB each.
 DENSE = 256
 BUCKETS = 1 << 15
 #: Cost of one more language, in natural logarithms of the number of n-grams.
@@ -89,11 +89,12 @@ class Mixture:
         smooth = counts + 0.5
         self.log_p = np.log(smooth / smooth.sum(axis=1, keepdims=True)) if len(languages) else np.zeros((0, BUCKETS))
 
-    def _likely(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For n-grams and their counts: the languages that may be in the mixture, their log-probabilities (n-grams x languages), and the
-        single likelihoods of all languages."""
+    def _likely(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, Callable[[int], np.ndarray], Callable[[np.ndarray], np.ndarray]]:
+        """For n-grams and their counts: the single likelihoods of all languages, the n-grams' probabilities in a language, and their sums,
+        weighted, in all languages. A probability is one of its n-gram's largest."""
         log_p = self.log_p[:, at].T
-        return np.arange(len(self.languages)), log_p, n @ log_p
+        p = np.exp(log_p - log_p.max(axis=1)[:, None])
+        return n @ log_p, lambda k: p[:, k], lambda w: w @ p
 
     def _em(self, p: np.ndarray, n: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
         """p: n-grams x languages. Proportions and log-likelihood."""
@@ -116,24 +117,23 @@ class Mixture:
             return "und", 0.0, {}
         at = np.flatnonzero(counts)
         n = counts[at].astype(np.float64)
-        of, log_p, single = self._likely(at, n)
-        shift = log_p.max(axis=1)
-        p = np.exp(log_p - shift[:, None])
-        chosen = [int(single[of].argmax())]
-        pi, best = np.ones(1), float(n @ np.log(p[:, chosen[0]]))
+        single, column, sums = self._likely(at, n)
+        chosen = [int(single.argmax())]
+        p = column(chosen[0])[:, None]
+        pi, best = np.ones(1), float(n @ np.log(p[:, 0]))
         cost = PENALTY * np.log(n.sum() + 1)
-        while len(chosen) < len(of):
-            rest = [k for k in range(len(of)) if k not in chosen]
+        while len(chosen) < len(self.languages):
             # the language whose small share would raise the likelihood fastest
-            now = p[:, chosen] @ pi
-            gain = [float((n / now) @ p[:, k]) for k in rest]
-            k = rest[int(np.argmax(gain))]
-            new, value = self._em(p[:, [*chosen, k]], n, np.append(pi * 0.9, 0.1))
+            gain = sums(n / (p @ pi))
+            gain[chosen] = -np.inf
+            k = int(gain.argmax())
+            more = np.column_stack((p, column(k)))
+            new, value = self._em(more, n, np.append(pi * 0.9, 0.1))
             if value - best <= cost:
                 break
             chosen.append(k)
-            pi, best = new, value
-        shares = {self.languages[of[k]]: float(x) for k, x in zip(chosen, pi, strict=True)}
+            p, pi, best = more, new, value
+        shares = {self.languages[k]: float(x) for k, x in zip(chosen, pi, strict=True)}
         top = min(shares, key=lambda x: (-shares[x], x))
         weight = 1.0
         if len(chosen) == 1:  # how sure the single language is against the others
@@ -152,19 +152,29 @@ class WideMixture(Mixture):
         self.number, self.more = number[order].astype(np.int32), np.log(2.0 * n[order] + 1)
         self.first = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
 
-    def _likely(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _likely(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, Callable[[int], np.ndarray], Callable[[np.ndarray], np.ndarray]]:
+        """The same from what languages have shown of the n-grams: all others of a language have its base probability."""
         long = self.first[at + 1] - self.first[at]
         row = np.repeat(np.arange(len(at)), long)
         place = np.arange(len(row)) + np.repeat(self.first[at] - (np.cumsum(long) - long), long)
         number, more = self.number[place], self.more[place]
         single = n.sum() * self.base + np.bincount(number, n[row] * more, len(self.languages))
-        of = np.sort(np.argsort(-single, kind="stable")[:DENSE])
-        log_p = np.tile(self.base[of], (len(at), 1))
-        column = np.full(len(self.languages), -1)
-        column[of] = np.arange(len(of))
-        mine = column[number] >= 0
-        log_p[row[mine], column[number[mine]]] += more[mine]
-        return of, log_p, single
+        shown = self.base[number] + more
+        most = np.full(len(at), self.base.max())
+        np.maximum.at(most, row, shown)
+        extra = np.exp(shown - most[row]) - np.exp(self.base[number] - most[row])
+        lift = np.exp(self.base.max() - most)
+
+        def column(k: int) -> np.ndarray:
+            log_p = np.full(len(at), self.base[k])
+            mine = number == k
+            log_p[row[mine]] += more[mine]
+            return np.exp(log_p - most)
+
+        def sums(w: np.ndarray) -> np.ndarray:
+            return np.exp(self.base - self.base.max()) * (w @ lift) + np.bincount(number, w[row] * extra, len(self.languages))
+
+        return single, column, sums
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", learn: Column | None = None, fit_docs: int = FIT_DOCS, fit_all: int = FIT_ALL, dense: int = DENSE) -> Mixture:

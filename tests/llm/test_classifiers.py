@@ -135,6 +135,21 @@ def test_wide_model_is_the_full_one(spark, data):
         assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 and a[2].keys() == b[2].keys()
 
 
+def test_wide_model_mixes_languages_of_low_single_likelihood():
+    """300 languages alike that explain most of a text, and one that only explains the rest: it is the worst alone and still takes part."""
+    rng = np.random.default_rng(2)
+    near, far = (" ".join("".join(rng.choice(list(x), 5)) for _ in range(80)) for x in ("abcde", "vwxyz"))
+    names = [f"l{i:03}" for i in range(300)] + ["z"]
+    counts = np.array([L.ngram_counts(near) + (np.arange(L.BUCKETS) == i) for i in range(300)] + [L.ngram_counts(far) * 40], float)
+    text = near + " " + far[:200]
+    number, bucket = np.nonzero(counts)
+    wide = L.WideMixture(names, number, bucket, counts[number, bucket])
+    at = np.flatnonzero(L.ngram_counts(text))
+    assert wide._likely(at, L.ngram_counts(text)[at].astype(float))[0].argmin() == 300
+    got, want = wide.infer(text), L.Mixture(names, counts).infer(text)
+    assert "z" in got[2] and got[2].keys() == want[2].keys() and got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
+
+
 def test_language_chunks_agree(monkeypatch):
     text = "Éa bc\U0001d400d. " * 100
     whole = L.ngram_counts(text)
