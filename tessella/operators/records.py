@@ -117,9 +117,10 @@ def from_index(df: DataFrame) -> DataFrame:
 
 
 def write_activations(acts: DataFrame, path: str) -> None:
-    """One folder an index, so a namespace's queries read only its own files. Rows are dealt by index first, a large one to several tasks
-    and small ones together, so a folder has few files."""
-    to_index(acts).hint("rebalance", "index").write.mode("overwrite").partitionBy("index").parquet(path)
+    """One index a lower-cased namespace, as a column that files are dealt and sorted by: an index lies in few row groups side by side, which
+    their statistics find, a large one in several files by time, small ones together. So there are as many files as the bytes ask for,
+    however many namespaces there are."""
+    to_index(acts).repartitionByRange("index", "start").sortWithinPartitions("index", "start").write.mode("overwrite").parquet(path)
 
 
 def read_activations(spark: SparkSession, path: str) -> DataFrame:

@@ -194,6 +194,20 @@ def test_index_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back["3"].annotations)) == [("binding", "ns/bound"), ("path", "ns/b")]
 
 
+def test_index_has_few_files_however_many_namespaces(spark, tmp_path):
+    one = _acts(spark).limit(1).drop("namespace", "activationId")
+    names = spark.range(600).select(F.concat(F.lit("0"), F.col("id") % 300).alias("namespace"), F.col("id").cast("string").alias("activationId"))
+    rows = names.union(spark.createDataFrame([(None, "none"), ("", "empty")], names.schema)).crossJoin(one)
+    REC.write_activations(rows, path := str(tmp_path / "index"))
+    back = spark.read.parquet(path)
+    assert len(back.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions")) and dict(back.dtypes)["index"] == "string"
+    got_ = sorted((r.activationId, r.namespace) for r in REC.read_activations(spark, path).collect())
+    assert got_ == sorted((r.activationId, r.namespace) for r in rows.collect()) and back.where("index = '07'").count() == 2
+    assert "PushedFilters: [IsNotNull(index), EqualTo(index,07)]" in back.where("index = '07'")._jdf.queryExecution().executedPlan().toString()
+    ranges = sorted((r.lo, r.hi) for r in back.groupBy(F.input_file_name()).agg(F.min("index").alias("lo"), F.max("index").alias("hi")).collect() if r.lo is not None)
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
 def test_subjects(spark):
     subjects = spark.createDataFrame([("s1", "s1", "u1", "k1", False, [("n1", "nu", "nk"), ("n2", "u2", "k2")]), ("s2", "s2", "u9", "k9", True, [("n1", "x", "y")])], "_id string, subject string, uuid string, key string, blocked boolean, namespaces array<struct<name:string,uuid:string,key:string>>")
     limits = spark.createDataFrame([("n1/limits", 5, 0), ("n3/limits", 0, None)], "_id string, concurrentInvocations int, invocationsPerMinute int")
