@@ -11,11 +11,17 @@ direct succession; of a phrase prefix the last word may go on; searches for no w
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS, SHARD_DOCS = 64, 1_000_000
+#: Characters of text whose postings a task sorts and writes, some 200 MB of rows.
+TASK_CHARS = 12_000_000
+#: Words of a lower-cased text, and postings that a task holds before it passes them on, one text's at least.
+WORD, AT_ONCE = re.compile(r"\w+", re.ASCII), 200_000
 POSTING = "term string, doc bigint, positions array<int>, bucket int"
 
 
@@ -32,14 +38,51 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _pieces(rows: DataFrame, doc: str, said: str) -> DataFrame:
+    """Postings of each row by itself (term, doc, positions), of lower-cased texts: made where the row is read, so nothing moves by word."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[str, int, list[int]]] = []
+
+        def out() -> pa.RecordBatch:
+            found.sort(key=lambda x: x[:2])  # neighbours alike, so they move in fewer bytes
+            columns = list(zip(*found, strict=True))
+            found.clear()
+            return pa.RecordBatch.from_pydict({"term": pa.array(columns[0], pa.string()), "doc": pa.array(columns[1], pa.int64()), "positions": pa.array(columns[2], pa.list_(pa.int32()))})
+
+        for b in batches:
+            for i, text in zip(b.column(0), b.column(1), strict=True):
+                at: dict[str, list[int]] = {}
+                for n, w in enumerate(WORD.findall(text.as_py())):
+                    at.setdefault(w, []).append(n)
+                number = i.as_py()
+                found += [(w, number, places) for w, places in at.items()]
+                if len(found) >= AT_ONCE:
+                    yield out()
+        if found:
+            yield out()
+
+    return rows.select(doc, said).mapInArrow(of, "term string, doc bigint, positions array<int>")
+
+
 def build(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", buckets: int = BUCKETS, shard_docs: int = SHARD_DOCS) -> None:
-    """Writes the index of a table: one shuffle of its words, by bucket and shard."""
-    rows = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    shards = max(1, -(-rows.count() // shard_docs))
-    each = rows.select("doc", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard"), F.posexplode(terms("text")).alias("at", "term"))
-    dealt = each.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", "shard")
-    postings = dealt.groupBy("bucket", "shard", "term", "doc").agg(F.sort_array(F.collect_set("at")).alias("positions"))
-    postings.select("term", "doc", "positions", "bucket").sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", 16 << 20).parquet(path)
+    """Writes the index of a table: one shuffle of its postings, by bucket and shard, each a task's, so that its sort stays in memory. Only
+    rows that share a document are put together by word before."""
+    rows = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.lower(text).alias("said"))
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("said")), F.lit(0))).first()
+    shards = max(1, -(-n // shard_docs), -(-chars // (buckets * TASK_CHARS)))
+    rows = rows.where(F.col("said").isNotNull())
+    shared = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("__doc"))
+    if shared.isEmpty():
+        postings = _pieces(rows, "doc", "said")
+    else:
+        mine = F.col("doc") == F.col("__doc")
+        parts = _pieces(rows.join(shared, mine, "left_semi"), "doc", "said")
+        merged = parts.select("term", "doc", F.explode("positions").alias("at")).groupBy("term", "doc").agg(F.sort_array(F.collect_set("at")).alias("positions"))
+        postings = _pieces(rows.join(shared, mine, "left_anti"), "doc", "said").unionByName(merged)
+    bucket, shard = _bucket(F.col("term"), buckets), F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")
+    dealt = postings.repartitionById(buckets * shards, bucket * shards + shard).withColumn("bucket", bucket)
+    dealt.sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 class Index:

@@ -126,6 +126,27 @@ def test_index_splits_a_frequent_term(spark, tmp_path, apart):
     assert TI.Index(spark, path, 4).match("the").count() == 400
 
 
+def test_index_moves_postings_not_words(spark, tmp_path):
+    def moved():
+        g = spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, g.new_array(g.jvm.double, 0), g.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("the red fox " * 300).alias("text")).repartition(2)
+    docs.count()
+    before = moved()
+    TI.build(docs, path := str(tmp_path / "index"), buckets=4)
+    assert moved() - before < 2_000  # of 180,000 words, 600 postings
+    assert TI.Index(spark, path, 4).phrase("fox the").count() == 200
+
+
+def test_index_puts_rows_of_a_document_together(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox the"), (1, "the red fox"), (1, None), (2, "Fox, fox"), (2, "fox \u0130x")], "doc_id long, text string")
+    TI.build(docs, path := str(tmp_path / "index"), buckets=4)
+    got = {(r.term, r.doc): r.positions for r in spark.read.parquet(path).collect()}
+    assert got == {("red", 1): [0, 1], ("fox", 1): [1, 2], ("the", 1): [0, 2], ("fox", 2): [0, 1], ("i", 2): [1], ("x", 2): [2]}
+
+
 def test_documents_are_parsed_once(spark):
     texts = ['{"a": {"b": "5"}, "t": true, "n": 1.5, "l": ["x", 1]}', '{"a": {"b": 5}, "t": "true", "n": "1.5", "l": [["x"]]}', '{"a": "b"}', "{", None, "[1]", '{"n": 123456789012345678901234567890}']
     docs = DOC.parse(spark.createDataFrame(enumerate(texts), "i int, text string"), "text")
