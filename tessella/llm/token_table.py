@@ -13,7 +13,9 @@ Keys are 0x01 and the identifier as big-endian unsigned 64-bit number with its s
 do, or 0x02 and the identifier's UTF-8 bytes; a missing identifier has the key 0x00 and sorts first. Repeated identifiers are
 records of their own, side by side.
 
-Whole texts go through the tokenizers library, some hundred at a time; any tokenizer file of that library serves.
+Whole texts go through the tokenizers library, some hundred at a time; any tokenizer file of that library serves. If the file's
+own steps show that white space parts every text for good, as word_bpe's do, the library gets each different word of the
+texts once and its ids are remembered (WordEncoder); every other file gets the texts in one piece (Encoder).
 
 Files go to a folder that all executors share, by pyarrow's file systems (local, HDFS, S3, GCS). A task writes under a name
 of its attempt and moves the file into place when it is whole, so attempts that are lost or repeated leave one file.
@@ -26,6 +28,9 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +38,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,8 +52,13 @@ FOOTER = struct.Struct("<8Q")
 #: Bytes of records in a block before compression.
 BLOCK_BYTES = 1 << 18
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Texts and characters encoded together.
+#: Texts and characters encoded together: in one piece, and by words.
 AT_ONCE, AT_ONCE_CHARS = 200, 1 << 20
+WORDWISE_AT_ONCE, WORDWISE_AT_ONCE_CHARS = 2_000, 1 << 22
+#: Words given to the library together.
+WORDS_AT_ONCE = 2_000
+#: What a worker process remembers: bytes of the newer half, of the longest word, and of an entry beside word and ids.
+MEMO_BYTES, MEMO_WORD, ENTRY_BYTES = 100 << 20, 256, 160
 #: Header of a record: shared key bytes, further key bytes, ids.
 RECORD = struct.Struct("<HHQ")
 
@@ -55,6 +66,8 @@ RECORD = struct.Struct("<HHQ")
 class Encoder:
     """Ids of whole texts by the tokenizers library, packed. A text's encoding takes some 100 bytes a token while it is made."""
 
+    at_once = AT_ONCE, AT_ONCE_CHARS
+
     def __init__(self, path: str):
         import os
 
@@ -71,10 +84,105 @@ class Encoder:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
 
+class WordEncoder(Encoder):
+    """Ids of whole texts, put together from the ids that the library gives each different word.
+
+    Right only where parts_at_white_space() holds: NFC and case folding never reach over ASCII white space, the pattern has no
+    match that holds white space or looks around, and the model sees one match at a time. So a text's ids are those of its words.
+    """
+
+    at_once = WORDWISE_AT_ONCE, WORDWISE_AT_ONCE_CHARS
+    #: Words that are one match of the pattern, letters of Latin-1, or two, letters and marks of ASCII.
+    PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+([!-&(-/:-@\[-`{-~]+)?")
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _plain(self, words: list[bytes], matches: list[int]) -> list[bytes]:
+        """Ids of words of so many matches each. They make one text for the library; a match's last token alone has the mark of an end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(matches) - 1
+        if len(ends) != last[-1] + 1:
+            return super().encode([w.decode() for w in words])
+        raw, at = ids.tobytes(), (ends[last] * self.width).tolist()
+        return [raw[lo:hi] for lo, hi in itertools.pairwise([0, *at])]
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the memo lacks, from the older half or from the library."""
+        older, match = self.older, self.PLAIN.fullmatch
+        found, plain, matches, other = {}, [], [], []
+        for w in new:
+            if w in older:
+                found[w] = older[w]
+            elif m := match(w):
+                plain.append(w)
+                matches.append(2 if m.lastindex else 1)
+            else:
+                other.append(w)
+        for i in range(0, len(plain), WORDS_AT_ONCE):
+            at = slice(i, i + WORDS_AT_ONCE)
+            found |= zip(plain[at], self._plain(plain[at], matches[at]), strict=True)
+        for i in range(0, len(other), WORDS_AT_ONCE):
+            some = other[i : i + WORDS_AT_ONCE]
+            found |= zip(some, super().encode([w.decode() for w in some]), strict=True)
+        return found
+
+    def _remember(self, found: dict[bytes, bytes]) -> None:
+        for w in [w for w in found if len(w) > MEMO_WORD]:
+            del self.memo[w], found[w]
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+        if self.held > MEMO_BYTES:
+            # a batch of very many words isn't kept
+            self.older, self.memo, self.held = self.memo if self.held <= 2 * MEMO_BYTES else {}, {}, 0
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.memo.get, words))
+        found = self._learn([w for w, known in zip(words, ids, strict=True) if known is None])
+        ids = np.array([found[w] if known is None else known for w, known in zip(words, ids, strict=True)], object)
+        self.memo |= found
+        self._remember(found)
+        dealt, at = ids[coded.indices.to_numpy()].tolist(), split.offsets.to_numpy().tolist()
+        return [b"".join(dealt[lo:hi]) for lo, hi in itertools.pairwise(at)]
+
+
+#: Steps after which no token and no rule reaches over white space.
+WORDWISE = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def parts_at_white_space(steps: dict) -> bool:
+    """Whether a tokenizer file's steps are those of WORDWISE, its model is plain BPE that marks ends of words, and its control strings, like <|this|>, can't be parted."""
+    model = steps["model"]
+    plain = model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not (model["dropout"] or model["continuing_subword_prefix"])
+    whole = all(re.fullmatch(r"<\|[a-z]+\|>", a["content"]) and not (a["normalized"] or a["single_word"] or a["lstrip"] or a["rstrip"]) for a in steps["added_tokens"])
+    return plain and whole and all(steps.get(k) == v for k, v in WORDWISE.items())
+
+
 @functools.lru_cache(maxsize=1)
 def shared_encoder(path: str) -> Encoder:
     """One encoder for all tasks that a worker process runs."""
-    return Encoder(path)
+    whole = Encoder(path)
+    return WordEncoder(path) if parts_at_white_space(json.loads(whole.tokenizer.to_str())) else whole
 
 
 def key_bytes(doc_id: int | str | None) -> bytes:
@@ -226,7 +334,7 @@ def write_table(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
                 writer = TableWriter(out, encoder.width)
                 end = encoder.pack([END_ID])
             ids, texts = (batch.column(i).to_pylist() for i in (0, 1))
-            for at in portions(texts, AT_ONCE, AT_ONCE_CHARS):
+            for at in portions(texts, *encoder.at_once):
                 for k, packed in zip(ids[at], encoder.encode(texts[at]), strict=True):
                     writer.add(key_bytes(k), packed + end)
         if writer is not None:

@@ -98,3 +98,77 @@ def test_file_format(monkeypatch):
     assert [(T.key_value(k), len(ids)) for k, ids in table] == [(k, i + 10) for i, k in enumerate(keys)]
     assert len(table.place) > 2 and table.records == len(keys)
     assert [len(x) for x in table.get(7)] == [13, 14] and table.get(8) == [] and len(table.get(None)) == 1
+
+
+ODD = [
+    "T\u0308he t\u0308 H\u0331 W\u030a J\u030c I\u0307 i\u0307 E\u0301t e\u0301T",
+    "ÀÉÎ,x École... ÉCOLE École,'s ×a÷b µm ªº ÿ! Ÿ ŉ ſ ẞ \u00ad",
+    "they'll THEY'LL,'s 'S' ''s a'd!'re rock'n'roll",
+    "x\x00y \x00\x1f! a\x7f,\x1c b\x85c d\u00a0\u0301e \u2028f\u3000g",
+    "<|endoftext|>a b<|startoftext|>, <|ENDOFTEXT|> <|endoftext| > a</w> </w> </w",
+    "user.42@mail.example 3.14 10.0.0.1 A1b2,C3 \uac00\u11a8 \u1100\u1161 \U0001f600!\U0001f600",
+    "x" * 3000 + "! " + "Word " * 50,
+    "",
+    None,
+]
+
+
+def test_words_have_the_ids_of_whole_texts(tokenizer, monkeypatch):
+    texts = [*TEXTS, *ODD, *(t.upper() for t in ODD if t), *(t[::-1] for t in ODD if t)]
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    for memo, at_once in ((1 << 20, 2_000), (10_000, 3), (0, 1)):
+        monkeypatch.setattr(T, "MEMO_BYTES", memo)
+        monkeypatch.setattr(T, "WORDS_AT_ONCE", at_once)
+        encoder = T.WordEncoder(T.default_tokenizer())
+        assert encoder.encode(texts) == want
+        assert [encoder.encode([t])[0] for t in texts] == want
+        assert bool(encoder.older) == (memo == 10_000)
+        assert encoder.encode(texts) == want
+        assert encoder.held <= memo and max(map(len, [*encoder.memo, *encoder.older]), default=0) <= T.MEMO_WORD
+
+
+def test_a_word_goes_to_the_library_once(tokenizer):
+    class Counted:
+        chars = 0
+
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, texts, **how):
+            self.chars += sum(map(len, texts))
+            return tokenizer.encode_batch_fast(texts, **how)
+
+    T.shared_encoder.cache_clear()
+    encoder = T.shared_encoder(T.default_tokenizer())
+    encoder.tokenizer = Counted()
+    texts = [f"The same few words, number {i % 7}, again and again." for i in range(1_000)]
+    got = encoder.encode(texts[:500]) + encoder.encode(texts[500:])
+    T.shared_encoder.cache_clear()
+    assert got == T.Encoder(T.default_tokenizer()).encode(texts)
+    assert encoder.tokenizer.chars < 200
+
+
+def test_only_files_that_part_at_white_space_are_read_by_words(tokenizer, tmp_path):
+    import json
+
+    import public_tokenizers
+
+    steps = json.loads(tokenizer.to_str())
+    assert T.parts_at_white_space(steps)
+    assert type(T.shared_encoder(public_tokenizers.path("byte_bpe_50k.json"))) is T.Encoder
+    control = steps["added_tokens"][0] | {"id": 49408}
+    others = [
+        {"normalizer": None},
+        {"pre_tokenizer": {"type": "Metaspace", "replacement": "\u2581", "prepend_scheme": "first", "split": False}},
+        {"truncation": {"direction": "Right", "max_length": 4, "strategy": "LongestFirst", "stride": 0}},
+        {"model": steps["model"] | {"dropout": 0.5}},
+        {"added_tokens": [*steps["added_tokens"], control | {"content": "two words"}]},
+        {"added_tokens": [*steps["added_tokens"], control | {"content": "fox!"}]},
+        {"added_tokens": [*steps["added_tokens"], control | {"content": "<|pad|>", "lstrip": True}]},
+    ]
+    assert not any(T.parts_at_white_space(steps | o) for o in others)
+    path = tmp_path / "spaces.json"
+    path.write_text(json.dumps(steps | {"added_tokens": [*steps["added_tokens"], control | {"content": "quick brown"}]}))
+    (got,) = T.shared_encoder(str(path)).encode(["the quick brown fox"])
+    T.shared_encoder.cache_clear()
+    assert 49408 in np.frombuffer(got, "<u2")
